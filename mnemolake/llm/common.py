@@ -142,7 +142,7 @@ def numbered(df: DataFrame, group: str, key: Column, name: str, rows_per_part: i
     offsets come from the parts' counts.
     """
     sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts"))
-    dealt = df.join(F.broadcast(sizes), group) if group == "shard" else df.join(sizes, group)
+    dealt = df.join(sizes, group)
     dealt = dealt.withColumn("_key", key).withColumn("_part", F.floor((F.shiftrightunsigned("_key", 11) / F.lit(float(1 << 53))) * F.col("_parts")))
     counts = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(group, "_part", (F.sum("_n").over(W.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))

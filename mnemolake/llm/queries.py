@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, exact_dedup, language_id, mixing, quality_rules, simhash, substring_dedup, url_filter
+from mnemolake.llm import bpe, exact_dedup, language_id, mixing, pii, quality_rules, sharding, simhash, substring_dedup, url_filter
 
 #: A parameter of the encoding query: where the public vocabulary lies.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -52,12 +56,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op7_substring_dedup, op8_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op6_kd_shards, op7_substring_dedup, op8_url_filter, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
