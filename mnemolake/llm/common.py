@@ -11,8 +11,6 @@ import atexit
 import itertools
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.session import ship
+
 #: The contract's white space: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -67,19 +67,6 @@ def _release_all() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, through Spark's own file server."""
-    if getattr(spark.sparkContext, "_mnemolake_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="mnemolake-")) / "mnemolake-package.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    spark.sparkContext.addPyFile(str(to))
-    spark.sparkContext._mnemolake_shipped = True  # type: ignore[attr-defined]
-
-
 def tune(spark: SparkSession) -> None:
     """Ships the code, and bounds what one Arrow batch holds, so long texts cannot
     fill a worker."""
