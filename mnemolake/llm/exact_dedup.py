@@ -179,6 +179,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col)
     slim = stage(fingerprints(rows, huge_chars), "fingerprints")
     hot = slim.groupBy("fp", "nb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", "nb", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
+    hot = stage(hot, "repeated")  # stored, so that the join below deals both sides and can split a hot key
     # counted before the join, which is then free to split a hot fingerprint
     members = slim.groupBy("doc_id", "th", "fp", "nb", "ncp").agg(F.count(F.lit(1)).alias("m")).join(hot, ["fp", "nb"])
     members = members.withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, th), salts) as int)"))

@@ -238,13 +238,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     groups = stage(rows.mapInArrow(_groups, f"lead long, grp long, doc_id {kind}"), "groups")
     twice = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("n > 1")
-    twice = twice.select(F.col("lead").alias("name"), (F.col("a") != F.col("b")).alias("mixed"))
+    # stored, so that both sides of the join are dealt by it alone and a hot name can be split
+    twice = stage(twice.select(F.col("lead").alias("name"), (F.col("a") != F.col("b")).alias("mixed")), "twice")
     told = groups.join(twice, F.col("lead") == F.col("name")).select("doc_id", "lead", "mixed")
     lists = told.groupBy(F.col("doc_id").alias("mid")).agg(F.collect_set(F.when(F.col("mixed"), F.col("lead"))).alias("some"), F.collect_set(F.when(~F.col("mixed"), F.col("lead"))).alias("groups"))
     lists = stage(lists, "lists")
     asked = rows.join(lists.filter(F.size("some") > 0).select("mid", "some"), F.col("mid").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "some")
     single = stage(asked.mapInArrow(_single, f"lead long, whole long, doc_id {kind}"), "windows")
-    again = single.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("lead").alias("l2"), F.col("whole").alias("w2"))
+    again = stage(single.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("lead").alias("l2"), F.col("whole").alias("w2")), "again")
     found = single.join(again, (F.col("lead") == F.col("l2")) & (F.col("whole") == F.col("w2"))).groupBy(F.col("doc_id").alias("sid")).agg(F.collect_set("whole").alias("single"))
     both = lists.select("mid", "groups").join(found, F.col("mid").eqNullSafe(F.col("sid")), "left").select("mid", "groups", "single")
     last = rows.join(both, F.col("mid").eqNullSafe(F.col("doc_id")), "left")
