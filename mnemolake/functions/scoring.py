@@ -28,6 +28,7 @@ def reflection_alpha(label: Column, alpha: Column) -> Column:
 
 
 def reward_axes(goal: Column, process: Column, satisfaction: Column) -> Column:
+    goal, process, satisfaction = (clamp(x, -1.0, 1.0) for x in (goal, process, satisfaction))
     return clamp(0.45 * goal + 0.30 * process + 0.25 * satisfaction, -1.0, 1.0)
 
 
@@ -76,7 +77,7 @@ def status_after_drift(status: Column, eta: Column, archive: float = 0.3) -> Col
 
 def world_confidence(base: Column, admission: Column, cohesion: Column) -> Column:
     """Loose admission is damped by how far the cluster coheres."""
-    return F.when(admission == "strict", clamp01(base)).otherwise(clamp01(base * (0.5 + 0.5 * clamp01(cohesion))))
+    return F.when(admission == "strict", clamp01(base)).otherwise(clamp01(clamp01(base) * (0.6 + 0.4 * clamp01(cohesion))))
 
 
 def layer_weight(layer: Column) -> Column:

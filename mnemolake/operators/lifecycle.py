@@ -116,3 +116,50 @@ def packed_evidence(traces: DataFrame, group: str, order: str, text: str, most:
     w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     room = most - F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
     return traces.withColumn("room", room).filter("room > 0").withColumn("part", F.substring(F.col(text), F.lit(1), F.col("room").cast("int"))).drop("room")
+
+
+def gain_reference(evidence: DataFrame, traces: DataFrame, newest: str, window: int = 2000) -> DataFrame:
+    """The evidence, and of the newest traces those of the same episodes, once each."""
+    pool = traces.orderBy(F.desc(newest), F.desc("id")).limit(window)
+    same = pool.join(evidence.select("episode_id").distinct(), "episode_id", "left_semi")
+    return evidence.select("id").unionByName(same.select("id")).distinct()
+
+
+def world_clusters(policies: DataFrame, key: str, min_policies: int = 1, min_similarity: float = 0.3) -> DataFrame:
+    """Policies (id, key, gain, vec) gathered by domain: how they cohere around their
+    centroid, whether those near it suffice (strict) or all are taken (loose), and the
+    confidence of the model that comes of it."""
+    from mnemolake.functions.scoring import clamp01, world_confidence
+    from mnemolake.functions.vector import centroids, cosine
+
+    c = centroids(policies, key, "vec", "id").withColumnRenamed("centroid", "_c")
+    p = policies.join(F.broadcast(c), key, "left").withColumn("sim", F.when(F.size("vec") > 0, cosine(F.col("_c"), F.col("vec"))))
+    near = F.col("sim").isNull() | (F.col("sim") >= min_similarity)
+    g = p.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(near, 1)).alias("strict"), F.coalesce(F.avg("sim"), F.lit(0.0)).alias("cohesion"), F.avg(F.when(near, F.col("gain"))).alias("g1"), F.avg("gain").alias("g2")).filter(F.col("n") >= min_policies)
+    admission = F.when(F.col("strict") >= min_policies, "strict").otherwise("loose")
+    gain = F.when(admission == "strict", F.col("g1")).otherwise(F.col("g2"))
+    return g.select(key, "n", "strict", "cohesion", admission.alias("admission"), world_confidence(clamp01(gain * 0.7 + F.col("cohesion") * 0.3), admission, F.col("cohesion")).alias("confidence"))
+
+
+def merge_target(drafts: DataFrame, models: DataFrame, min_overlap: float = 0.6) -> DataFrame:
+    """(key, model): the model of the same key, else the one whose policies overlap most.
+    Models meet drafts by a shared policy, so no pair without one is made."""
+    exact = drafts.select("key").join(models.select(F.col("key"), F.col("id").alias("exact")), "key", "left")
+    d = drafts.select("key", F.col("policy_ids").alias("dp"), F.explode(F.array_distinct("policy_ids")).alias("p"))
+    m = models.select(F.col("id"), "confidence", F.size(F.array_distinct("policy_ids")).alias("mn"), F.explode(F.array_distinct("policy_ids")).alias("p"))
+    shared = d.join(m, "p").groupBy("key", "id", "confidence", "mn", F.size(F.array_distinct("dp")).alias("dn")).agg(F.count(F.lit(1)).alias("shared"))
+    scored = shared.withColumn("score", F.col("shared") / F.least("mn", "dn")).filter(F.col("score") >= min_overlap)
+    best = scored.groupBy("key").agg(F.max_by("id", F.struct("score", "shared", "confidence", -F.col("id"))).alias("near"))
+    return exact.join(best, "key", "left").select("key", F.coalesce("exact", "near").alias("model"))
+
+
+def task_candidates(queries: DataFrame, group: str, score: str, at: str, least: float = 3, most: int = 4) -> DataFrame:
+    """Groups by their best score and up to three for their size; strong ones only."""
+    g = queries.groupBy(group).agg(F.max(score).alias("s"), F.count(F.lit(1)).alias("n"), F.max(at).alias("latest"))
+    return g.filter(F.col("s") >= least).select(group, (F.col("s") + F.least("n", F.lit(3))).alias("score"), "latest").orderBy(F.desc("score"), F.desc("latest"), group).limit(most)
+
+
+def pattern_counts(texts: DataFrame, text: str, patterns: dict[str, str], most: int = 8) -> DataFrame:
+    """How many texts each pattern is found in, in one pass; the most frequent first."""
+    flags = F.array_compact(F.array(*[F.when(F.col(text).rlike("(?i)" + p), k) for k, p in patterns.items()]))
+    return texts.select(F.explode(flags).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)

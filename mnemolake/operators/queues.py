@@ -93,3 +93,34 @@ def imported(base: DataFrame, new: DataFrame, key: str, on_conflict: str) -> Dat
 def merged_payload(a: Column, b: Column) -> Column:
     """Shallow merge of maps, the second one's entries winning."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def retry_upsert(queue: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Retries (target_id, status, attempts, next_at, claimed_by) merged with new targets
+    (target_id): failed and succeeded ones start anew, the earliest next time stays, the
+    claim always goes."""
+    j = queue.join(new.select("target_id", F.lit(True).alias("_new")), "target_id", "full_outer")
+    asked, fresh = F.coalesce("_new", F.lit(False)), F.col("status").isNull()
+    anew = asked & (fresh | F.col("status").isin("failed", "succeeded"))
+    return j.select(
+        "target_id", F.when(anew, "pending").otherwise(F.col("status")).alias("status"), F.when(anew, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(asked, F.least(F.coalesce("next_at", F.lit(now)), F.lit(now))).otherwise(F.col("next_at")).alias("next_at"), F.when(asked, None).otherwise(F.col("claimed_by")).alias("claimed_by")
+    )
+
+
+def fenced(queue: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates (id, worker, lease, status) that still hold the row's claim apply; others
+    do not."""
+    u = updates.select(F.col("id").alias("_i"), F.col("worker").alias("_w"), F.col("lease").alias("_l"), F.col("status").alias("_s"))
+    j = queue.join(u, (F.col("id") == F.col("_i")) & (F.col("worker") == F.col("_w")) & (F.col("lease") == F.col("_l")), "left")
+    return j.withColumn("status", F.coalesce("_s", "status")).drop("_i", "_w", "_l", "_s")
+
+
+def retry_order(retries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Retries with a place: first reports, then interactive traces, then imported ones,
+    then others; newest memory first."""
+    m = memories.select(F.col("id").alias("_m"), "layer", F.col("tags").alias("_t"), F.col("created_at").alias("_c"))
+    j = retries.join(m, F.col("target_id") == F.col("_m"), "left")
+    has = lambda *t: F.coalesce(F.arrays_overlap(F.transform("_t", F.lower), F.array(*map(F.lit, t))), F.lit(False))
+    trace = (F.col("target_kind") == "trace") & (F.col("layer") == "L1")
+    rank = F.when(has("first-encounter-report", "onboarding-report"), -100).when(trace & ~has("agent-source"), 0).when(trace, 1).otherwise(2)
+    return j.withColumn("rank", rank).orderBy("rank", F.desc("_c"), "next_at", "created_at", "id").drop("_m", "_t", "layer")

@@ -95,3 +95,44 @@ def balanced_sample(df: DataFrame, source: str, recency: str, ident: str, limit:
     """Round robin over sources, newest first, until limit rows."""
     w = W.partitionBy(source).orderBy(F.desc(recency), ident)
     return df.withColumn("turn_in", F.row_number().over(w)).orderBy("turn_in", source).limit(limit)
+
+
+def incremental_turns(df: DataFrame, conv: str, order: str, role: str, text: str, at: str, boundary: object) -> DataFrame:
+    """Messages of complete turns that begin after the boundary; what precedes a
+    conversation's first user message belongs to no turn."""
+    t = split_turns(df, conv, order, role)
+    whole = complete_turns(t, conv, order, role, text).filter("complete").select(F.col(conv).alias("_c"), F.col("turn_no").alias("_t"))
+    began = t.groupBy(F.col(conv).alias("_c2"), F.col("turn_no").alias("_t2")).agg(F.min(at).alias("_at")).filter(F.col("_at") > F.lit(boundary))
+    kept = t.join(whole, (F.col(conv) == F.col("_c")) & (F.col("turn_no") == F.col("_t")), "left_semi")
+    return kept.join(began, (F.col(conv) == F.col("_c2")) & (F.col("turn_no") == F.col("_t2")), "left_semi")
+
+
+def latest_episode(df: DataFrame, session: str) -> DataFrame:
+    """Open before processing before closed; newest update, newest opening, last inserted."""
+    rank = F.when(F.col("status") == "open", 0).when(F.col("status") == "processing", 1).otherwise(2)
+    w = W.partitionBy(session).orderBy(rank, F.desc("updated_at"), F.desc("opened_at"), F.desc("ord"))
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def appended_turns(turns: DataFrame, episode: str, raw: str, memory: str, order: str) -> DataFrame:
+    """Per episode the distinct raw turns and memories, in order of first sight."""
+    seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("v")))), lambda s: s["v"]))
+    return turns.groupBy(episode).agg(seen(raw).alias("raw_turn_ids"), seen(memory).alias("memory_ids")).withColumn("turn_count", F.size("raw_turn_ids"))
+
+
+def closed(episodes: DataFrame, which: Column, now: Column) -> DataFrame:
+    """Closes episodes; ones that are closed keep their time."""
+    end = which & (F.col("status") != "closed")
+    return episodes.withColumns({"closed_at": F.when(which, F.coalesce("closed_at", now)).otherwise(F.col("closed_at")), "status": F.when(end, "closed").otherwise(F.col("status"))})
+
+
+def reopened(episodes: DataFrame, which: Column) -> DataFrame:
+    """Opens episodes again: no close time, no reward."""
+    null = lambda c: F.when(which, None).otherwise(F.col(c))
+    return episodes.withColumns({"status": F.when(which, "open").otherwise(F.col("status")), "closed_at": null("closed_at"), "r_task": null("r_task")})
+
+
+def has_matching_turn(episodes: DataFrame, turns: DataFrame, episode: str, own: Column, text: str, query: str) -> DataFrame:
+    """Episodes that hold the query themselves or in one of their turns."""
+    hit = turns.filter(F.contains(F.lower(text), F.lit(query.strip().lower()))).select(F.col(episode).alias("_e")).distinct()
+    return episodes.join(hit, F.col(episode) == F.col("_e"), "left").filter(F.contains(F.lower(own), F.lit(query.strip().lower())) | F.col("_e").isNotNull()).drop("_e")

@@ -68,7 +68,7 @@ def test_status_machines(spark):
     assert one(spark, S.policy_status(F.lit("archived"), F.lit(9), F.lit(0.9))) == "archived"
     assert one(spark, S.status_after_drift(F.lit("active"), F.lit(0.1))) == "archived"
     assert one(spark, S.reward_axes(F.lit(1.0), F.lit(1.0), F.lit(1.0))) == 1.0
-    assert one(spark, S.world_confidence(F.lit(0.8), F.lit("loose"), F.lit(0.5))) == pytest.approx(0.6)
+    assert one(spark, S.world_confidence(F.lit(0.8), F.lit("loose"), F.lit(0.5))) == pytest.approx(0.64)
     assert one(spark, S.eta_after_drift(F.lit(0.5), F.lit(1.0))) == pytest.approx(0.65)
 
 
