@@ -22,6 +22,9 @@ GRAMS = (3, 4, 5)
 ROUNDS = 200
 #: Fixed values of the contract: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Words of unwanted and of wanted hosts; seed_urls() makes the labelled table of them.
+UNWANTED = ("casino", "poker", "bets", "jackpot", "slots", "pills", "pharma", "viagra", "adult", "xxx", "porn", "sexcam", "spam", "ads", "track", "popup", "clicks", "cheap", "free", "win", "bonus", "loans", "replica", "warez", "torrent", "farm", "hot", "x")
+WANTED = ("library", "school", "news", "museum", "science", "health", "garden", "history", "city", "university", "docs", "wiki", "music", "travel", "weather", "books", "forum", "recipes", "sports", "nature", "theatre", "archive", "journal", "health", "tion", "then", "ther", "ond", "est", "ing", "anth", "ereon")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +47,22 @@ def rule_for(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return rule, verdict
 
 
+def seed_urls() -> list[tuple[str, str, bool]]:
+    """(host, path, allowed): each pair of neighbouring words of a list, with and without
+    a hyphen. Endings, prefixes and paths go round alike for both labels, so only the
+    names tell them apart."""
+    ends, heads, langs = ("com", "net", "org"), ("", "www.", "m.", "blog."), ("en", "de", "fr", "es")
+    out = []
+    for allowed, names in ((False, UNWANTED), (True, WANTED)):
+        k = 0
+        for step in (1, 2, 3, 5, 7):
+            for i, a in enumerate(names):
+                host = a + ("-" if (i + step) % 4 or not allowed else "") + names[(i + step) % len(names)] if step < 7 or not allowed else a
+                out.append((f"{heads[k % 4]}{host}.example.{ends[k % 3]}", f"/{langs[k // 2 % 4]}/{k * 7919 % 50000}", allowed))
+                k += 1
+    return out
+
+
 def slots(host: str, path: str) -> np.ndarray:
     """The distinct slots of a URL's n-grams."""
     found = set()
@@ -90,12 +109,11 @@ def _scorer(shared: object) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, most_labels: int = 4000, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, most_labels: int = 4000, threshold: float = 0.35) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
-    labelled (url, allowed) trains the model; without it, the URLs that the rules
-    decide do. The training table is small by contract: of it the most_labels rows
-    with the smallest hash count. score is the model's estimate that the URL may pass;
+    labelled (url, allowed) trains the model; without it, seed_urls() does. The table is
+    small by contract: of it the most_labels rows with the smallest hash count. score is the model's estimate that the URL may pass;
     a verdict is the rule's, else allow from threshold on. A null URL, or one without
     ://, has empty host and path, no rule, and the model's verdict on those. Rows are
     judged one by one, so repeats and empty tables need no rule.
@@ -108,11 +126,11 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, id_col: str
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     if labelled is None:
-        taught = rows.filter("ruled is not null").select("host", "path", (F.col("ruled") == "allow").alias("allowed"))
+        examples = seed_urls()
     else:
         taught = labelled.filter(F.col("allowed").isNotNull()).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "allowed")
-    chosen = taught.orderBy(F.xxhash64("host", "path"), "host", "path", "allowed").limit(most_labels).collect()
-    shared = spark.sparkContext.broadcast(train([(r["host"], r["path"], r["allowed"]) for r in chosen]))
+        examples = [tuple(r) for r in taught.orderBy(F.xxhash64("host", "path"), "host", "path", "allowed").limit(most_labels).collect()]
+    shared = spark.sparkContext.broadcast(train(examples))
     kind = rows.schema["page_id"].dataType.simpleString()
     scored = rows.mapInArrow(_scorer(shared), f"page_id {kind}, host string, path string, rule string, ruled string, score double")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
