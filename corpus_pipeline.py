@@ -7,7 +7,8 @@ tests/llm holds the pipeline against a brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.llm import bpe, exact_dedup, language_id, mixing, queries, simhash
@@ -18,8 +19,19 @@ MIN_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _rowed(docs: DataFrame) -> DataFrame:
+    """docs with __th: (doc_id, __th) tells rows apart that share a doc_id."""
+    return docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _same(docs: DataFrame, keys: DataFrame) -> Column:
+    """Rows of docs and of keys (id, th)."""
+    return docs["doc_id"].eqNullSafe(keys["id"]) & (docs["__th"] == keys["th"])
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay, as they are."""
+    """Documents whose language is known stay, as they are; texts that are null or have
+    no letter go. Rows are judged one by one, repeats alike."""
     release(spark)
     model = language_id.fit(docs.filter(~queries.held_out()).select("doc_id", "text", "lang"))
     told = language_id.identify(docs, model, "doc_id", "text", *[c for c in docs.columns if c != "doc_id"])
@@ -27,36 +39,52 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts one stays."""
+    """Of documents with equal texts one stays; of rows that repeat whole, one. Null and
+    empty texts form one group. Null doc_ids are ids like any other."""
     release(spark)
-    found = exact_dedup.exact_dedup(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("gone") == F.col("doc_id"), "left_anti")
+    rows = exact_dedup.exact_dedup(docs).groupBy(F.col("doc_id").alias("id"), "th").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, "rows")
+    own = _rowed(docs)
+    gone, twice = rows.filter("not stays"), rows.filter("stays and n > 1")
+    left = own.join(gone, _same(own, gone), "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, _same(left, twice), "left_anti").unionByName(left.join(twice, _same(left, twice), "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return left.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays."""
+    """Of each component the row with the smallest doc_id stays (null last), then with the
+    smallest hash of its text; rows that repeat whole stay or go together."""
     release(spark)
-    found = simhash.near_dedup(docs)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("gone") == F.col("doc_id"), "left_anti")
+    found = stage(simhash.near_dedup(docs).select(F.col("doc_id").alias("id"), "th", "root"), "near")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th"))
+    best = found.groupBy("root").agg(first.alias("b")).select(F.col("root").alias("r"), F.col("b.id").alias("bid"), F.col("b.th").alias("bth"))
+    gone = found.join(best, F.col("root") == F.col("r")).filter(~(F.col("id").eqNullSafe(F.col("bid")) & (F.col("th") == F.col("bth")))).select("id", "th").distinct()
+    own = _rowed(docs)
+    return own.join(gone, _same(own, gone), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one at a source's cut ends
-    after as many words as the budget has left."""
+    """Each document as often as the mix takes it; the one at a source's cut ends after as
+    many words as the budget has left. Rows without words are taken zero times. Rows that
+    repeat whole are taken each; what the cut takes of them is shared out as one row's."""
     release(spark)
-    plan = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), "size", "taken")
-    rows = docs.join(plan, F.col("id") == F.col("doc_id"))
-    epochs = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = rows.withColumn("epoch", F.explode(epochs))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
+    own = _rowed(docs)
+    plan = mixing.mix(own, "doc_id", "text", "source", "mix", "__th").filter("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("__th").alias("th"), "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
+    copies = F.row_number().over(W.partitionBy("doc_id", "__th").orderBy("size"))
+    rows = own.join(plan, _same(own, plan))
+    if not plan.filter("n > 1").isEmpty():
+        rows = rows.withColumn("__copy", copies).filter("__copy = 1").drop("__copy")
+    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("__epoch") - 1) * F.col("size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0)), F.lit(1), words.cast("int")), " ")
     text = F.when(words == F.col("size"), F.col("text")).otherwise(cut)
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's token count and digests; a document taken twice has two rows."""
     release(spark)
     return bpe.encode_decode(docs, queries.VOCABULARY)
 

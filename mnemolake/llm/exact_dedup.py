@@ -165,7 +165,8 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 1 << 18, salt_rows: int = 512) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, th (a
+    hash of the text as it is).
 
     Null texts count as empty, and all empty texts form one group. Of equal texts
     the one with the most code points stays, then the smallest doc_id (null ids
@@ -206,6 +207,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | ((F.col("copy") == 1) & F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.th") == F.col("th")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "th",
     )
 
 

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("th")
 
 
 def held_out() -> Column:
@@ -37,7 +37,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("root", "th")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _fingerprints(shingle: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator
             at, raw = utf8(batch.column("text"))
             data = raw.tobytes()
             fps = [fingerprint(data[a:b], shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
@@ -206,7 +206,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, root (a
+    fingerprint that names the component), th (a hash of the text).
 
     component_id is the smallest doc_id reachable over links of fingerprints at most
     radius bits apart, own one included (null ids last; null if all are null). Texts
@@ -217,13 +218,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = keyed(docs, id_col, text_col).select("doc_id", "text")
+    rows = keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    slim = stage(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "simhash")
+    slim = stage(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, th long, fp long"), "simhash")
     distinct = stage(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(linked(distinct.select("fp"), radius))
     placed = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = stage(placed.join(best, "root").select(F.col("fp").alias("key"), "component_id"), "component")
+    answer = stage(placed.join(best, "root").select(F.col("fp").alias("key"), "component_id", "root"), "component")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return slim.join(answer, F.col("fp") == F.col("key")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return slim.join(answer, F.col("fp") == F.col("key")).select("doc_id", hexed.alias("fingerprint"), "component_id", "root", "th")
