@@ -52,9 +52,17 @@ def blocks_first(status: Column) -> Column:
     return F.when(status == "blocked", 0).otherwise(1)
 
 
+def _leads(how: str, from_root: bool, source: str | None, target: str | None) -> bool:
+    """Whether a path may take an edge: from the root by decomposition; else to what is
+    blocked, on from what is frozen, or on from what has not failed."""
+    if from_root:
+        return how == "decomposes"
+    return {"blocks": target == "blocked", "supersedes": source == "frozen", "continues": source not in ("failed", "frozen")}.get(how, False)
+
+
 def active_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, path): node ids from the root to the best open node that leads back to it
-    over its incoming edges, first parents by id; the root alone if there is none. A graph
+    """(graph, path): node ids from the root to the best open node that leads back to it,
+    first parents by id; the root alone if there is none. A graph
     is one session's, and fits a worker."""
 
     def run(key: tuple, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
@@ -65,10 +73,8 @@ def active_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         root = tasks.sort_values(["r", "updated_at", "importance", "id"], ascending=[True, False, False, True]).iloc[0]["id"]
         kind = dict(zip(ns.id, ns.kind, strict=True))
         out: dict = {}
-        into: dict = {}
         for s, t in zip(es.source, es.target, strict=True):
             out.setdefault(s, []).append(t)
-            into.setdefault(t, []).append(s)
 
         def spread(first: list) -> set:
             seen, todo = set(), list(first)
@@ -83,21 +89,55 @@ def active_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         inner = spread([root]) - sides
         front = ns[ns.id.isin(inner) & (ns.kind != "task") & ns.status.isin(["active", "blocked"])].copy()
         front["b"] = front.status != "blocked"
+        state = dict(zip(ns.id, ns.status, strict=True))
+        leads: dict = {}
+        for p, t, how in zip(es.source, es.target, es.type, strict=True):
+            if p in inner and t in inner and _leads(how, p == root, state.get(p), state.get(t)):
+                leads.setdefault(t, []).append(p)
         for x in front.sort_values(["b", "importance", "updated_at", "id"], ascending=[True, False, False, True]).id:
-            # breadth first back to the root: each node's parent is the first that reached it
-            parent, todo = {x: None}, [x]
-            while todo and root not in parent:
+            # breadth first back to the root, over the edges that a path may take
+            after, todo = {x: None}, [x]
+            while todo and root not in after:
                 at = todo.pop(0)
-                for p in sorted(into.get(at, [])):
-                    if p in inner and p not in parent:
-                        parent[p] = at
+                for p in sorted(leads.get(at, [])):
+                    if p not in after:
+                        after[p] = at
                         todo.append(p)
-            if root in parent:
+            if root in after:
                 path, at = [], root
                 while at is not None:
                     path.append(at)
-                    at = parent[at]
+                    at = after[at]
                 return pd.DataFrame({"graph": [key[0]], "path": [path]})
         return pd.DataFrame({"graph": [key[0]], "path": [[root]]})
 
     return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(run, "graph long, path array<long>")
+
+
+def unreachable(added: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Added nodes (graph, node) that no task reaches."""
+    tasks = nodes.filter("kind = 'task'").select("graph", F.col("id").alias("root"))
+    return added.join(reachable(tasks, edges).select("graph", "node").distinct(), ["graph", "node"], "left_anti")
+
+
+def transition_faults(nodes: DataFrame, edges: DataFrame, added: DataFrame) -> DataFrame:
+    """(graph, fault): more than one open task; an added task that is not open, or whose one
+    incoming edge from a task does not suit how that task ended."""
+    tasks = nodes.filter("kind = 'task'")
+    many = tasks.filter(F.col("status").isin("active", "blocked")).groupBy("graph").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("graph", F.lit("several open tasks").alias("fault"))
+    new = added.join(tasks.select("graph", F.col("id").alias("node"), "status"), ["graph", "node"])
+    shut = new.filter(~F.col("status").isin("active", "blocked")).select("graph", F.lit("added task is not open").alias("fault"))
+    old = tasks.select("graph", F.col("id").alias("source"), F.col("status").alias("ended"))
+    into = edges.withColumnRenamed("target", "node").join(new.select("graph", "node"), ["graph", "node"]).join(old, ["graph", "source"], "left")
+    want = F.when(F.col("ended").isin("done", "failed"), "continues").when(F.col("ended") == "frozen", "supersedes")
+    g = into.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("type") == want).cast("int")).alias("ok"))
+    odd = g.filter((F.col("n") != 1) | (F.coalesce("ok", F.lit(0)) == 0)).select("graph", F.lit("transition does not fit").alias("fault"))
+    return many.unionByName(shut).unionByName(odd)
+
+
+def builder_context(nodes: DataFrame, most: int) -> DataFrame:
+    """Tasks and open nodes always, then others by importance up to `most` a graph; the
+    ones that must be there may exceed it."""
+    must = (F.col("kind") == "task") | F.col("status").isin("active", "blocked")
+    w = W.partitionBy("graph").orderBy(F.desc(must), F.desc("importance"), F.desc("updated_at"), "id")
+    return nodes.withColumn("_n", F.row_number().over(w)).filter(must | (F.col("_n") <= most)).drop("_n")

@@ -669,7 +669,7 @@ def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_active_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.active_paths(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").otherwise("next")))
+    return G.active_paths(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").when(Col("source") % 7 == 0, "decomposes").otherwise("continues")))
 
 
 # --- streams ---------------------------------------------------------------------------

@@ -139,7 +139,7 @@ def test_upsert_and_import(spark):
 
 
 def test_graph(spark):
-    edges = spark.createDataFrame([(1, 1, 2, "n"), (1, 2, 3, "n"), (1, 3, 1, "n"), (1, 2, 4, "side_branch"), (1, 4, 5, "n")], "graph long, source long, target long, type string")
+    edges = spark.createDataFrame([(1, 1, 2, "decomposes"), (1, 2, 3, "continues"), (1, 3, 1, "continues"), (1, 2, 4, "side_branch"), (1, 4, 5, "continues")], "graph long, source long, target long, type string")
     nodes = spark.createDataFrame([(1, 1, "task", "active", 1, 1), (1, 2, "step", "done", 1, 1), (1, 3, "step", "active", 1, 1), (1, 4, "step", "active", 9, 1), (1, 5, "step", "blocked", 9, 1)], "graph long, id long, kind string, status string, importance long, updated_at long")
     start = spark.createDataFrame([(1, 1)], "graph long, root long")
     assert {r["node"] for r in G.reachable(start, edges).collect()} == {1, 2, 3, 4, 5}
