@@ -208,7 +208,7 @@ def _predictor(shared: object) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
-def fit(labelled: DataFrame, texts_per_language: int = 400, most_bytes: int = 1 << 16) -> Model:
+def fit(labelled: DataFrame, texts_per_language: int = 400, most_bytes: int = 1 << 14) -> Model:
     """From (doc_id, text, lang). The sample is bounded: of each language the
     texts_per_language rows with the smallest hash of doc_id, among texts of at most
     most_bytes; whole texts are used. Rows without text or lang teach nothing."""

@@ -113,8 +113,9 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # by moments over hosts: mean m, variance v, a + b = m (1 - m) / v - 1
     prior = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
     m, v = F.col("s") / F.col("k"), F.col("q") / F.col("k") - (F.col("s") / F.col("k")) * (F.col("s") / F.col("k"))
-    prior = prior.select(m.alias("m"), F.when(v > 1e-12, F.greatest(m * (1 - m) / v - 1, F.lit(1.0))).otherwise(1.0).alias("weight"))
-    judged = hosts.join(F.broadcast(prior)).select(F.col("host").alias("name"), (((F.col("f") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))) < limit).alias("host_ok"))
+    prior = prior.select(m.alias("m"), F.when(v > 1e-12, F.greatest(m * (1 - m) / v - 1, F.lit(1.0))).otherwise(1.0).alias("weight")).first()
+    mean, weight = prior["m"] or 0.0, prior["weight"]  # two numbers of the whole corpus
+    judged = hosts.select(F.col("host").alias("name"), ((F.col("f") + F.lit(mean) * weight) / (F.col("n") + F.lit(weight)) < limit).alias("host_ok"))
     out = slim.join(judged, F.col("host").eqNullSafe(F.col("name")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
