@@ -164,7 +164,7 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("fp", "nb", "salt", "cls")] + [pa.array(number, pa.int32())], names=["fp", "nb", "salt", "cls", "gcls"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 1 << 18, salt_rows: int = 512) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 1 << 18, salt_rows: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, th (a
     hash of the text as it is).
 
