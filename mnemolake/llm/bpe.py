@@ -39,8 +39,8 @@ NONE = np.int64(1 << 60)
 #: engines could differ: all but ASCII's printable ones and Latin letters.
 PLAIN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
-#: A blank beside other white space, or at an end.
-LOOSE = re.compile(r"\s | \s|^ | $|\x1c|\x1d|\x1e|\x1f")
+#: White space but the blank and the line feed: texts with it are not cut at blanks.
+ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CUT = regex.compile(r"\P{White_Space}(?=\p{White_Space})")
 
 
@@ -93,26 +93,28 @@ class Tokenizer:
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), np.array([len(w) for w in words], np.int64))
         done_sym, done_word = [], []
+        rank, which = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+        fresh = np.arange(len(sym))  # symbols whose pair with the next is not looked up yet
         while len(sym):
-            linked = word[:-1] == word[1:]
-            rank = np.full(len(sym), NONE)
-            which = np.zeros(len(sym), np.int64)
-            r, at = self.lookup(sym[:-1], sym[1:])
-            rank[:-1] = np.where(linked, r, NONE)
-            which[:-1] = at
-            begin = np.nonzero(np.concatenate([[True], ~linked]))[0]
-            size = np.diff(np.append(begin, len(sym)))
-            low = np.repeat(np.minimum.reduceat(rank, begin), size)
+            fresh = fresh[fresh < len(sym) - 1]
+            linked = word[fresh] == word[fresh + 1]
+            rank[fresh[~linked]] = NONE
+            fresh = fresh[linked]
+            rank[fresh], which[fresh] = self.lookup(sym[fresh], sym[fresh + 1])
+            rank[-1] = NONE
+            begin = np.nonzero(np.append(True, word[1:] != word[:-1]))[0]
+            low = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(sym))))
             over = low == NONE
-            done_sym.append(sym[over])  # finished words leave the array
-            done_word.append(word[over])
-            stay = ~over
-            sym, word, rank, which, low = sym[stay], word[stay], rank[stay], which[stay], low[stay]
+            if over.any():  # finished words leave the array
+                done_sym.append(sym[over])
+                done_word.append(word[over])
+                stay = ~over
+                sym, word, rank, which, low = sym[stay], word[stay], rank[stay], which[stay], low[stay]
             where = np.nonzero(rank == low)[0]
             if not len(where):
-                continue
+                break
             if self.at_once:  # of overlapping pairs (aaa) every other one, from the left
-                run = np.concatenate([[True], np.diff(where) > 1])
+                run = np.append(True, np.diff(where) > 1)
                 start = where[np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))]
                 where = where[(where - start) % 2 == 0]
             else:
@@ -121,7 +123,9 @@ class Tokenizer:
             sym[where] = self.made[which[where]]
             keep = np.ones(len(sym), bool)
             keep[where + 1] = False
-            sym, word = sym[keep], word[keep]
+            fresh = where - np.arange(len(where))  # where the merged symbols move to
+            fresh = np.concatenate([fresh, fresh[fresh > 0] - 1])
+            sym, word, rank, which = sym[keep], word[keep], rank[keep], which[keep]
         sym, word = np.concatenate([sym, *done_sym]), np.concatenate([word, *done_word])
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
@@ -178,7 +182,13 @@ class Tokenizer:
         return out
 
     def words(self, text: str) -> list[str]:
-        """The pattern's words; by the built-in engine where both agree."""
+        """The pattern's words; by the built-in engine where both agree. A blank and
+        letters are one word, a mark after them another."""
+        if text[:1] == " ":
+            if text[1:].isalpha():
+                return [text]
+            if text[-1] in ".,;:!?" and text[1:-1].isalpha():
+                return [text[:-1], text[-1]]
         return (PLAIN if not ODD.search(text) else self.pattern).findall(text)
 
     def segments(self, text: str) -> Iterator[str]:
@@ -197,7 +207,7 @@ class Tokenizer:
         """Cut before each lone blank: what follows it depends on nothing before."""
         if not text:
             return []
-        if LOOSE.search(text):
+        if ODD_SPACE.search(text) or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
             return self.words(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
