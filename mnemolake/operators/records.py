@@ -134,10 +134,14 @@ def pending_trials(feedback: DataFrame, trials: DataFrame, most: int = 20) -> Da
     """(feedback_id, trial_id): pending trials of the same turn, or of the same episode if
     no turn is told; up to `most`, newest first."""
     p = trials.filter("outcome = 'pending'").select("trial_id", F.col("turn_id").alias("_t"), F.col("episode_id").alias("_e"), F.col("at").alias("_at"))
-    by_turn = feedback.filter("turn_id is not null").join(p, F.col("turn_id") == F.col("_t"))
-    by_episode = feedback.filter("turn_id is null").join(p, F.col("episode_id") == F.col("_e"))
-    w = W.partitionBy("feedback_id").orderBy(F.desc("_at"), "trial_id")
-    return by_turn.unionByName(by_episode).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select("feedback_id", "trial_id")
+
+    def newest(key: str) -> DataFrame:  # before the join, which then takes `most` rows a feedback at most
+        w = W.partitionBy(key).orderBy(F.desc("_at"), "trial_id")
+        return p.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+
+    by_turn = feedback.filter("turn_id is not null").join(newest("_t"), F.col("turn_id") == F.col("_t"))
+    by_episode = feedback.filter("turn_id is null").join(newest("_e"), F.col("episode_id") == F.col("_e"))
+    return by_turn.unionByName(by_episode).select("feedback_id", "trial_id")
 
 
 def repairs(contrast: DataFrame, recent: DataFrame, key: str, value: str, least: float = 0.5) -> DataFrame:

@@ -51,9 +51,9 @@ def vector_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT vec_id AS id, (1 + (vec_id % 2 = 0)::INT)::INT AS n FROM embeddings WHERE vec_id < 100")
-def vector_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_hydrate(spark: SparkSession, sf_dir: str, which: str = "id < 100") -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(Col("vec_id").alias("id"), Col("embedding").alias("vec_summary"), F.when(Col("vec_id") % 2 == 0, Col("embedding")).alias("vec_action"))
-    return D.hydrated(e.filter("id < 100").select("id"), D.vector_rows(e)[1]).select("id", F.size("vectors").alias("n"))
+    return D.hydrated(e.filter(which).select("id"), D.vector_rows(e)[1]).select("id", F.size("vectors").alias("n"))
 
 
 @query(r"SELECT conv_id * 1000 + turn AS id, CASE WHEN length(t) <= 140 THEN t ELSE left(t, 137) || '...' END AS summary FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user') WHERE trim(text) <> ''")
@@ -74,8 +74,8 @@ def job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT min(o_orderkey) AS id, o_custkey % 500 AS key FROM orders WHERE o_custkey % 500 NOT IN (SELECT event_id % 500 FROM events WHERE event_id < 200 AND event_id % 10 < 6) GROUP BY 2")
-def job_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "events").filter("event_id < 200").select((Col("event_id") % 500).alias("key"), F.when(Col("event_id") % 10 < 6, "queued").otherwise("succeeded").alias("status"))
+def job_enqueue(spark: SparkSession, sf_dir: str, which: str = "event_id < 200") -> DataFrame:
+    old = table(spark, sf_dir, "events").filter(which).select((Col("event_id") % 500).alias("key"), F.when(Col("event_id") % 10 < 6, "queued").otherwise("succeeded").alias("status"))
     new = table(spark, sf_dir, "orders").select(Col("o_orderkey").alias("id"), (Col("o_custkey") % 500).alias("key"))
     return D.enqueued(old, new)
 
@@ -92,8 +92,8 @@ def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT 0 AS stream, c FROM (SELECT event_id // 3 % 50 AS c, lag(event_id // 3 % 50) OVER (ORDER BY event_id) AS p FROM events WHERE event_id < 200) WHERE p IS NULL OR p <> c GROUP BY c HAVING count(*) > 1")
-def contiguity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 200").select(F.lit(0).alias("stream"), F.expr("event_id div 3 % 50").alias("c"), "event_id")
+def contiguity_check(spark: SparkSession, sf_dir: str, which: str = "event_id < 200") -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(which).select(F.lit(0).alias("stream"), F.expr("event_id div 3 % 50").alias("c"), "event_id")
     return D.discontiguous(e, "c", "event_id")
 
 
@@ -118,8 +118,8 @@ def existing_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH f AS (SELECT event_id AS fid, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS t, event_id % 70 AS e FROM events WHERE event_id < 300), p AS (SELECT o_orderkey AS trial, o_orderkey % 90 AS t, o_custkey % 70 AS e, o_orderdate AS d FROM orders WHERE o_orderstatus = 'O'), j AS (SELECT fid, trial, d FROM f JOIN p ON f.t = p.t UNION ALL SELECT fid, trial, d FROM f JOIN p ON f.t IS NULL AND f.e = p.e) SELECT fid AS feedback_id, trial AS trial_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d DESC, trial) AS n FROM j) WHERE n <= 20")
-def pending_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "events").filter("event_id < 300").select(Col("event_id").alias("feedback_id"), F.when(Col("event_id") % 2 == 0, Col("event_id") % 90).alias("turn_id"), (Col("event_id") % 70).alias("episode_id"))
+def pending_trials(spark: SparkSession, sf_dir: str, which: str = "event_id < 300") -> DataFrame:
+    f = table(spark, sf_dir, "events").filter(which).select(Col("event_id").alias("feedback_id"), F.when(Col("event_id") % 2 == 0, Col("event_id") % 90).alias("turn_id"), (Col("event_id") % 70).alias("episode_id"))
     t = table(spark, sf_dir, "orders").select(Col("o_orderkey").alias("trial_id"), (Col("o_orderkey") % 90).alias("turn_id"), (Col("o_custkey") % 70).alias("episode_id"), Col("o_orderdate").alias("at"), F.when(Col("o_orderstatus") == "O", "pending").otherwise("pass").alias("outcome"))
     return D.pending_trials(f, t)
 
@@ -160,8 +160,8 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, '{"api_key": "[redacted]", "k": ' || (props->>'$.k') || '}' AS config FROM events WHERE event_id < 500""")
-def config_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 500")
+def config_redaction(spark: SparkSession, sf_dir: str, which: str = "event_id < 500") -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(which)
     return e.select("event_id", D.redacted_config(F.concat(F.lit('{"api_key": "abc", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).alias("config"))
 
 
@@ -209,5 +209,5 @@ def graph_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id < 50) WHERE term <> '' GROUP BY 1, 2)")
-def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.postings(table(spark, sf_dir, "documents").filter("doc_id < 50"), "doc_id", "text")
+def fts_postings(spark: SparkSession, sf_dir: str, which: str = "doc_id < 50") -> DataFrame:
+    return X.postings(table(spark, sf_dir, "documents").filter(which), "doc_id", "text")

@@ -1,0 +1,42 @@
+"""NAME_whole: registered queries whose SQL takes a subset of ids, here over all rows.
+
+The SQL of NAME_whole is NAME's without the filter. They are registered apart, as
+NAME must go on answering its own SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mnemolake.plans import more_queries as M
+from mnemolake.plans import queries as P
+from mnemolake.plans import record_queries as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _whole(f: Callable[..., DataFrame], *filters: str, **all_rows: str) -> None:
+    """f under all_rows, with its SQL; filters are the SQL's own conditions, each lifted."""
+    sql = P.ORACLES[f.__name__]
+    for x in filters:
+        if x not in sql:
+            raise ValueError(f"{f.__name__}: no {x} in its SQL")
+        sql = sql.replace(x, "true")
+    QUERIES[f"{f.__name__}_whole"] = partial(f, **all_rows)
+    ORACLES[f"{f.__name__}_whole"] = sql
+
+
+_whole(R.fts_postings, "doc_id < 50", which="true")
+_whole(R.config_redaction, "event_id < 500", which="true")
+_whole(R.vector_hydrate, "vec_id < 100", which="true")
+_whole(R.contiguity_check, "event_id < 200", which="true")
+_whole(R.pending_trials, "event_id < 300", which="true")
+_whole(R.job_enqueue, "event_id < 200", which="true")
+_whole(M.resonance, "ord < 40", which="true")
+_whole(M.merge_targets, "o_custkey <= 200", "l_suppkey <= 9 AND l_linenumber = 1 AND l_partkey % 20 = 0", drafts="true", models="true")
+_whole(M.retry_upsert, "event_id < 1000", "event_id < 1200", queued="true", asked="true")
+_whole(M.retry_order, "event_id < 600", which="true")
