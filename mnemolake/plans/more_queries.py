@@ -338,9 +338,9 @@ def feedback_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs and vectors ----------------------------------------------------------------
 @query("WITH RECURSIVE e AS (SELECT c_nationkey AS graph, c_custkey AS source, c_custkey + 25 * (c_custkey % 3 + 1) AS target FROM customer WHERE c_custkey <= 1500 UNION ALL SELECT c_nationkey, c_custkey, c_custkey + 25 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey <= 1500), n AS (SELECT c_nationkey AS graph, c_custkey AS id FROM customer WHERE c_custkey <= 1500 AND c_custkey % 7 <> 0), o AS (SELECT e.* FROM e JOIN n ON n.graph = e.graph AND n.id = e.target), r(graph, node) AS (SELECT DISTINCT graph, target FROM o WHERE source % 11 = 0 UNION SELECT r.graph, o.target FROM r JOIN o ON o.graph = r.graph AND o.source = r.node) SELECT graph::BIGINT AS graph, count(*) AS n FROM r GROUP BY 1")
-def graph_side_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").otherwise("next"))
-    return G.side_branches(_nodes(spark, sf_dir), e).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+def graph_side_branches(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
+    e = _edges(spark, sf_dir, which).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").otherwise("next"))
+    return G.side_branches(_nodes(spark, sf_dir, which), e).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT vec_id, round(sqrt(sum(x * x)), 5) AS norm FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")

@@ -198,14 +198,14 @@ def policy_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT c_nationkey::BIGINT AS graph, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3)) DESC, c_acctbal DESC, c_custkey * 13 % 97 DESC, c_custkey) AS n FROM customer WHERE c_custkey <= 1500) WHERE c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3) OR n <= 40 GROUP BY 1")
-def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.builder_context(_nodes(spark, sf_dir), 40).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+def graph_context(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
+    return G.builder_context(_nodes(spark, sf_dir, which), 40).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_nationkey::BIGINT AS graph, 'several open tasks' AS fault FROM customer WHERE c_custkey <= 1500 AND c_custkey % 7 = 0 AND c_custkey % 4 IN (0, 3) GROUP BY 1 HAVING count(*) > 1")
-def graph_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_transitions(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
     none = spark.createDataFrame([], "graph long, node long")
-    return G.transition_faults(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("type", F.lit("continues")), none)
+    return G.transition_faults(_nodes(spark, sf_dir, which), _edges(spark, sf_dir, which).withColumn("type", F.lit("continues")), none)
 
 
 @query("SELECT doc_id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id < 50) WHERE term <> '' GROUP BY 1, 2)")

@@ -40,3 +40,11 @@ _whole(M.resonance, "ord < 40", which="true")
 _whole(M.merge_targets, "o_custkey <= 200", "l_suppkey <= 9 AND l_linenumber = 1 AND l_partkey % 20 = 0", drafts="true", models="true")
 _whole(M.retry_upsert, "event_id < 1000", "event_id < 1200", queued="true", asked="true")
 _whole(M.retry_order, "event_id < 600", which="true")
+_whole(P.multi_query_fusion, "ord < 200", which="true")
+_whole(P.overlap_coefficient, "l_suppkey <= 12", which="true")
+_whole(P.graph_reach, "c_custkey <= 1500", "source <= 40", which="true", roots="true")
+_whole(P.graph_cycle, "c_custkey <= 1500", "source <= 40", which="true", roots="true")
+_whole(P.graph_root, "c_custkey <= 1500", which="true")
+_whole(R.graph_context, "c_custkey <= 1500", which="true")
+_whole(R.graph_transitions, "c_custkey <= 1500", which="true")
+_whole(M.graph_side_branches, "c_custkey <= 1500", which="true")

@@ -32,3 +32,27 @@ def test_every_row_counts(spark, duck):  # noqa: F811
     assert q["retry_upsert_whole"].count() == events
     assert q["merge_targets_whole"].count() == one("SELECT count(DISTINCT o_custkey) FROM orders")
     assert q["resonance_whole"].count() > 39
+
+
+def test_customers_beyond_1500(spark, tmp_path):
+    """1,500 customers of one nation, told by hand: the tables of the other tests are too small."""
+    c = spark.range(1501, 3001).selectExpr("id as c_custkey", "0 as c_nationkey", "cast(id as double) as c_acctbal")
+    c.write.parquet(str(tmp_path / "customer.parquet"))
+    q = {name: entry.queries()[name] for name in ("graph_reach_whole", "graph_cycle_whole", "graph_root_whole", "graph_context_whole", "graph_active_path")}
+    rows = {name: f(spark, str(tmp_path)).collect() for name, f in q.items()}
+    step = lambda k: [k + 25 * (k % 3 + 1)] + [k + 25] * (k % 5 == 0)
+    want = {}
+    for k in range(3000, 1500, -1):
+        want[k] = {k}.union(*[want.get(t, {t}) for t in step(k)])
+    assert {r["root"]: (r["n"], r["furthest"]) for r in rows["graph_reach_whole"]} == {k: (len(v), max(v)) for k, v in want.items()}
+    assert {r["target"]: r["cycle"] for r in rows["graph_cycle_whole"]} == {k: k + 25 * (k % 9) in want[k] for k in want}
+    tasks = [k for k in range(1505, 3001, 7) if k % 4 in (0, 3)]
+    root = max(tasks, key=lambda k: (k * 13 % 97, k))
+    assert [r["id"] for r in rows["graph_root_whole"]] == [root]
+    assert [r["n"] for r in rows["graph_context_whole"]] == [len([k for k in range(1501, 3001) if k % 7 == 0 or k % 4 in (0, 3)])]
+    assert rows["graph_active_path"][0]["path"][0] == root
+
+
+def test_all_suppliers_and_memories(spark, duck):  # noqa: F811
+    n = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchall()[0][0]
+    assert entry.queries()["overlap_coefficient_whole"](spark, DATA).count() == n * (n - 1) // 2
