@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes what its predecessor kept and, but for the last, returns the
-columns of documents. ORACLE_SQL is None: language ID and SimHash are beyond SQL;
+columns of documents. ORACLE_SQL is None: language ID and near dedup are beyond SQL;
 tests/llm holds the pipeline against a brute-force version.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, exact_dedup, language_id, mixing, queries, simhash
+from mnemolake.llm import bpe, exact_dedup, jaccard, language_id, mixing, queries
 from mnemolake.llm.common import WORD_CLASS, release, stage
 
 #: A document goes if its language is in doubt: no letters, or a posterior below this.
@@ -53,10 +53,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays (null last), then with the
+    """Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked. Of
+    each component the row with the smallest doc_id stays (null last), then with the
     smallest hash of its text; rows that repeat whole stay or go together."""
     release(spark)
-    found = stage(simhash.near_dedup(docs).select(F.col("doc_id").alias("id"), "th", "root"), "near")
+    found = stage(jaccard.near_texts(docs).select(F.col("doc_id").alias("id"), "th", "root"), "near")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th"))
     best = found.groupBy("root").agg(first.alias("b")).select(F.col("root").alias("r"), F.col("b.id").alias("bid"), F.col("b.th").alias("bth"))
     gone = found.join(best, F.col("root") == F.col("r")).filter(~(F.col("id").eqNullSafe(F.col("bid")) & (F.col("th") == F.col("bth")))).select("id", "th").distinct()

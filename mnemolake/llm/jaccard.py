@@ -1,0 +1,149 @@
+"""Near-dedup by the exact Jaccard similarity of word shingles.
+
+Candidates share a bucket: one of BANDS groups of WIDTH min-hashes. A pair of similarity
+0.8 shares none with a probability of (1 - 0.8 ** 4) ** 32, or 5e-8. Every pair in question
+is then compared by its whole shingle sets, so no pair below LEAST is linked.
+
+Small buckets are paired out. In larger ones each text meets STARS texts first; what
+is still in another component than most of its bucket then meets all of it. A large
+group of near copies is thus linked without pairing it out, and no pair that could
+join two components goes untested.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mnemolake.llm.common import keyed, mix64, stage, tune, utf8
+from mnemolake.llm.components import components
+
+SEED = 42
+SHINGLE = 5
+#: The least similarity, as a fraction.
+LEAST = (4, 5)
+BANDS, WIDTH = 32, 4
+#: Buckets of up to so many texts are paired out; texts of larger ones meet so many.
+SMALL, STARS = 16, 4
+#: Shingles that meet all hash functions at once.
+PIECE = 1 << 12
+_K = np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)[:, None]
+_XOR, _ODD = mix64(_K * np.uint64(2)), mix64(_K * np.uint64(2) + np.uint64(1)) | np.uint64(1)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words than SHINGLE are one."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - SHINGLE + 1)].tolist()
+    stops = ends[min(SHINGLE, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def buckets(found: np.ndarray) -> np.ndarray:
+    """One number per band."""
+    low = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(found), PIECE):
+        np.minimum(low, ((found[None, a : a + PIECE] ^ _XOR) * _ODD).min(1), out=low)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, WIDTH).T:
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) ^ column)
+    return out
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    at, raw = utf8(batch.column("text"))
+    data = raw.tobytes()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield data[a:b].lower().split()  # both in ASCII terms: A-Z and \x20 \x09-\x0D
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node names a text but for case and white space; n counts its shingles."""
+    for batch in batches:
+        node, n, rows = [], [], [np.zeros(0, np.uint64)]
+        for words in _words(batch):
+            found = shingles(words)
+            node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+            n.append(len(found))
+            rows.append(buckets(found))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(rows).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], names=["doc_id", "th", "node", "n", "buckets"])
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(w).tobytes() for w in _words(batch)], pa.binary())], names=["node", "found"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity is LEAST or more, in whole numbers."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * shared >= LEAST[0] * (len(a) + len(b) - shared)
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = batch.column("x"), batch.column("y")
+        ok = [similar(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) for p, q in zip(left, right, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sizes that allow the similarity."""
+    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) that are similar. Pairs are stored first, so a hot text is split."""
+    held = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    x, y = sets.select(F.col("node").alias("u"), F.col("found").alias("x")), sets.select(F.col("node").alias("v"), F.col("found").alias("y"))
+    return stage(held.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verified, "u long, v long"), "similar")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, th (a hash of the text), root (names the component).
+
+    Components are those of texts whose sets of lower-case five-word shingles have a
+    Jaccard similarity of 0.8 or more. Null, empty and blank texts are one component.
+    """
+    tune(docs.sparkSession)
+    rows = keyed(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    slim = stage(rows.mapInArrow(_sketched, f"doc_id {kind}, th long, node long, n long, buckets array<long>"), "sketches")
+    one = slim.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.min("th").alias("th"))
+    placed = stage(one.select("node", "n", "th", F.explode("buckets").alias("bucket")), "placed")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n")).alias(f"s{k}") for k in range(STARS)]).filter("size > 1")
+    sizes = stage(sizes, "sizes")
+    shared = stage(placed.join(sizes.select("bucket", "size"), "bucket"), "shared")
+    # a text's hash finds one row of each candidate; rows that share it have equal texts
+    asked = shared.select("node", F.col("th").alias("_th")).distinct()
+    texts = rows.join(asked, F.col("th") == F.col("_th")).select("node", "text")
+    sets = stage(texts.mapInArrow(_sets, "node long, found binary").groupBy("node").agg(F.first("found").alias("found")), "sets")
+
+    few = shared.filter(f"size <= {SMALL}").select("bucket", "node", "n")
+    other = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("m"))
+    pairs = few.join(other, "bucket").filter((F.col("node") < F.col("v")) & _fits("n", "m")).select(F.col("node").alias("u"), "v")
+    many = shared.filter(f"size > {SMALL}").select("bucket", "node", "n")
+    hubs = sizes.filter(f"size > {SMALL}").select("bucket", F.array(*[F.struct(F.col(f"s{k}.node").alias("v"), F.col(f"s{k}.n").alias("m")) for k in range(STARS)]).alias("hubs"))
+    stars = many.join(hubs, "bucket").select("node", "n", F.explode(F.array_distinct("hubs")).alias("h")).select(F.col("node").alias("u"), "n", "h.*")
+    links = _compared(pairs.unionByName(stars.filter((F.col("u") != F.col("v")) & _fits("n", "m")).select("u", "v")), sets)
+    roots = stage(components(links), "roots")
+
+    own = many.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = stage(own, "own")
+    split = own.groupBy("bucket").agg(F.mode("root").alias("most"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket", "most")
+    if not split.isEmpty():
+        rest = own.join(split, "bucket").filter("root <> most").select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("other"))
+        left = own.join(rest, "bucket").filter((F.col("root") != F.col("other")) & _fits("n", "m")).select("u", F.col("node").alias("v"))
+        links = links.unionByName(_compared(left, sets))
+        roots = stage(components(links), "roots")
+    return slim.join(roots, F.col("node") == F.col("u"), "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
