@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most_steps: int = 64) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, root, node): nodes reachable from starts (graph, root) along edges (graph,
     source, target), roots included. Each step joins the frontier only, drops what is
-    known, and ends when nothing is new; the frontier is materialised to cut lineage."""
+    known, and ends when nothing is new, however long a path; the frontier is checkpointed
+    to cut lineage."""
+    spark = starts.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolake-"))
     known = frontier = starts.select("graph", "root", F.col("root").alias("node")).distinct()
-    for _ in range(most_steps):
+    while True:
         step = frontier.join(edges.select("graph", F.col("source").alias("node"), "target"), ["graph", "node"]).select("graph", "root", F.col("target").alias("node")).distinct()
-        frontier = step.join(known, ["graph", "root", "node"], "left_anti").checkpoint() if frontier.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.join(known, ["graph", "root", "node"], "left_anti").cache()
+        frontier = step.join(known, ["graph", "root", "node"], "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return known
         known = known.unionByName(frontier)
-    return known
 
 
 def makes_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from mnemolake.operators import graph as G
 from mnemolake.plans.whole_queries import ORACLES, QUERIES
 from tests.test_queries import DATA, duck, plain  # noqa: F401
 
@@ -56,3 +57,10 @@ def test_customers_beyond_1500(spark, tmp_path):
 def test_all_suppliers_and_memories(spark, duck):  # noqa: F811
     n = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchall()[0][0]
     assert entry.queries()["overlap_coefficient_whole"](spark, DATA).count() == n * (n - 1) // 2
+
+
+def test_long_chain(spark):
+    """70 steps: more than the 64 after which reachability once ended."""
+    edges = spark.range(70).selectExpr("1L as graph", "id as source", "id + 1 as target")
+    asked = spark.createDataFrame([(1, 70, 0), (1, 71, 0)], "graph long, source long, target long")
+    assert {r["source"]: r["cycle"] for r in G.makes_cycle(asked, edges).collect()} == {70: True, 71: False}
