@@ -1,30 +1,15 @@
-"""Words of many texts as flat arrays: where they are, and a 64-bit hash of each."""
+"""Words of many texts as flat arrays: where they are, which are equal, a hash of each."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
-from mnemolake.llm.common import SPACES, mix64
+from mnemolake.llm.common import SPACES, utf8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0x2545F4914F6CDD1D | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = 1 << 18
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base
-    with np.errstate(over="ignore"):
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(step)])
-            step = step * step % (1 << 64)
-    return out[:n]
-
-
-_UP, _DOWN = _powers(_BASE, _STEP + 1), _powers(_INVERSE, _STEP + 1)
 
 
 def words(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,38 +29,35 @@ def words(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return first, last, text
 
 
-def hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int = 0) -> np.ndarray:
-    """sum of T[byte i] * B**i over each word, modulo 2**64, finalised with its size."""
-    out = np.zeros(len(first), np.uint64)
-    table = _BYTE if not salt else mix64(_BYTE + np.uint64(salt)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        k = 0
-        while k < len(first):
-            stop = int(np.searchsorted(last, first[k] + _STEP, "right"))
-            if stop <= k:  # a word of over _STEP bytes, piece by piece
-                h = np.uint64(0)
-                for a in range(int(first[k]), int(last[k]), _STEP):
-                    piece = raw[a : min(a + _STEP, int(last[k]))]
-                    h = mix64(np.array([h]))[0] + (table[piece] * _UP[: len(piece)]).sum(dtype=np.uint64)
-                out[k] = h
-                k += 1
-                continue
-            a, b = int(first[k]), int(last[stop - 1])
-            run = np.concatenate([[np.uint64(0)], np.cumsum(table[raw[a:b]] * _UP[: b - a], dtype=np.uint64)])
-            f, e = first[k:stop] - a, last[k:stop] - a
-            out[k:stop] = (run[e] - run[f]) * _DOWN[f]
-            k = stop
-        return mix64(out + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def windows(word: np.ndarray, text: np.ndarray, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each run of width words within one text."""
-    n = len(word) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.nonzero(text[:n] == text[width - 1 :])[0]
-    with np.errstate(over="ignore"):
-        h = np.full(len(at), np.uint64(width + salt), np.uint64)
-        for k in range(width):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + word[at + k])
-    return at, h
+def coded(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each word, the distinct words): equal codes are equal words, compared byte
+    by byte. The words must be all that raw holds but white space."""
+    if not len(first):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    solid = raw[~_SPACE[raw]]
+    ends = np.concatenate([[0], np.cumsum(last - first)])
+    told = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(solid)]).dictionary_encode()
+    return told.indices.to_numpy().astype(np.int64), told.dictionary
+
+
+def hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """XXH64 of each word, taken once for each distinct one."""
+    code, distinct = coded(raw, first, last)
+    at, flat = utf8(distinct)
+    data = flat.tobytes()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(data[a:b], 7) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)[code]
+
+
+def window_groups(code: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, group) of each run of width words within one text; groups are equal
+    where text and words are, exactly."""
+    n = len(code) - width + 1
+    at = np.nonzero(text[:n] == text[width - 1 :])[0] if n > 0 else np.zeros(0, np.int64)
+    group = text[at]
+    for k in range(width):
+        span = int(code.max()) + 1 if len(code) else 1
+        if int(group.max(initial=0)) >= (1 << 62) // span:  # renumbered where the product would not fit
+            group = np.unique(group, return_inverse=True)[1]
+        group = group * span + code[at + k]
+    return at, np.unique(group, return_inverse=True)[1] if len(at) else group

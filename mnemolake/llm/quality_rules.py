@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import stage, tune, utf8
-from mnemolake.llm.flat_words import hashes, windows, words
+from mnemolake.llm.common import SPACES, stage, tune, utf8
+from mnemolake.llm.flat_words import coded, window_groups, words
 
 LIMIT = 0.5
 MIN_WORDS = 50
@@ -43,64 +43,45 @@ def _measures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACES)] = True
 
 
 def measure(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Five counts of each text: words, their code points, symbols, lines (with a
-    word) equal to an earlier one, words in 3-word windows found twice or more."""
+    word) equal to an earlier one, words in 3-word windows found twice or more. Words,
+    windows and lines are compared themselves, not by hashes."""
     n = len(at) - 1
     first, last, text = words(at, raw)
-    word = hashes(raw, first, last)
+    code, _ = coded(raw, first, last)
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
     starts = (raw & 0xC0) != 0x80
-    blank = np.zeros(256, bool)
-    blank[list(b" \t\n\x0b\x0c\r")] = True
-    chars = sums(starts & ~blank[raw])
+    chars = sums(starts & ~_BLANK[raw])
     symbols = sums(_SYMBOL[raw])
-    # windows found twice in their text
-    win, h = windows(word, text, 3)
-    repeated = np.zeros(len(word) + 1, np.int64)
+    win, group = window_groups(code, text, 3)
+    repeated = np.zeros(len(code) + 1, np.int64)
     if len(win):
-        group = _groups(text[win], h)
         again = win[np.bincount(group)[group] > 1]
         np.add.at(repeated, again, 1)
         np.add.at(repeated, again + 3, -1)
     covered = np.cumsum(repeated)[:-1] > 0
-    # lines, cut at \n and at text ends
     dup = np.zeros(n, np.int64)
-    if len(word):
-        cut = np.union1d(np.nonzero(raw == 10)[0] + 1, at)
-        cut = cut[cut < len(raw)] if len(raw) else cut
-        line_end = np.append(cut[1:], len(raw))
-        line_end = np.where((line_end > cut) & (raw[np.maximum(line_end - 1, 0)] == 10), line_end - 1, line_end)
-        ok = (line_end > cut) & (np.searchsorted(first, line_end) > np.searchsorted(first, cut))
-        lines, ends = cut[ok], line_end[ok]
-        owner = np.searchsorted(at, lines, "right") - 1
-        group = _groups(owner, hashes(raw, lines, ends, 7))
-        earlier = np.ones(len(lines), bool)
-        _, head = np.unique(group, return_index=True)
-        earlier[head] = False
-        dup = np.bincount(owner[earlier], minlength=n)
+    data = raw.tobytes()
+    for k in np.nonzero(sums(raw == 10))[0].tolist():  # texts of one line repeat none
+        lines = [x for x in data[at[k] : at[k + 1]].split(b"\n") if x.strip()]
+        dup[k] = len(lines) - len(set(lines))
     return np.stack([np.bincount(text, minlength=n), chars, symbols, dup, np.bincount(text, covered, n).astype(np.int64)])
 
 
-def _groups(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A number for each distinct (owner, h)."""
-    order = np.lexsort((h, owner))
-    new = np.concatenate([[0], np.cumsum((np.diff(owner[order]) != 0) | (h[order][1:] != h[order][:-1]))]) if len(h) else np.zeros(0, np.int64)
-    out = np.empty(len(h), np.int64)
-    out[order] = new
-    return out
-
-
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = LIMIT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept.
 
-    Null, empty and blank texts have no words and fail. A null host is a host. Windows
-    and lines are told apart by 64-bit hashes within their own text. Rows that repeat
-    count each. With fewer than two hosts, or all rates alike, the prior is the mean
-    rate with the weight of one document. An empty table gives an empty result.
+    Null, empty and blank texts have no words and fail. A null host is a host. Texts are
+    measured whole, however long. Rows that repeat count each; rows that tie in doc_id are
+    judged one by one. With fewer than two hosts, or all rates alike, the prior is the mean
+    rate with the weight of one document. An empty table gives an empty result; other
+    columns of docs, whatever their names, are ignored.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -115,7 +96,8 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m, v = F.col("s") / F.col("k"), F.col("q") / F.col("k") - (F.col("s") / F.col("k")) * (F.col("s") / F.col("k"))
     prior = prior.select(m.alias("m"), F.when(v > 1e-12, F.greatest(m * (1 - m) / v - 1, F.lit(1.0))).otherwise(1.0).alias("weight")).first()
     mean, weight = prior["m"] or 0.0, prior["weight"]  # two numbers of the whole corpus
-    judged = hosts.select(F.col("host").alias("name"), ((F.col("f") + F.lit(mean) * weight) / (F.col("n") + F.lit(weight)) < limit).alias("host_ok"))
+    # stored: its size is then known, so it is broadcast if small and a hot host is split if not
+    judged = stage(hosts.select(F.col("host").alias("name"), ((F.col("f") + F.lit(mean) * weight) / (F.col("n") + F.lit(weight)) < limit).alias("host_ok")), "hosts")
     out = slim.join(judged, F.col("host").eqNullSafe(F.col("name")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 

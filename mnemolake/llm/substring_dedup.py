@@ -9,9 +9,11 @@ equal ranges hold equal symbols, wherever they lie.
 
 A window of WIDTH words is led by the symbol, among those whose range lies in it, of
 the best class and the smallest hash: equal windows have equal leaders. So only
-windows whose leader's name occurs twice can repeat. Neighbouring windows with one
-leader make a group, whose hash is compared first; where all groups of a name agree,
-they repeat whole, and only the windows of the other names are compared one by one.
+windows whose leader's name occurs twice can repeat. Names only nominate: what they
+lead is verified by 128-bit BLAKE2 digests of the words themselves. Neighbouring
+windows with one leader make a group, whose words are verified first; where all groups
+of a name agree, they repeat whole, and only the windows of the other names are
+verified one by one.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import keyed, mix64, ragged, stage, tune, utf8
-from mnemolake.llm.flat_words import _powers, hashes, words
+from mnemolake.llm.common import mix64, ragged, stage, tune, utf8
+from mnemolake.llm.flat_words import hashes, words
 
 WIDTH = 35
 ROUNDS = 6
@@ -38,6 +40,17 @@ SEGMENT = 1 << 18
 PIECE = 1 << 21
 FAR = 1 << 40
 _BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, step = np.ones(1, np.uint64), base
+    with np.errstate(over="ignore"):
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(step)])
+            step = step * step % (1 << 64)
+    return out[:n]
+
+
 _UP = _powers(_BASE, SEGMENT + WIDTH + 1)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), SEGMENT + WIDTH + 1)
 _NONE = np.uint64((1 << 64) - 1)
@@ -71,11 +84,17 @@ def symbols(word: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> Iterato
         np.minimum(lo2[:-1], np.where(near, lo[1:], FAR), out=lo2[:-1], where=alone[:-1])
         np.maximum(hi2[:-1], np.where(near, hi[1:], FAR), out=hi2[:-1], where=alone[:-1])
         np.maximum(hi2[1:], np.where(near, hi[:-1], -FAR), out=hi2[1:], where=alone[1:])
+        # an equal neighbour that pairs off ends the run only because of the pair's other side
+        same = near & (sym[1:] == sym[:-1])
+        ends = np.nonzero(alone[:-1] & same & left[1:])[0]
+        hi2[ends] = np.maximum(hi2[ends], hi[np.minimum(ends + 2, n - 1)])
+        starts = np.nonzero(alone[1:] & same & right[:-1])[0] + 1
+        lo2[starts] = np.minimum(lo2[starts], lo[np.maximum(starts - 2, 0)])
         if alone[0]:
             lo2[0] = -FAR
         if alone[-1]:
             hi2[-1] = FAR
-        run = alone[:-1] & alone[1:] & near & (sym[1:] == sym[:-1])
+        run = alone[:-1] & alone[1:] & same
         head = np.nonzero(~(right | np.append(False, run)))[0]
         size = np.diff(np.append(head, n))
         after = sym[np.minimum(head + 1, n - 1)]
@@ -96,12 +115,12 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
-def leaders(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, leader's name, hash of all words, whether the leader's first
-    occurrence in it starts with it, so that the next window has another) of each."""
+def leaders(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, leader's name, whether the leader's first occurrence in it starts
+    with it, so that the next window has another) of each window."""
     n = len(word)
     if n < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     with np.errstate(over="ignore"):
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(word * _UP[:n], dtype=np.uint64)])
         best = {q: np.full(n, _NONE) for q in LENGTHS}
@@ -119,47 +138,56 @@ def leaders(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             first = np.minimum(first, best[q][:starts])
             lead = np.minimum(lead, _slide(best[q], WIDTH - q + 1)[:starts])
         at = np.nonzero(text[:starts] == text[WIDTH - 1 :])[0]
-        return at, lead[at], _named(prefix, at, at + WIDTH, 23), (first == lead)[at]
+        return at, lead[at], (first == lead)[at]
+
+
+class Piece:
+    """Texts a..b-1 of a batch, their words joined by one blank, laid end to end."""
+
+    def __init__(self, a: int, b: int, texts: list[bytes]) -> None:
+        self.a, self.b, self.data = a, b, b"".join(texts)
+        self.raw = np.frombuffer(self.data, np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.first, self.last, self.text = words(at, self.raw)
+        self.word = hashes(self.raw, self.first, self.last)
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """leaders() segment by segment; a window's leader depends on its words only, so
+        segments overlap by a window less one word."""
+        for a in range(0, max(len(self.word) - WIDTH + 1, 0), SEGMENT):
+            at, lead, leaves = leaders(self.word[a : a + SEGMENT + WIDTH - 1], self.text[a : a + SEGMENT + WIDTH - 1])
+            if len(at):
+                yield at + a, lead, leaves
 
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """128 bits, as two longs, of each run of words lo..hi-1."""
+        digest, data = hashlib.blake2b, self.data
+        out = b"".join([digest(data[x:y], digest_size=16).digest() for x, y in zip(self.first[lo].tolist(), self.last[hi - 1].tolist(), strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, raw, first, last, text, word) of texts a..b-1 of a batch."""
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[Piece]:
     at, raw = utf8(batch.column("text"))
-    n, a = len(at) - 1, 0
+    n, a, data = len(at) - 1, 0, raw.tobytes()
     while a < n:
         b = a + 1
         while b < n and at[b + 1] - at[a] <= PIECE:
             b += 1
-        own = raw[at[a] : at[b]]
-        first, last, text = words(at[a : b + 1] - at[a], own)
-        yield a, b, own, first, last, text, hashes(own, first, last)
+        yield Piece(a, b, [b" ".join(data[x:y].split()) for x, y in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)])
         a = b
 
 
-def _windows(word: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """leaders() segment by segment; a window's leader depends on its words only, so
-    segments overlap by a window less one word."""
-    for a in range(0, max(len(word) - WIDTH + 1, 0), SEGMENT):
-        at, lead, whole, leaves = leaders(word[a : a + SEGMENT + WIDTH - 1], text[a : a + SEGMENT + WIDTH - 1])
-        yield at + a, lead, whole, leaves
-
-
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lead, grp, doc_id): a row for each group of neighbouring windows led by one
+    """(lead, g1, g2, rid): a row for each group of neighbouring windows led by one
     occurrence of a symbol, so no two windows of a group can be equal."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for a, _, _, _, _, text, word in _pieces(batch):
-            for at, lead, whole, leaves in _windows(word, text):
-                if not len(at):
-                    continue
-                owner = text[at]
+        ids = batch.column("rid")
+        for p in _pieces(batch):
+            for at, lead, leaves in p.windows():
+                owner = p.text[at]
                 head = np.nonzero(np.append(True, (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1]) | leaves[:-1]))[0]
-                with np.errstate(over="ignore"):
-                    # the place within the group counts, so that groups are told apart by order
-                    place = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))).astype(np.uint64)
-                    grp = np.add.reduceat(mix64(whole + place * _K), head)
-                yield pa.RecordBatch.from_arrays([pa.array(lead[head].view(np.int64)), pa.array(grp.view(np.int64)), ids.take(pa.array(a + owner[head]))], names=["lead", "grp", "doc_id"])
+                g = p.digests(at[head], at[np.append(head[1:], len(at)) - 1] + WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(lead[head].view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1]), ids.take(pa.array(p.a + owner[head]))], names=["lead", "g1", "g2", "rid"])
 
 
 def _listed(batch: pa.RecordBatch, name: str, a: int, b: int) -> np.ndarray:
@@ -182,76 +210,107 @@ def _among(marks: np.ndarray, text: np.ndarray, value: np.ndarray) -> np.ndarray
     return marks[np.minimum(np.searchsorted(marks, m), len(marks) - 1)] == m
 
 
-def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lead, whole, doc_id) of each window whose leader is in the text's list `some`."""
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for a, b, _, _, _, text, word in _pieces(batch):
-            marks = _listed(batch, "some", a, b)
-            for at, lead, whole, _ in _windows(word, text):
-                hit = np.nonzero(_among(marks, text[at], lead))[0]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(lead[hit].view(np.int64)), pa.array(whole[hit].view(np.int64)), ids.take(pa.array(a + text[at[hit]]))], names=["lead", "whole", "doc_id"])
+def _chosen(p: Piece, at: np.ndarray, lead: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in at, digest) of the windows whose leader is among the marks."""
+    hit = np.nonzero(_among(marks, p.text[at], lead))[0]
+    return hit, p.digests(at[hit], at[hit] + WIDTH) if len(hit) else np.zeros((0, 2), np.int64)
 
 
-def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, g1, g2, rid) of each window whose leader is in the text's list `some`."""
     for batch in batches:
-        n = batch.num_rows
-        total, removed, digest, kept_text = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
-        for a, b, raw, first, last, text, word in _pieces(batch):
-            groups, single = _listed(batch, "groups", a, b), _listed(batch, "single", a, b)
-            edge = np.zeros(len(word) + 1, np.int64)
-            if len(groups) or len(single):
-                for at, lead, whole, _ in _windows(word, text):
-                    hit = at[_among(groups, text[at], lead) | _among(single, text[at], whole)]
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + WIDTH, -1)
-            keep = np.cumsum(edge)[:-1] == 0
-            total[a:b] = np.bincount(text, minlength=b - a)
-            removed[a:b] = np.bincount(text[~keep], minlength=b - a)
-            # kept words, each with one byte more: a blank, cut off where a text ends
-            f, size, own = first[keep], (last - first)[keep], text[keep]
-            out = np.full(int(size.sum()) + len(size), 32, np.uint8)
-            starts = np.concatenate([[0], np.cumsum(size + 1)])
-            out[ragged(starts[:-1], size)] = raw[ragged(f, size)]
-            ends = starts[np.searchsorted(own, np.arange(b - a + 1))]
-            data = out.tobytes()
-            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                digest.append(hashlib.sha256(data[x : max(x, y - 1)]).hexdigest())
-                kept_text.append(data[x : max(x, y - 1)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(removed), pa.array(digest, pa.string()), pa.array([t.decode("utf-8", "replace") for t in kept_text], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text.
+        ids = batch.column("rid")
+        for p in _pieces(batch):
+            marks = _listed(batch, "some", p.a, p.b)
+            for at, lead, _ in p.windows():
+                hit, g = _chosen(p, at, lead, marks)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(lead[hit].view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1]), ids.take(pa.array(p.a + p.text[at[hit]]))], names=["lead", "g1", "g2", "rid"])
+
+
+def _joined(g: np.ndarray) -> np.ndarray:
+    """One 64-bit number of a digest; the expression in substring_dedup is the same."""
+    return (g[:, 0] ^ g[:, 1]).view(np.uint64)
+
+
+def _removed(full: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            total, removed, digest, kept_text = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
+            for p in _pieces(batch):
+                a, b, text = p.a, p.b, p.text
+                groups, some, single = (_listed(batch, c, a, b) for c in ("groups", "some", "single"))
+                edge = np.zeros(len(text) + 1, np.int64)
+                if len(groups) or len(single):
+                    for at, lead, _ in p.windows():
+                        hit, g = _chosen(p, at, lead, some)
+                        again = hit[_among(single, text[at[hit]], _joined(g))]
+                        gone = np.union1d(at[_among(groups, text[at], lead)], at[again])
+                        np.add.at(edge, gone, 1)
+                        np.add.at(edge, gone + WIDTH, -1)
+                keep = np.cumsum(edge)[:-1] == 0
+                total[a:b] = np.bincount(text, minlength=b - a)
+                removed[a:b] = np.bincount(text[~keep], minlength=b - a)
+                # kept words, each with one byte more: a blank, cut off where a text ends
+                f, size, own = p.first[keep], (p.last - p.first)[keep], text[keep]
+                out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+                starts = np.concatenate([[0], np.cumsum(size + 1)])
+                out[ragged(starts[:-1], size)] = p.raw[ragged(f, size)]
+                ends = starts[np.searchsorted(own, np.arange(b - a + 1))]
+                data = out.tobytes()
+                for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    digest.append(hashlib.sha256(data[x : max(x, y - 1)]).hexdigest())
+                    if full:
+                        kept_text.append(data[x : max(x, y - 1)].decode("utf-8", "replace"))
+            columns = [batch.column("doc_id"), pa.array(total), pa.array(removed), pa.array(digest, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept_text, pa.string())] if full else columns, names=[*names, "kept_text"] if full else names)
+
+    return run
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256; with full also
+    kept_text.
 
     A word goes if a window of WIDTH words that covers it starts anywhere else too, in
     the same text or another; windows are judged on the input. Null, empty and blank
-    texts have no words. Rows that repeat are texts like any other, so their windows
-    all go. Names that occur in very many texts are counted by partial sums and
-    joined back over split partitions; no task gathers a name's texts. Windows are
-    told apart by 128 bits (leader and whole).
+    texts have no words; a text of fewer than WIDTH words loses none. Texts count whole,
+    however long, in segments. Rows that repeat, or share a doc_id or a null one, are
+    texts like any other, so windows of repeated rows all go. An empty table gives an
+    empty result; other columns of docs, whatever their names, are ignored. Names that
+    occur in very many texts are counted by partial sums and joined back over split
+    partitions; no task gathers a name's texts.
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = keyed(docs, id_col, text_col).select("doc_id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # rid deals lists of repeated names to rows; a row that gets another's names is not
+    # harmed, as the lists hold what repeats anywhere
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    groups = stage(rows.mapInArrow(_groups, f"lead long, grp long, doc_id {kind}"), "groups")
-    twice = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).filter("n > 1")
+    texts = rows.select("rid", "text")
+    groups = stage(texts.mapInArrow(_groups, "lead long, g1 long, g2 long, rid long"), "groups")
+    ends = [f(c).alias(f"{name}{c}") for c in ("g1", "g2") for name, f in (("a", F.min), ("b", F.max))]
+    twice = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
     # stored, so that both sides of the join are dealt by it alone and a hot name can be split
-    twice = stage(twice.select(F.col("lead").alias("name"), (F.col("a") != F.col("b")).alias("mixed")), "twice")
-    told = groups.join(twice, F.col("lead") == F.col("name")).select("doc_id", "lead", "mixed")
-    lists = told.groupBy(F.col("doc_id").alias("mid")).agg(F.collect_set(F.when(F.col("mixed"), F.col("lead"))).alias("some"), F.collect_set(F.when(~F.col("mixed"), F.col("lead"))).alias("groups"))
+    twice = stage(twice.select(F.col("lead").alias("name"), F.expr("ag1 <> bg1 or ag2 <> bg2").alias("mixed")), "twice")
+    told = groups.join(twice, F.col("lead") == F.col("name")).select("rid", "lead", "mixed")
+    lists = told.groupBy(F.col("rid").alias("mid")).agg(F.collect_set(F.when(F.col("mixed"), F.col("lead"))).alias("some"), F.collect_set(F.when(~F.col("mixed"), F.col("lead"))).alias("groups"))
     lists = stage(lists, "lists")
-    asked = rows.join(lists.filter(F.size("some") > 0).select("mid", "some"), F.col("mid").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "some")
-    single = stage(asked.mapInArrow(_single, f"lead long, whole long, doc_id {kind}"), "windows")
-    again = stage(single.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("lead").alias("l2"), F.col("whole").alias("w2")), "again")
-    found = single.join(again, (F.col("lead") == F.col("l2")) & (F.col("whole") == F.col("w2"))).groupBy(F.col("doc_id").alias("sid")).agg(F.collect_set("whole").alias("single"))
-    both = lists.select("mid", "groups").join(found, F.col("mid").eqNullSafe(F.col("sid")), "left").select("mid", "groups", "single")
-    last = rows.join(both, F.col("mid").eqNullSafe(F.col("doc_id")), "left")
+    asked = texts.join(lists.filter(F.size("some") > 0).select("mid", "some"), F.col("mid") == F.col("rid")).select("rid", "text", "some")
+    single = stage(asked.mapInArrow(_single, "lead long, g1 long, g2 long, rid long"), "windows")
+    again = single.groupBy("lead", "g1", "g2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = stage(again.select(F.col("lead").alias("l2"), F.col("g1").alias("x1"), F.col("g2").alias("x2")), "again")
+    hit = single.join(again, F.expr("lead = l2 and g1 = x1 and g2 = x2"))
+    found = hit.groupBy(F.col("rid").alias("sid")).agg(F.collect_set(F.expr("g1 ^ g2")).alias("single"))
+    both = lists.join(found, F.col("mid") == F.col("sid"), "left").select("mid", "groups", "some", "single")
+    last = rows.join(both, F.col("mid") == F.col("rid"), "left")
     empty = F.array().cast("array<bigint>")
-    last = last.select("doc_id", "text", F.coalesce("groups", empty).alias("groups"), F.coalesce("single", empty).alias("single"))
-    return last.mapInArrow(_removed, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    last = last.select("doc_id", "text", *[F.coalesce(c, empty).alias(c) for c in ("groups", "some", "single")])
+    more = ", kept_text string" if full else ""
+    return last.mapInArrow(_removed(full), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string{more}")
 
 
 #: DuckDB, over whole tables.

@@ -249,8 +249,8 @@ def test_leaders_depend_on_their_words_only():
     whole = None
     for n in (0, 5, 40):
         word = np.concatenate([rng.integers(1, 12, n).astype(np.uint64), core, rng.integers(1, 12, n).astype(np.uint64)])
-        at, lead, h, _ = substring_dedup.leaders(word, np.zeros(len(word), np.int64))
-        own = [(a - n, x, y) for a, x, y in zip(at.tolist(), lead.tolist(), h.tolist()) if n <= a <= n + 45]
+        at, lead, leaves = substring_dedup.leaders(word, np.zeros(len(word), np.int64))
+        own = [(a - n, x) for a, x in zip(at.tolist(), lead.tolist()) if n <= a <= n + 45]
         assert whole is None or own == whole
         whole = own
 
@@ -263,7 +263,7 @@ def test_segments_do_not_matter(monkeypatch, spark):
     import pyarrow as pa
 
     monkeypatch.setattr(substring_dedup, "SEGMENT", 50)
-    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": [body, "x " + body]})
+    batch = pa.RecordBatch.from_pydict({"rid": [0, 1], "text": [body, "x " + body]})
     few = pa.Table.from_batches(list(substring_dedup._groups([batch])))
     leads = Counter(few.column("lead").to_pylist())
     monkeypatch.setattr(substring_dedup, "SEGMENT", 1 << 18)
