@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.session import shared_dir
+
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, root, node): nodes reachable from starts (graph, root) along edges (graph,
@@ -17,7 +17,7 @@ def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     to cut lineage."""
     spark = starts.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolake-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     known = frontier = starts.select("graph", "root", F.col("root").alias("node")).distinct()
     while True:
         step = frontier.join(edges.select("graph", F.col("source").alias("node"), "target"), ["graph", "node"]).select("graph", "root", F.col("target").alias("node")).distinct()
