@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import atexit
 import itertools
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.session import ship
+from mnemolake.session import shared_dir, ship
 
 #: The contract's white space: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -26,31 +28,33 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 _serial = itertools.count()
-_staged: list[tuple[SparkSession, str, bool]] = []
+_staged: list[tuple[SparkSession, str, str]] = []
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is staged inside belongs to name, and goes with release(spark, name)."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns what a scan of it gives. The files
-    go with release(), or with keep when the process ends."""
+    go when their scope is released, or the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemolake/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _staged.append((spark, path, keep))
+    _staged.append((spark, path, _scope.get()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, kept: bool = False) -> None:
-    """Deletes the staged tables so far. Call only when their results are stored."""
-    gone = [p for s, p, k in _staged if s is spark and k <= kept]
+def release(spark: SparkSession, name: str) -> None:
+    """Deletes the tables staged in a scope. Call only when their results are stored."""
+    gone = [p for s, p, own in _staged if s is spark and own == name]
     _staged[:] = [x for x in _staged if x[1] not in gone]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
@@ -60,9 +64,9 @@ def release(spark: SparkSession, kept: bool = False) -> None:
 
 @atexit.register
 def _release_all() -> None:
-    for spark in {id(x[0]): x[0] for x in _staged}.values():
+    for spark, name in {(id(x[0]), x[2]): (x[0], x[2]) for x in _staged}.values():
         try:
-            release(spark, kept=True)
+            release(spark, name)
         except Exception:  # the JVM may be gone by now
             return
 

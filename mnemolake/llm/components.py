@@ -26,9 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # stored, so that the join's sides are dealt by it alone and a star's centre can be split
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = stage(_handed(both.filter("v > u"), least).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         own = least.select("u", F.col("m").alias("v"))
         small = _handed(large, least).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         edges = stage(small.unionByName(own).distinct(), "small")

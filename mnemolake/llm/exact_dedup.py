@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import SPACE_CLASS, SPACES, keyed, stage, tune, utf8
@@ -102,9 +101,8 @@ def fingerprints(rows: DataFrame, huge_chars: int) -> DataFrame:
         rows.filter(F.col("ncp") > huge_chars)
         .withColumn("sha", F.sha2(F.regexp_replace("text", SPACE_CLASS, ""), 256))
         .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("no", F.explode(F.sequence(F.lit(0), (F.floor((F.col("ncp") - 1) / huge_chars)).cast("int"))))
-        .withColumn("chunk", F.expr(f"substring(text, no * {huge_chars} + 1, {huge_chars})"))
-        .select("doc_id", "th", "ncp", "no", F.struct("sha", "row").alias("sha"), "chunk")
+        # cut in one pass over the text
+        .select("doc_id", "th", "ncp", F.struct("sha", "row").alias("sha"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{huge_chars}}}"), F.lit(0))).alias("no", "chunk"))
         .select("doc_id", "th", "ncp", "no", F.to_json("sha").alias("sha"), "chunk")
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "no")
     )
@@ -146,7 +144,7 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if cls == len(seen):
                 seen.append(norm)
             number.append(cls)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "th", "ncp", "m", "fp", "nb", "salt")] + [pa.array(number, pa.int32()), pa.array(first, pa.binary())], names=["doc_id", "th", "ncp", "m", "fp", "nb", "salt", "cls", "rep"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "th", "ncp", "m", "row1", "fp", "nb", "salt")] + [pa.array(number, pa.int32()), pa.array(first, pa.binary())], names=["doc_id", "th", "ncp", "m", "row1", "fp", "nb", "salt", "cls", "rep"])
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +176,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tune(spark)
     rows = keyed(docs, id_col, text_col)
-    slim = stage(fingerprints(rows, huge_chars), "fingerprints")
+    # rows that repeat whole are told apart by a number, stored with them
+    slim = stage(fingerprints(rows, huge_chars).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     hot = slim.groupBy("fp", "nb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", "nb", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
     hot = stage(hot, "repeated")  # stored, so that the join below deals both sides and can split a hot key
     # counted before the join, which is then free to split a hot fingerprint
-    members = slim.groupBy("doc_id", "th", "fp", "nb", "ncp").agg(F.count(F.lit(1)).alias("m")).join(hot, ["fp", "nb"])
+    members = slim.groupBy("doc_id", "th", "fp", "nb", "ncp").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("row1")).join(hot, ["fp", "nb"])
     members = members.withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, th), salts) as int)"))
     # a copy of a (doc_id, text) row adds nothing to compare
-    texts = rows.join(members.withColumnRenamed("doc_id", "mid"), F.col("mid").eqNullSafe(F.col("doc_id")) & (members["th"] == rows["th"])).select("mid", members["th"], "ncp", "m", "fp", "nb", "salt", "salts", "text").withColumnRenamed("mid", "doc_id")
+    texts = rows.join(members.withColumnRenamed("doc_id", "mid"), F.col("mid").eqNullSafe(F.col("doc_id")) & (members["th"] == rows["th"])).select("mid", members["th"], "ncp", "m", "row1", "fp", "nb", "salt", "salts", "text").withColumnRenamed("mid", "doc_id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     dealt = texts.repartition(n, "fp", "nb", "salt").sortWithinPartitions("fp", "nb", "salt")
-    classes = stage(dealt.mapInArrow(_classes, f"doc_id {kind}, th long, ncp long, m long, fp long, nb long, salt int, cls int, rep binary"), "classes")
+    classes = stage(dealt.mapInArrow(_classes, f"doc_id {kind}, th long, ncp long, m long, row1 long, fp long, nb long, salt int, cls int, rep binary"), "classes")
     across = classes.filter("rep is not null").select("fp", "nb", "salt", "cls", "rep").repartition(n, "fp", "nb").sortWithinPartitions("fp", "nb")
     across = across.mapInArrow(_merged, "fp long, nb long, salt int, cls int, gcls int")
     part = ["fp", "nb", "salt", "cls"]
@@ -197,15 +196,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = one.join(across, part, "left").withColumn("gcls", F.coalesce("gcls", "cls"))
     whole = one.groupBy("fp", "nb", "gcls").agg(F.min("best").alias("top"), F.sum("size").alias("group_size"))
     known = one.select(*part, "gcls").join(whole, ["fp", "nb", "gcls"]).select(*part, "top", "group_size")
-    found = classes.select("doc_id", "th", *part).distinct().join(known, part).select(F.col("doc_id").alias("mid"), F.col("th").alias("mth"), "top", "group_size")
-    copy = F.row_number().over(W.partitionBy("doc_id", "th").orderBy("ncp"))
-    out = slim.withColumn("copy", copy).join(found, F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mth") == F.col("th")), "left")
+    found = classes.select("doc_id", "th", "row1", *part).distinct().join(known, part).select(F.col("doc_id").alias("mid"), F.col("th").alias("mth"), "row1", "top", "group_size")
+    out = slim.join(found, F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mth") == F.col("th")), "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | ((F.col("copy") == 1) & F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.th") == F.col("th")))).alias("kept"),
+        (alone | ((F.col("row") == F.col("row1")) & F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.th") == F.col("th")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "th",
     )

@@ -47,13 +47,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken is how many words the mix takes of the row: its size once for each whole
     epoch, and in the last epoch its words up to the budget's cut (the row at the cut
     is taken in part), so a source's taken words are its target, rounded down. Null
-    texts have size 0; a null source is a source, the last. Rows are ordered by md5 of
-    seed and doc_id, then size; rows alike in both are alike in all that counts.
-    Empty tables give empty results.
+    texts have size 0; a null source is a source, the last; texts count whole, however long.
+    Rows are ordered by md5 of doc_id, seed and the text's md5, then size; rows that tie
+    repeat each other, and which of them the cut falls on makes no difference. carry names
+    columns of docs to hand on; others, whatever their names, are ignored. Empty tables
+    give empty results.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *carry, words_in(F.col(text_col)).alias("size"))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
-    slim = stage(rows.withColumn("key", key), "sizes")
+    # the text counts too: rows that share an id, or have none, spread over the ranges
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed + ":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    # carried columns go in one struct, so their names clash with none
+    packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None)
+    slim = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), packed.alias("carried"), words_in(F.col(text_col)).alias("size"), key.alias("key")), "sizes")
     per = budgets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))).join(slim.groupBy(F.col("source").alias("other")).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_RANGE).alias("ranges")), F.col("source").eqNullSafe(F.col("other"))).drop("other")
     per = stage(per.select(F.col("source").alias("name"), "source_size", "target", "ranges"), "budgets")
     # the key's first 48 bits as a fraction of one: range numbers follow the key's order
@@ -66,12 +70,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - whole * F.col("source_size") - (F.col("start") + F.col("inside"))
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("doc_id", *carry, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)], "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 #: DuckDB: the same order (md5), sums and level, over whole tables.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || md5(coalesce(text, ''))) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 150 / 100 - coalesce(sum(2 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level

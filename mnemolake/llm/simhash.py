@@ -11,7 +11,7 @@ once.
 Trees are shipped to the tasks that hold their queries, not to every executor:
 their number grows with the data, so a broadcast would have no bound. Shards of
 over TREE fingerprints become several trees of that size at most, and queries go
-to their own and to the later ones.
+to their own and to the later ones, in parts.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from mnemolake.llm.components import components
 SEED = 42
 RADIUS = 4
 TREE = 4096
+#: Parts of a shard that query one copy of a tree.
+SALT = 4
 #: Shingles of a text that are hashed before their bits are counted.
 PIECE = 1 << 16
 #: bits[b]: the eight bits of byte b, lowest first.
@@ -68,6 +70,12 @@ def _fingerprints(shingle: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator
     return run
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints; those of several words are rows."""
+    d = np.bitwise_count(a ^ b).astype(np.int64)
+    return d.sum(axis=1) if d.ndim == 2 else d
+
+
 class Forest:
     """BK-trees of many shards: node i holds fp[i]; edge[i] is its distance to
     parent; a node's children lie together, sorted by edge."""
@@ -76,6 +84,7 @@ class Forest:
         """shard: 0..k-1, sorted; the first fingerprint of a shard is its root."""
         self.fp = fp
         n = len(fp)
+        self.span = 64 * (fp.shape[1] if fp.ndim == 2 else 1) + 1
         roots = np.nonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[0] if n else np.zeros(0, np.int64)
         self.root = roots
         parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -84,8 +93,8 @@ class Forest:
         rest = np.nonzero(rest)[0]
         at = roots[shard[rest]]
         while len(rest):
-            d = np.bitwise_count(fp[rest] ^ fp[at]).astype(np.int64)
-            key = at * 65 + d
+            d = apart(fp[rest], fp[at])
+            key = at * self.span + d
             order = np.argsort(key, kind="stable")  # earlier fingerprints first
             key = key[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -94,7 +103,7 @@ class Forest:
             stay = ~first
             at = new[np.cumsum(first) - 1][stay]
             rest = rest[order[stay]]
-        self.key = parent * 65 + edge
+        self.key = parent * self.span + edge
         self.order = np.argsort(self.key, kind="stable")
         self.key = self.key[self.order]
 
@@ -104,11 +113,11 @@ class Forest:
             q = np.arange(a, min(a + PIECE, len(queries)))
             node = self.root[trees[q]]
             while len(q):
-                d = np.bitwise_count(queries[q] ^ self.fp[node]).astype(np.int64)
+                d = apart(queries[q], self.fp[node])
                 hit = d <= radius
                 yield q[hit], node[hit], d[hit]
-                low = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-                high = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+                low = np.searchsorted(self.key, node * self.span + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.key, node * self.span + np.minimum(d + radius, self.span - 1), "right")
                 q, node = np.repeat(q, high - low), self.order[ragged(low, high - low)]
 
 
@@ -199,8 +208,12 @@ def linked(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     shards = shards.select("fp", F.xxhash64("block", "bits").alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shard", F.ceil(F.col("n") / tree).cast("int").alias("trees"))
     dealt = shards.join(sizes, "shard").withColumn("part", F.expr("cast(pmod(xxhash64(fp, 1), trees) as int)"))
-    # a row asks its own tree and the later ones of its shard
-    rows = dealt.withColumn("to", F.explode(F.sequence("part", F.col("trees") - 1))).select(F.xxhash64("shard", "to").alias("tree"), (F.col("to") == F.col("part")).alias("own"), "fp")
+    # a row asks its own tree and the later ones of its shard; a tree is shipped to every
+    # SALT parts' worth of its queries, so no task holds more than these
+    asks = dealt.withColumn("to", F.explode(F.sequence("part", F.col("trees") - 1)))
+    last = F.floor(F.col("to") / SALT).cast("int")
+    salt = F.when(F.col("to") == F.col("part"), F.sequence(F.lit(0), last)).otherwise(F.array(F.floor(F.col("part") / SALT).cast("int")))
+    rows = asks.withColumn("salt", F.explode(salt)).select(F.xxhash64("shard", "to", "salt").alias("tree"), (F.col("to") == F.col("part")).alias("own"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "tree").sortWithinPartitions("tree").mapInArrow(_spanned(radius), "u long, v long")
 
@@ -213,8 +226,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     radius bits apart, own one included (null ids last; null if all are null). Texts
     of fewer than `shingle` words count as one shingle; null, empty and blank texts
     have fingerprint zero and are linked like any other. Whole texts count, however
-    long; rows that repeat get equal answers. Copies share a fingerprint, so links
-    are sought between distinct fingerprints only and no group is paired out.
+    long; rows that repeat get equal answers, so ties need no rule. Copies share a
+    fingerprint, so links are sought between distinct fingerprints only and no group is
+    paired out. An empty table gives an empty result; other columns of docs, whatever
+    their names, are ignored.
     """
     spark = docs.sparkSession
     tune(spark)

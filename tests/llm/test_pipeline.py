@@ -8,7 +8,6 @@ import re
 from collections import defaultdict
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 
@@ -17,10 +16,10 @@ def tokens(t: str) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", t)
 
 
-def fingerprint(t: str) -> int:
-    w = tokens("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > len(h)) if h else 0
+def alike(a: str, b: str) -> bool:
+    """Sets of lower-case five-word shingles with a Jaccard similarity of 0.8 or more."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (tokens(a.lower()), tokens(b.lower())))
+    return 5 * len(x & y) >= 4 * len(x | y)
 
 
 def make() -> list[tuple[int, str | None, str, str | None, int]]:
@@ -45,13 +44,11 @@ def brute(rows: list) -> list[tuple]:
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])].append(r)
     rows = [min(g, key=lambda r: (-len(r[1]), r[0])) for g in groups.values()]
-    fps = {r[0]: fingerprint(r[1]) for r in rows}
-    root = {i: i for i in fps}
+    links = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and alike(a[1], b[1])]
+    root = {r[0]: r[0] for r in rows}
     for _ in range(5):
-        for a in fps:
-            for b in fps:
-                if bin(fps[a] ^ fps[b]).count("1") <= 4:
-                    root[a] = root[b] = min(root[a], root[b])
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
     rows = [r for r in rows if root[r[0]] == r[0]]
     size = defaultdict(int)
     for r in rows:
@@ -69,7 +66,7 @@ def brute(rows: list) -> list[tuple]:
     out = []
     for s in names:
         budget = int(2 * size[s] if s in full else share[s] + 1e-9)
-        own = sorted((r for r in rows if r[3] == s), key=lambda r: hashlib.md5(f"{r[0]}:mix".encode()).hexdigest())
+        own = sorted((r for r in rows if r[3] == s), key=lambda r: hashlib.md5(f"{r[0]}:mix:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest())
         while budget > 0:
             for r in own:
                 w = tokens(r[1])
@@ -119,3 +116,33 @@ def test_repeats_nulls_and_shared_ids(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns named as the stages name theirs come through every stage, with their values."""
+    names = ["score", "lang_pred", "size", "taken", "n", "id", "th", "__text", "__th", "TEXT", "extra_0", "a.b", "root", "mid"]
+    rows = [(*r, *[f"{c}{r[0]}" for c in names]) for r in make()]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *names]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in columns)).write.parquet(str(tmp_path / "documents.parquet"))
+        plain, docs = None, spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for k, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+            plain = step(spark, docs, str(tmp_path))
+            assert plain.columns == columns
+            plain.write.parquet(str(tmp_path / f"s{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+            assert all(r[i] == f"{c}{r[0]}" for r in docs.collect() for i, c in enumerate(columns) if i > 4)
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_runs_leave_other_results_alone(spark, tmp_path):
+    from mnemolake.llm import exact_dedup
+
+    spark.createDataFrame(make(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first, second = exact_dedup.exact_dedup(docs), corpus_pipeline.run(spark, str(tmp_path))
+    third = corpus_pipeline.run(spark, str(tmp_path))
+    assert first.count() == docs.count() and sorted(second.collect()) == sorted(third.collect())
