@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,13 @@ from mnemolake.llm.common import ragged, tune
 
 #: Fixed value: the public byte-level pattern; \s is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Symbols from which on a word is merged alone, with a heap.
+#: Bytes from which on a word is merged in rounds by rank, which are many and small; those
+#: of short words, by each one's lowest rank, are few and large.
 LONG_WORD = 512
-#: Some 80 MB.
-CACHED_CHUNKS = 500_000
+#: What the cache may hold, with some bytes an entry for the tables themselves.
+CACHED_BYTES, ENTRY = 80 << 20, 240
+#: Characters of a chunk between blanks that is cached whole; longer ones go word by word.
+CHUNK = 64
 #: Characters of short texts whose new chunks are learned together.
 TOGETHER = 1 << 21
 #: Characters of a text cut into words at once.
@@ -55,8 +59,8 @@ def byte_letters() -> list[str]:
 class Tokenizer:
     """Tables of one byte-level BPE file."""
 
-    def __init__(self, path: str) -> None:
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, spec_text: str) -> None:
+        spec = json.loads(spec_text)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
@@ -80,6 +84,8 @@ class Tokenizer:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.cache: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.held = 0
+        self.by_rank = np.argsort(self.ranks)
         self.decimal = [str(i) for i in range(int(self.width))]
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,56 +135,86 @@ class Tokenizer:
         sym, word = np.concatenate([sym, *done_sym]), np.concatenate([word, *done_word])
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """One long word: a heap of (rank, place) over a linked list."""
-        sym = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        r, at = self.lookup(np.array(sym[:-1]), np.array(sym[1:]))
-        heap = [(int(x), i, sym[i], sym[i + 1], int(self.made[w])) for i, (x, w) in enumerate(zip(r, at, strict=True)) if x != NONE]
-        heapq.heapify(heap)
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge_words, for long words: a round merges all pairs of the lowest rank there
+        is, and looks up only what that changed, so it costs what it merges. The flat
+        array keeps its places; symbols know their neighbours."""
+        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        after[ends - 1], before[ends - size] = -1, -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            at = at[after[at] >= 0]
+            rank, _ = self.lookup(sym[at], sym[after[at]])
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            order = np.argsort(rank, kind="stable")
+            cuts = np.nonzero(np.diff(rank[order]))[0] + 1
+            for some in np.split(order, cuts) if len(order) else []:
+                r = int(rank[some[0]])
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(at[some])
+
+        note(np.arange(len(sym)))
         while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i] if sym[i] == a else -1
-            if j < 0 or sym[j] != b:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            pair = self.by_rank[r]
+            left, right, made = self.keys[pair] // self.width, self.keys[pair] % self.width, self.made[pair]
+            at = at[(sym[at] == left) & (after[at] >= 0)]
+            at = at[sym[after[at]] == right]
+            if not len(at):
                 continue
-            sym[i], sym[j] = m, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    key = sym[x] * int(self.width) + sym[y]
-                    k = int(np.searchsorted(self.keys, key))
-                    if k < len(self.keys) and int(self.keys[k]) == key:
-                        heapq.heappush(heap, (int(self.ranks[k]), x, sym[x], sym[y], int(self.made[k])))
-        return np.array([s for s in sym if s >= 0], np.int64)
+            if self.at_once:  # of overlapping pairs (aaa) every other one, from the left
+                run = np.append(True, after[at[:-1]] != at[1:])
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
+            else:
+                rest = at
+                _, first = np.unique(np.searchsorted(ends, at, "right"), return_index=True)
+                at = at[first]
+                waiting[r] = [rest]
+                heapq.heappush(heap, r)
+            gone = after[at]
+            sym[at], sym[gone] = made, -1
+            after[at] = after[gone]
+            follow = after[at]
+            before[follow[follow >= 0]] = at[follow >= 0]
+            note(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        alive = sym >= 0
+        return sym[alive], np.bincount(np.searchsorted(ends, np.nonzero(alive)[0], "right"), minlength=len(words))
 
     def ensure(self, chunks: set[str]) -> None:
-        """Puts the ids of chunks, as decimals, into the cache. It has two generations:
-        what is used again moves to the new one, the rest goes with the old."""
+        """Puts the ids of chunks, as decimals, into the cache. It has two generations of at
+        most CACHED_BYTES / 2, but for what one call asks: what is used again moves to the
+        new one, the rest goes with the old."""
         miss = chunks - self.cache.keys()
         if not miss:
             return
-        if len(self.cache) + len(miss) > CACHED_CHUNKS // 2:
-            self.old, self.cache, miss = self.cache, {}, chunks
+        if self.held > CACHED_BYTES // 2:
+            self.old, self.cache, self.held, miss = self.cache, {}, 0, chunks
         again = miss & self.old.keys()
-        self.cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        fresh = dict(zip(again, map(self.old.__getitem__, again), strict=True))
         new = list(miss - again)
         parts = [self.words(c) for c in new]
         ids = self.word_ids(list({w for p in parts for w in p}))
-        self.cache.update((c, ids[p[0]] if len(p) == 1 else ",".join([ids[w] for w in p])) for c, p in zip(new, parts, strict=True))
+        fresh.update((c, ids[p[0]] if len(p) == 1 else ",".join([ids[w] for w in p])) for c, p in zip(new, parts, strict=True))
+        self.cache.update(fresh)
+        self.held += sum(ENTRY + 4 * len(c) + len(v) for c, v in fresh.items())
 
     def word_ids(self, words: list[str]) -> dict[str, str]:
         raw = [w.encode() for w in words]
-        short = [k for k, w in enumerate(raw) if len(w) < LONG_WORD]
-        flat, count = self.merge_words([raw[k] for k in short])
-        text = list(map(self.decimal.__getitem__, flat.tolist()))
-        ends = np.cumsum(count).tolist()
-        out = {words[k]: ",".join(text[e - n : e]) for k, e, n in zip(short, ends, count.tolist(), strict=True)}
-        for k, w in enumerate(raw):
-            if len(w) >= LONG_WORD:
-                out[words[k]] = ",".join(map(str, self.merge_long(w).tolist()))
+        out: dict[str, str] = {}
+        for merge, some in ((self.merge_words, [k for k, w in enumerate(raw) if len(w) < LONG_WORD]), (self.merge_long, [k for k, w in enumerate(raw) if len(w) >= LONG_WORD])):
+            if some:
+                flat, count = merge([raw[k] for k in some])
+                text = list(map(self.decimal.__getitem__, flat.tolist()))
+                ends = np.cumsum(count).tolist()
+                out.update((words[k], ",".join(text[e - n : e])) for k, e, n in zip(some, ends, count.tolist(), strict=True))
         return out
 
     def words(self, text: str) -> list[str]:
@@ -205,6 +241,12 @@ class Tokenizer:
 
     def chunks(self, text: str) -> list[str]:
         """Cut before each lone blank: what follows it depends on nothing before."""
+        found = self.cut(text)
+        if len(text) > CHUNK and max(map(len, found)) > CHUNK:
+            return [w for c in found for w in (self.words(c) if len(c) > CHUNK else (c,))]
+        return found
+
+    def cut(self, text: str) -> list[str]:
         if not text:
             return []
         if ODD_SPACE.search(text) or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
@@ -248,8 +290,8 @@ class Tokenizer:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(spec_text: str) -> Tokenizer:
+    return Tokenizer(spec_text)
 
 
 def _all(coder: Tokenizer, texts: list[str]) -> Iterator[Iterable[str]]:
@@ -264,9 +306,9 @@ def _all(coder: Tokenizer, texts: list[str]) -> Iterator[Iterable[str]]:
     yield from coder.encode_many(some)
 
 
-def _coder(path: str, full: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _coder(shared: object, full: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        coder = tokenizer(shared.value)  # type: ignore[attr-defined]
         by_text = {str(i): b for i, b in enumerate(coder.token_bytes)}
         for batch in batches:
             count, ids_sha, text_sha, ids_all, decoded = [], [], [], [], []
@@ -303,12 +345,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with full also ids and decoded.
 
     As the tokenizers library encodes: specials in a text are recognised, none are
-    added. Null texts count as empty: 0 tokens, the digests of nothing. Rows are
-    coded one by one, so ties, repeats and empty tables need no rule; texts of any
-    length are coded in pieces that end at safe places.
+    added. vocabulary is the path of its file on the driver, which ships the file's text
+    (one file, whatever the corpus). Null texts count as empty: 0 tokens, the digests of
+    nothing. Rows are coded one by one, so ties, repeats and empty tables need no rule;
+    texts of any length are coded in pieces that end at safe places. Columns that are not
+    carried may have any name; a carried one may not be named as those that are added.
     """
     tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
     more = ", ids array<int>, decoded string" if full else ""
-    return rows.mapInArrow(_coder(vocabulary, full), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return rows.mapInArrow(_coder(shared, full), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

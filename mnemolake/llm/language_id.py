@@ -29,7 +29,8 @@ ORDER = 3
 #: Stands before every text, so that first bytes have a context as well.
 LEAD = b"\n" * ORDER
 UNIT = 1 << 16
-#: Bytes walked at once: some 30 bytes of scratch for each.
+#: Bytes walked at once, for up to four languages, and fewer for more: some 30 bytes of
+#: scratch for each, and 16 a language.
 PIECE = 1 << 20
 
 
@@ -87,7 +88,7 @@ def train(samples: dict[str, list[bytes]]) -> Model:
             found = np.ones(len(union), bool)
         table[(node * width + last)[found]] = (np.arange(len(union)) + 1)[found]
         children.append(table)
-    bits = lambda x: np.round(x * UNIT).astype(np.int64)
+    bits = lambda x: np.round(x * UNIT).astype(np.int32)
     cost: list[np.ndarray] = []
     escape: list[np.ndarray] = []
     floor = np.full(n_lang, 8.0)
@@ -133,7 +134,7 @@ def costs(model: Model, data: np.ndarray) -> np.ndarray:
             at = model.children[depth - 1][prev[:-1] * width + s[1:]]
             up[1:] = np.where(prev[:-1] > 0, at, 0)
         node.append(up)
-    out = model.cost[ORDER][node[ORDER + 1][ORDER:]]
+    out = model.cost[ORDER][node[ORDER + 1][ORDER:]].astype(np.int64)
     miss = np.nonzero(node[ORDER + 1][ORDER:] == 0)[0]
     depth = ORDER
     while len(miss):  # the string is new to all languages: escape to one context less
@@ -154,17 +155,17 @@ def code_lengths(model: Model, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """bits[text, language], in UNITs, of texts laid end to end; exact sums."""
     sizes = np.diff(at)
     total = np.zeros((len(sizes), len(model.languages)), np.int64)
-    first = 0
+    first, piece = 0, max(1 << 10, PIECE * 4 // max(4, len(model.languages)))
     lead = np.frombuffer(LEAD, np.uint8)
     while first < len(sizes):
         last = first + 1
-        while last < len(sizes) and at[last + 1] - at[first] <= PIECE:
+        while last < len(sizes) and at[last + 1] - at[first] <= piece:
             last += 1
-        if last == first + 1 and sizes[first] > PIECE:  # a long text, piece by piece
+        if last == first + 1 and sizes[first] > piece:  # a long text, piece by piece
             text = raw[at[first] : at[last]]
-            for a in range(0, len(text), PIECE):
+            for a in range(0, len(text), piece):
                 head = lead if a == 0 else text[a - ORDER : a]
-                total[first] += costs(model, np.concatenate([head, text[a : a + PIECE]])).sum(axis=0)
+                total[first] += costs(model, np.concatenate([head, text[a : a + piece]])).sum(axis=0)
         elif at[last] > at[first]:
             k = last - first
             padded = np.repeat(np.uint8(LEAD[0]), at[last] - at[first] + ORDER * k).astype(np.uint8)
@@ -208,18 +209,30 @@ def _predictor(shared: object) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
-def fit(labelled: DataFrame, texts_per_language: int = 400, most_bytes: int = 1 << 14) -> Model:
-    """From (doc_id, text, lang). The sample is bounded: of each language the
-    texts_per_language rows with the smallest hash of doc_id, among texts of at most
-    most_bytes; whole texts are used. Rows without text or lang teach nothing."""
-    ok = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.octet_length("text") > 0))
+def fit(labelled: DataFrame, texts_per_language: int = 400, usual_bytes: int = 1 << 14, cells: int = 1 << 27) -> Model:
+    """From (doc_id, text, lang). The sample is bounded, and no language is left out: of each,
+    whole texts are taken, up to texts_per_language and cells / languages**2 bytes (so
+    that all trees together stay within cells numbers), one text at least. Texts of up to
+    usual_bytes come first, by the hash of doc_id; longer ones follow, the shortest first.
+    Rows without text or lang teach nothing; rows that repeat teach once each; an empty
+    table gives an empty model. Other columns are ignored."""
+    size = F.octet_length("text")
+    ok = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0))
     key = F.xxhash64(F.lit("train"), "doc_id")
-    slim = ok.select("doc_id", "lang", key.alias("key"), F.xxhash64("text").alias("th"))
+    slim = ok.select("doc_id", "lang", F.greatest(size, F.lit(usual_bytes)).alias("long"), size.alias("bytes"), key.alias("key"), F.xxhash64("text").alias("th"))
+    order = ("long", "key", "th")
     # ranked within eighths first, so no task ranks a whole language
     for by in (["lang", "eighth"], ["lang"]):
-        slim = slim.withColumn("eighth", F.pmod("key", F.lit(8))).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("key", "th"))).filter(F.col("rank") <= texts_per_language)
-    chosen = slim.select(F.col("doc_id").alias("mid"), F.col("lang").alias("mlang"), F.col("th").alias("mth"))
-    rows = ok.join(F.broadcast(chosen), F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mlang") == F.col("lang")) & (F.col("mth") == F.xxhash64("text"))).select("lang", "text")
+        slim = slim.withColumn("eighth", F.pmod("key", F.lit(8))).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= texts_per_language)
+    before = F.sum("bytes").over(W.partitionBy("lang").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = slim.withColumn("so_far", before).select("doc_id", "lang", "th", "rank", "so_far")
+    # at most texts_per_language rows of each language, without their texts
+    told = [tuple(r) for r in ranked.collect()]
+    most = cells // max(1, len({r[1] for r in told})) ** 2
+    chosen = [(r[0], r[1], r[2]) for r in told if r[3] == 1 or r[4] <= most]
+    kind = ok.schema["doc_id"].dataType.simpleString()
+    picked = labelled.sparkSession.createDataFrame(chosen, f"mid {kind}, mlang string, mth long").distinct()
+    rows = ok.join(F.broadcast(picked), F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mlang") == F.col("lang")) & (F.col("mth") == F.xxhash64("text"))).select("lang", "text")
     samples: dict[str, list[bytes]] = {}
     for r in rows.collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
@@ -231,8 +244,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is `und`, with score 0, for texts that are null or have no letter, and
     for all if the model is empty. score is the winner's posterior under equal
-    priors. Whole texts count, however long; rows that repeat get equal answers; of
-    languages with equal lengths the first by name wins.
+    priors. Whole texts count, however long, in pieces; rows that repeat get equal answers;
+    of languages with equal lengths the first by name wins. An empty table gives an empty
+    result. Columns that are not carried may have any name; a carried one may not be named
+    as those that are added.
     """
     spark = docs.sparkSession
     tune(spark)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm import bpe, exact_dedup, language_id, mixing, pii, quality_rules, sharding, simhash, substring_dedup, url_filter
 
-#: A parameter of the encoding query: where the public vocabulary lies.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: A parameter of the encoding query: the public vocabulary's name.
+VOCABULARY = "byte_bpe_50k.json"
 HELD_OUT = 2
 
 
@@ -32,8 +32,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary() -> str:
+    """Where the public vocabulary lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
