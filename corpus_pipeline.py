@@ -117,7 +117,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage(4, keeps=False)
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token count and digests; a document taken twice has two rows."""
-    return bpe.encode_decode(docs, queries.VOCABULARY)
+    return bpe.encode_decode(docs, queries.vocabulary())
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mixed), ("bpe", encoded)]
