@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,19 +14,33 @@ from mnemolake.session import shared_dir
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, root, node): nodes reachable from starts (graph, root) along edges (graph,
-    source, target), roots included. Each step joins the frontier only, drops what is
-    known, and ends when nothing is new, however long a path; the frontier is checkpointed
-    to cut lineage."""
+    source, target), roots included. A round joins the frontier only, drops what is
+    known, and the last one finds nothing new, however long a path. Rounds take one step
+    at first; long paths are then walked in strides, whose steps share a job. The
+    frontier is checkpointed to cut lineage."""
     spark = starts.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    out = edges.select("graph", F.col("source").alias("node"), "target")
     known = frontier = starts.select("graph", "root", F.col("root").alias("node")).distinct()
+    rounds, stride = 0, 1
     while True:
-        step = frontier.join(edges.select("graph", F.col("source").alias("node"), "target"), ["graph", "node"]).select("graph", "root", F.col("target").alias("node")).distinct()
-        frontier = step.join(known, ["graph", "root", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+        steps, at = [], frontier
+        for k in range(stride):
+            at = at.join(out, ["graph", "node"]).select("graph", "root", F.col("target").alias("node")).distinct()
+            steps.append(at.withColumn("step", F.lit(k)))
+        found = reduce(DataFrame.unionByName, steps).groupBy("graph", "root", "node").agg(F.min("step").alias("step"))
+        new = found.join(known, ["graph", "root", "node"], "left_anti").checkpoint()
+        if new.isEmpty():
             return known
-        known = known.unionByName(frontier)
+        known = known.unionByName(new.drop("step"))
+        # what earlier steps of the round found has been followed within it
+        frontier = new.filter(F.col("step") == stride - 1).drop("step")
+        rounds += 1
+        if rounds % 16 == 0:
+            known = known.checkpoint()
+        if rounds >= 8 and rounds % 4 == 0:
+            stride = min(2 * stride, 16)
 
 
 def makes_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:

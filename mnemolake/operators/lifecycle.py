@@ -141,6 +141,18 @@ def world_clusters(policies: DataFrame, key: str, min_policies: int = 1, min_sim
     return g.select(key, "n", "strict", "cohesion", admission.alias("admission"), world_confidence(clamp01(gain * 0.7 + F.col("cohesion") * 0.3), admission, F.col("cohesion")).alias("confidence"))
 
 
+def overlaps(items: DataFrame) -> DataFrame:
+    """(a, b, score) of keys that share an item: shared items over the smaller set. Keys meet
+    by their items, so no pair without one is made. items: key, item; repeats count once."""
+    t = items.distinct()
+    n = t.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    x = t.select(F.col("key").alias("a"), "item")
+    y = t.select(F.col("key").alias("b"), "item")
+    shared = x.join(y, "item").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = shared.join(n.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", (F.col("shared") / F.least("na", "nb")).alias("score"))
+
+
 def merge_target(drafts: DataFrame, models: DataFrame, min_overlap: float = 0.6) -> DataFrame:
     """(key, model): the model of the same key, else the one whose policies overlap most.
     Models meet drafts by a shared policy, so no pair without one is made."""

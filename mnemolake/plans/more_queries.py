@@ -244,9 +244,9 @@ def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", A.local_day(Col("ts"), 330).cast("string").alias("day"), M.iso_to_utc(text, 330).alias("utc")).withColumn("utc", Col("utc").cast("timestamp_ntz"))
 
 
-@query(words("{mem} SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) >= 2 AS resonates FROM (SELECT id, ord, list_distinct(regexp_extract_all(lower(value), '[a-z0-9_][a-z0-9_./-]{3,}')) AS t FROM memories WHERE ord < 40) a JOIN (SELECT id, ord, list_distinct(regexp_extract_all(lower(value), '[a-z0-9_][a-z0-9_./-]{3,}')) AS t FROM memories WHERE ord < 40) b ON a.ord + 1 = b.ord"))
-def resonance(spark: SparkSession, sf_dir: str, which: str = "ord < 40") -> DataFrame:
-    m = memories(spark, sf_dir).filter(which).select("id", "ord", M.resonance_tokens(Col("value")).alias("t"))
+@query(words("{mem} SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) >= 2 AS resonates FROM (SELECT id, ord, list_distinct(regexp_extract_all(lower(value), '[a-z0-9_][a-z0-9_./-]{3,}')) AS t FROM memories) a JOIN (SELECT id, ord, list_distinct(regexp_extract_all(lower(value), '[a-z0-9_][a-z0-9_./-]{3,}')) AS t FROM memories) b ON a.ord + 1 = b.ord"))
+def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memories(spark, sf_dir).select("id", "ord", M.resonance_tokens(Col("value")).alias("t"))
     b = m.select(Col("id").alias("b"), (Col("ord") - 1).alias("o"), Col("t").alias("u"))
     return m.join(b, Col("ord") == Col("o")).select(Col("id").alias("a"), "b", (F.size(F.array_intersect("t", "u")) >= 2).alias("resonates"))
 
@@ -288,19 +288,19 @@ def world_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.world_clusters(e, "label", 20).select("label", "n", "admission", F.round("cohesion", 5).alias("cohesion"), F.round("confidence", 5).alias("confidence"))
 
 
-@query("WITH d AS (SELECT o_custkey AS key, list(DISTINCT o_orderkey % 40) AS p FROM orders WHERE o_custkey <= 200 GROUP BY 1), m AS (SELECT l_suppkey AS id, l_suppkey * 7 AS k, list(DISTINCT l_orderkey % 40) AS p FROM lineitem WHERE l_suppkey <= 9 AND l_linenumber = 1 AND l_partkey % 20 = 0 GROUP BY 1), s AS (SELECT key, id, len(list_intersect(d.p, m.p)) AS sh, len(list_intersect(d.p, m.p)) / least(len(d.p), len(m.p)) AS score FROM d, m), b AS (SELECT key, arg_max(id, (score, sh, -id)) AS near FROM s WHERE score >= 0.6 GROUP BY 1) SELECT d.key, coalesce(m.id, near) AS model FROM d LEFT JOIN m ON m.k = d.key LEFT JOIN b ON b.key = d.key")
-def merge_targets(spark: SparkSession, sf_dir: str, drafts: str = "o_custkey <= 200", models: str = "l_suppkey <= 9 and l_linenumber = 1 and l_partkey % 20 = 0") -> DataFrame:
-    d = table(spark, sf_dir, "orders").filter(drafts).groupBy(Col("o_custkey").alias("key")).agg(F.collect_set(Col("o_orderkey") % 40).alias("policy_ids"))
-    m = table(spark, sf_dir, "lineitem").filter(models).groupBy(Col("l_suppkey").alias("id")).agg(F.collect_set(Col("l_orderkey") % 40).alias("policy_ids"))
+@query("WITH d AS (SELECT o_custkey AS key, list(DISTINCT o_orderkey % 40) AS p FROM orders GROUP BY 1), m AS (SELECT l_suppkey AS id, l_suppkey * 7 AS k, list(DISTINCT l_orderkey % 40) AS p FROM lineitem GROUP BY 1), s AS (SELECT key, id, len(list_intersect(d.p, m.p)) AS sh, len(list_intersect(d.p, m.p)) / least(len(d.p), len(m.p)) AS score FROM d, m), b AS (SELECT key, arg_max(id, (score, sh, -id)) AS near FROM s WHERE score >= 0.6 GROUP BY 1) SELECT d.key, coalesce(m.id, near) AS model FROM d LEFT JOIN m ON m.k = d.key LEFT JOIN b ON b.key = d.key")
+def merge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").groupBy(Col("o_custkey").alias("key")).agg(F.collect_set(Col("o_orderkey") % 40).alias("policy_ids"))
+    m = table(spark, sf_dir, "lineitem").groupBy(Col("l_suppkey").alias("id")).agg(F.collect_set(Col("l_orderkey") % 40).alias("policy_ids"))
     return L.merge_target(d, m.withColumn("key", Col("id") * 7).withColumn("confidence", F.lit(0.5)))
 
 
 # --- queues ----------------------------------------------------------------------------
-@query("SELECT coalesce(a.t, b.t) AS target_id, CASE WHEN b.t IS NOT NULL AND (a.t IS NULL OR a.s IN ('failed', 'succeeded')) THEN 'pending' ELSE a.s END AS status, CASE WHEN b.t IS NOT NULL THEN least(coalesce(a.x, 500), 500) ELSE a.x END AS next_at FROM (SELECT event_id AS t, ['pending', 'failed', 'succeeded', 'in_progress'][event_id % 4 + 1] AS s, event_id AS x FROM events WHERE event_id < 1000) a FULL JOIN (SELECT event_id AS t FROM events WHERE event_id % 3 = 0 AND event_id < 1200) b ON a.t = b.t")
-def retry_upsert(spark: SparkSession, sf_dir: str, queued: str = "target_id < 1000", asked: str = "target_id < 1200") -> DataFrame:
+@query("SELECT coalesce(a.t, b.t) AS target_id, CASE WHEN b.t IS NOT NULL AND (a.t IS NULL OR a.s IN ('failed', 'succeeded')) THEN 'pending' ELSE a.s END AS status, CASE WHEN b.t IS NOT NULL THEN least(coalesce(a.x, 500), 500) ELSE a.x END AS next_at FROM (SELECT event_id AS t, ['pending', 'failed', 'succeeded', 'in_progress'][event_id % 4 + 1] AS s, event_id AS x FROM events) a FULL JOIN (SELECT event_id AS t FROM events WHERE event_id % 3 = 0) b ON a.t = b.t")
+def retry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumnRenamed("event_id", "target_id")
-    q = e.filter(queued).select("target_id", F.get(F.array(*map(F.lit, ["pending", "failed", "succeeded", "in_progress"])), (Col("target_id") % 4).cast("int")).alias("status"), F.lit(2).alias("attempts"), Col("target_id").alias("next_at"), F.lit("w1").alias("claimed_by"))
-    return Q.retry_upsert(q, e.filter("target_id % 3 = 0").filter(asked), 500).select("target_id", "status", "next_at")
+    q = e.select("target_id", F.get(F.array(*map(F.lit, ["pending", "failed", "succeeded", "in_progress"])), (Col("target_id") % 4).cast("int")).alias("status"), F.lit(2).alias("attempts"), Col("target_id").alias("next_at"), F.lit("w1").alias("claimed_by"))
+    return Q.retry_upsert(q, e.filter("target_id % 3 = 0"), 500).select("target_id", "status", "next_at")
 
 
 @query("SELECT event_id AS id, CASE WHEN event_id % 4 = 0 AND event_id % 3 <> 1 THEN 'done' ELSE 'claimed' END AS status FROM events")
@@ -310,10 +310,10 @@ def fenced_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.fenced(e, u).select("id", "status")
 
 
-@query(f"WITH {MEMORIES}, q AS (SELECT event_id AS id, 'mem_' || event_id % 900 AS target_id, CASE WHEN event_id % 2 = 0 THEN 'trace' ELSE 'policy' END AS target_kind, event_id % 77 AS next_at, event_id AS created_at FROM events WHERE event_id < 600) SELECT q.id, CASE WHEN target_kind = 'trace' AND layer = 'L1' THEN 0 ELSE 2 END AS rank FROM q LEFT JOIN memories m ON m.id = q.target_id ORDER BY 2, m.created_at DESC, next_at, q.created_at, q.id LIMIT 50")
-def retry_order(spark: SparkSession, sf_dir: str, which: str = "event_id < 600") -> DataFrame:
+@query(f"WITH {MEMORIES}, q AS (SELECT event_id AS id, 'mem_' || event_id % 900 AS target_id, CASE WHEN event_id % 2 = 0 THEN 'trace' ELSE 'policy' END AS target_kind, event_id % 77 AS next_at, event_id AS created_at FROM events) SELECT q.id, CASE WHEN target_kind = 'trace' AND layer = 'L1' THEN 0 ELSE 2 END AS rank FROM q LEFT JOIN memories m ON m.id = q.target_id ORDER BY 2, m.created_at DESC, next_at, q.created_at, q.id LIMIT 50")
+def retry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Col("event_id")
-    q = table(spark, sf_dir, "events").filter(which).select(i.alias("id"), F.concat(F.lit("mem_"), i % 900).alias("target_id"), F.when(i % 2 == 0, "trace").otherwise("policy").alias("target_kind"), (i % 77).alias("next_at"), i.alias("created_at"))
+    q = table(spark, sf_dir, "events").select(i.alias("id"), F.concat(F.lit("mem_"), i % 900).alias("target_id"), F.when(i % 2 == 0, "trace").otherwise("policy").alias("target_kind"), (i % 77).alias("next_at"), i.alias("created_at"))
     return Q.retry_order(q, memories(spark, sf_dir)).limit(50).select("id", "rank")
 
 
@@ -337,10 +337,10 @@ def feedback_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- graphs and vectors ----------------------------------------------------------------
-@query("WITH RECURSIVE e AS (SELECT c_nationkey AS graph, c_custkey AS source, c_custkey + 25 * (c_custkey % 3 + 1) AS target FROM customer WHERE c_custkey <= 1500 UNION ALL SELECT c_nationkey, c_custkey, c_custkey + 25 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey <= 1500), n AS (SELECT c_nationkey AS graph, c_custkey AS id FROM customer WHERE c_custkey <= 1500 AND c_custkey % 7 <> 0), o AS (SELECT e.* FROM e JOIN n ON n.graph = e.graph AND n.id = e.target), r(graph, node) AS (SELECT DISTINCT graph, target FROM o WHERE source % 11 = 0 UNION SELECT r.graph, o.target FROM r JOIN o ON o.graph = r.graph AND o.source = r.node) SELECT graph::BIGINT AS graph, count(*) AS n FROM r GROUP BY 1")
-def graph_side_branches(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
-    e = _edges(spark, sf_dir, which).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").otherwise("next"))
-    return G.side_branches(_nodes(spark, sf_dir, which), e).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+@query("WITH RECURSIVE e AS (SELECT c_nationkey AS graph, c_custkey AS source, c_custkey + 25 * (c_custkey % 3 + 1) AS target FROM customer UNION ALL SELECT c_nationkey, c_custkey, c_custkey + 25 FROM customer WHERE c_custkey % 5 = 0), n AS (SELECT c_nationkey AS graph, c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT e.* FROM e JOIN n ON n.graph = e.graph AND n.id = e.target), r(graph, node) AS (SELECT DISTINCT graph, target FROM o WHERE source % 11 = 0 UNION SELECT r.graph, o.target FROM r JOIN o ON o.graph = r.graph AND o.source = r.node) SELECT graph::BIGINT AS graph, count(*) AS n FROM r GROUP BY 1")
+def graph_side_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").otherwise("next"))
+    return G.side_branches(_nodes(spark, sf_dir), e).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT vec_id, round(sqrt(sum(x * x)), 5) AS norm FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")

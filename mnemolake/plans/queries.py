@@ -489,11 +489,11 @@ def mmr_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.filter(Col("score") >= X.MIN_SCORE).select("id", "tier", F.round("score", 5).alias("score"), "place")
 
 
-@query(words("{mem,} q AS (SELECT ord % 4 AS query_id, id, row_number() OVER (PARTITION BY ord % 4 ORDER BY score DESC, id) - 1 AS rank FROM (SELECT * FROM memories WHERE ord < 200)), g AS (SELECT id || 'x' AS x, id, sum(1.0::DOUBLE / (9 + rank)) AS rrf, bool_or(rank < 3) AS reserved FROM (SELECT 'm' || rank % 25 AS id, query_id, rank FROM q) GROUP BY id) SELECT id, round(rrf, 6) AS rrf, reserved FROM g ORDER BY reserved DESC, rrf DESC, id LIMIT 12"))
-def multi_query_fusion(spark: SparkSession, sf_dir: str, which: str = "ord < 200") -> DataFrame:
+@query(words("{mem,} q AS (SELECT ord % 4 AS query_id, id, row_number() OVER (PARTITION BY ord % 4 ORDER BY score DESC, id) - 1 AS rank FROM (SELECT * FROM memories)), g AS (SELECT id || 'x' AS x, id, sum(1.0::DOUBLE / (9 + rank)) AS rrf, bool_or(rank < 3) AS reserved FROM (SELECT 'm' || rank % 25 AS id, query_id, rank FROM q) GROUP BY id) SELECT id, round(rrf, 6) AS rrf, reserved FROM g ORDER BY reserved DESC, rrf DESC, id LIMIT 12"))
+def multi_query_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    m = memories(spark, sf_dir).filter(which).withColumn("query_id", Col("ord") % 4)
+    m = memories(spark, sf_dir).withColumn("query_id", Col("ord") % 4)
     m = m.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1).select("query_id", "rank", F.concat(F.lit("m"), (Col("rank") % 25).cast("string")).alias("id"))
     return X.fuse_queries(m, 12).select("id", F.round("rrf", 6).alias("rrf"), "reserved")
 
@@ -606,11 +606,11 @@ def memory_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.refs(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem"), "s_suppkey", "l_suppkey", "l_partkey", 50)
 
 
-@query("SELECT a.c AS a, b.c AS b, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS score FROM (SELECT l_suppkey AS c, list(DISTINCT l_partkey % 500) AS t FROM lineitem WHERE l_suppkey <= 12 GROUP BY 1) a, (SELECT l_suppkey AS c, list(DISTINCT l_partkey % 500) AS t FROM lineitem WHERE l_suppkey <= 12 GROUP BY 1) b WHERE a.c < b.c")
-def overlap_coefficient(spark: SparkSession, sf_dir: str, which: str = "l_suppkey <= 12") -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").filter(which).groupBy("l_suppkey").agg(F.collect_set(Col("l_partkey") % 500).alias("t"))
-    a, b = s.select(Col("l_suppkey").alias("a"), Col("t").alias("ta")), s.select(Col("l_suppkey").alias("b"), Col("t").alias("tb"))
-    return a.join(b, Col("a") < Col("b")).select("a", "b", F.round(L.overlap(Col("ta"), Col("tb")), 6).alias("score"))
+@query("WITH t AS (SELECT DISTINCT l_suppkey AS c, l_partkey % 500 AS t FROM lineitem), n AS (SELECT c, count(*) AS n FROM t GROUP BY 1) SELECT x.c AS a, y.c AS b, round(count(*) / least(any_value(nx.n), any_value(ny.n)), 6) AS score FROM t x JOIN t y ON x.t = y.t AND x.c < y.c JOIN n nx ON nx.c = x.c JOIN n ny ON ny.c = y.c GROUP BY 1, 2")
+def overlap_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share an element, which is how they meet."""
+    t = table(spark, sf_dir, "lineitem").select(Col("l_suppkey").alias("key"), (Col("l_partkey") % 500).alias("item"))
+    return L.overlaps(t).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, NULL::VARCHAR AS text, role FROM conversations")
@@ -633,56 +633,56 @@ def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = "edges AS (SELECT c_nationkey AS graph, c_custkey AS source, c_custkey + 25 * (c_custkey % 3 + 1) AS target FROM customer UNION ALL SELECT c_nationkey, c_custkey, c_custkey + 25 FROM customer WHERE c_custkey % 5 = 0)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter(which)
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
     k = Col("c_custkey")
     one = c.select(Col("c_nationkey").cast("long").alias("graph"), k.alias("source"), (k + 25 * (k % 3 + 1)).alias("target"))
     return one.unionByName(c.filter("c_custkey % 5 = 0").select(Col("c_nationkey").cast("long").alias("graph"), k.alias("source"), (k + 25).alias("target")))
 
 
-REACH = f"WITH RECURSIVE {EDGES.replace('FROM customer UNION', 'FROM customer WHERE c_custkey <= 1500 UNION').replace('WHERE c_custkey % 5 = 0', 'WHERE c_custkey % 5 = 0 AND c_custkey <= 1500')}, r(graph, root, node) AS (SELECT DISTINCT graph, source, source FROM edges WHERE source <= 40 UNION SELECT r.graph, r.root, e.target FROM r JOIN edges e ON e.graph = r.graph AND e.source = r.node)"
+REACH = f"WITH RECURSIVE {EDGES}, r(graph, root, node) AS (SELECT DISTINCT graph, source, source FROM edges UNION SELECT r.graph, r.root, e.target FROM r JOIN edges e ON e.graph = r.graph AND e.source = r.node)"
 
 
 @query(REACH + " SELECT graph::BIGINT AS graph, root, count(*) AS n, max(node) AS furthest FROM r GROUP BY 1, 2")
-def graph_reach(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500", roots: str = "source <= 40") -> DataFrame:
-    e = _edges(spark, sf_dir, which)
-    r = G.reachable(e.filter(roots).select("graph", Col("source").alias("root")), e)
+def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    r = G.reachable(e.select("graph", Col("source").alias("root")), e)
     return r.groupBy("graph", "root").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("furthest"))
 
 
-@query(REACH + ", c AS (SELECT DISTINCT graph, source AS target, source + 25 * (source % 9) AS source FROM edges WHERE source <= 40) SELECT c.graph::BIGINT AS graph, c.source, c.target, r.node IS NOT NULL AS cycle FROM c LEFT JOIN r ON r.graph = c.graph AND r.root = c.target AND r.node = c.source")
-def graph_cycle(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500", roots: str = "source <= 40") -> DataFrame:
-    e = _edges(spark, sf_dir, which)
-    c = e.filter(roots).select("graph", Col("source").alias("target")).distinct().withColumn("source", Col("target") + 25 * (Col("target") % 9))
+@query(REACH + ", c AS (SELECT DISTINCT graph, source AS target, source + 25 * (source % 9) AS source FROM edges) SELECT c.graph::BIGINT AS graph, c.source, c.target, r.node IS NOT NULL AS cycle FROM c LEFT JOIN r ON r.graph = c.graph AND r.root = c.target AND r.node = c.source")
+def graph_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    c = e.select("graph", Col("source").alias("target")).distinct().withColumn("source", Col("target") + 25 * (Col("target") % 9))
     return G.makes_cycle(c.select("graph", "source", "target"), e).select("graph", "source", "target", "cycle")
 
 
-def _nodes(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = Col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(which).select(Col("c_nationkey").cast("long").alias("graph"), k.alias("id"), F.when(k % 7 == 0, "task").otherwise("step").alias("kind"), F.get(F.array(*map(F.lit, ["active", "done", "frozen", "blocked"])), (k % 4).cast("int")).alias("status"), Col("c_acctbal").alias("importance"), (k * 13 % 97).alias("updated_at"))
+    return table(spark, sf_dir, "customer").select(Col("c_nationkey").cast("long").alias("graph"), k.alias("id"), F.when(k % 7 == 0, "task").otherwise("step").alias("kind"), F.get(F.array(*map(F.lit, ["active", "done", "frozen", "blocked"])), (k % 4).cast("int")).alias("status"), Col("c_acctbal").alias("importance"), (k * 13 % 97).alias("updated_at"))
 
 
-@query("SELECT graph::BIGINT AS graph, id FROM (SELECT c_nationkey AS graph, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 4 IN (0, 3) THEN 0 WHEN c_custkey % 4 <> 2 THEN 1 ELSE 2 END, c_custkey * 13 % 97 DESC, c_acctbal DESC, c_custkey) AS n FROM customer WHERE c_custkey <= 1500 AND c_custkey % 7 = 0) WHERE n = 1")
-def graph_root(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
-    return G.root_task(_nodes(spark, sf_dir, which)).select("graph", "id")
+@query("SELECT graph::BIGINT AS graph, id FROM (SELECT c_nationkey AS graph, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 4 IN (0, 3) THEN 0 WHEN c_custkey % 4 <> 2 THEN 1 ELSE 2 END, c_custkey * 13 % 97 DESC, c_acctbal DESC, c_custkey) AS n FROM customer WHERE c_custkey % 7 = 0) WHERE n = 1")
+def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.root_task(_nodes(spark, sf_dir)).select("graph", "id")
 
 
 @query()
 def graph_active_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.active_paths(_nodes(spark, sf_dir, "true"), _edges(spark, sf_dir, "true").withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").when(Col("source") % 7 == 0, "decomposes").otherwise("continues")))
+    return G.active_paths(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("type", F.when(Col("source") % 11 == 0, "side_branch").when(Col("source") % 7 == 0, "decomposes").otherwise("continues")))
 
 
 # --- streams ---------------------------------------------------------------------------
 @query("SELECT event_type AS tool, event_id AS step, f::BIGINT AS failures FROM (SELECT *, sum((event_id % 4 <> 0)::INT) OVER w AS f, sum((event_id % 4 = 0)::INT) OVER w AS g FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 14 PRECEDING AND CURRENT ROW)) WHERE event_id % 4 <> 0 AND f >= 3 AND g = 0")
 def stream_failure_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
     import uuid
 
+    from mnemolake.session import shared_dir
     from mnemolake.streaming import pipelines as Z
 
     s = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = s.select(Col("event_type").alias("tool"), Col("event_id").alias("step"), (Col("event_id") % 4 != 0).alias("failed"))
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    where = shared_dir(spark)
     return Z.run_to_end(Z.failure_bursts(rows, 15, 3), f"bursts_{uuid.uuid4().hex[:8]}", f"{where}/stream-{uuid.uuid4().hex}")
 
 

@@ -10,7 +10,7 @@ from mnemolake.operators import filters as P
 from mnemolake.operators import graph as G
 from mnemolake.operators import records as D
 from mnemolake.operators import retrieval as X
-from mnemolake.plans.queries import Col, _edges, _first_vector, _nodes, query, words
+from mnemolake.plans.queries import EDGES, Col, _edges, _first_vector, _nodes, query, words
 from mnemolake.plans.search import search
 from mnemolake.plans.views import jobs, memories, table
 
@@ -50,10 +50,10 @@ def vector_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.vector_rows(e)[1].select("id", "field", "dim")
 
 
-@query("SELECT vec_id AS id, (1 + (vec_id % 2 = 0)::INT)::INT AS n FROM embeddings WHERE vec_id < 100")
-def vector_hydrate(spark: SparkSession, sf_dir: str, which: str = "id < 100") -> DataFrame:
+@query("SELECT vec_id AS id, (1 + (vec_id % 2 = 0)::INT)::INT AS n FROM embeddings")
+def vector_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(Col("vec_id").alias("id"), Col("embedding").alias("vec_summary"), F.when(Col("vec_id") % 2 == 0, Col("embedding")).alias("vec_action"))
-    return D.hydrated(e.filter(which).select("id"), D.vector_rows(e)[1]).select("id", F.size("vectors").alias("n"))
+    return D.hydrated(e.select("id"), D.vector_rows(e)[1]).select("id", F.size("vectors").alias("n"))
 
 
 @query(r"SELECT conv_id * 1000 + turn AS id, CASE WHEN length(t) <= 140 THEN t ELSE left(t, 137) || '...' END AS summary FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user') WHERE trim(text) <> ''")
@@ -73,9 +73,9 @@ def job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("id", key.alias("key"))
 
 
-@query("SELECT min(o_orderkey) AS id, o_custkey % 500 AS key FROM orders WHERE o_custkey % 500 NOT IN (SELECT event_id % 500 FROM events WHERE event_id < 200 AND event_id % 10 < 6) GROUP BY 2")
-def job_enqueue(spark: SparkSession, sf_dir: str, which: str = "event_id < 200") -> DataFrame:
-    old = table(spark, sf_dir, "events").filter(which).select((Col("event_id") % 500).alias("key"), F.when(Col("event_id") % 10 < 6, "queued").otherwise("succeeded").alias("status"))
+@query("SELECT min(o_orderkey) AS id, o_custkey % 500 AS key FROM orders WHERE o_custkey % 500 NOT IN (SELECT event_id % 500 FROM events WHERE event_id % 10 < 6) GROUP BY 2")
+def job_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "events").select((Col("event_id") % 500).alias("key"), F.when(Col("event_id") % 10 < 6, "queued").otherwise("succeeded").alias("status"))
     new = table(spark, sf_dir, "orders").select(Col("o_orderkey").alias("id"), (Col("o_custkey") % 500).alias("key"))
     return D.enqueued(old, new)
 
@@ -91,9 +91,9 @@ def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.advanced(e.filter("event_id % 2 = 0").groupBy("source").agg(F.max("at").alias("at")), e.filter("event_id % 2 = 1"))
 
 
-@query("SELECT 0 AS stream, c FROM (SELECT event_id // 3 % 50 AS c, lag(event_id // 3 % 50) OVER (ORDER BY event_id) AS p FROM events WHERE event_id < 200) WHERE p IS NULL OR p <> c GROUP BY c HAVING count(*) > 1")
-def contiguity_check(spark: SparkSession, sf_dir: str, which: str = "event_id < 200") -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(which).select(F.lit(0).alias("stream"), F.expr("event_id div 3 % 50").alias("c"), "event_id")
+@query("SELECT user_id AS stream, c FROM (SELECT user_id, event_id // 3 % 50 AS c, lag(event_id // 3 % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> c GROUP BY 1, 2 HAVING count(*) > 1")
+def contiguity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(Col("user_id").alias("stream"), F.expr("event_id div 3 % 50").alias("c"), "event_id")
     return D.discontiguous(e, "c", "event_id")
 
 
@@ -117,9 +117,9 @@ def existing_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.existing_skill(li)
 
 
-@query("WITH f AS (SELECT event_id AS fid, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS t, event_id % 70 AS e FROM events WHERE event_id < 300), p AS (SELECT o_orderkey AS trial, o_orderkey % 90 AS t, o_custkey % 70 AS e, o_orderdate AS d FROM orders WHERE o_orderstatus = 'O'), j AS (SELECT fid, trial, d FROM f JOIN p ON f.t = p.t UNION ALL SELECT fid, trial, d FROM f JOIN p ON f.t IS NULL AND f.e = p.e) SELECT fid AS feedback_id, trial AS trial_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d DESC, trial) AS n FROM j) WHERE n <= 20")
-def pending_trials(spark: SparkSession, sf_dir: str, which: str = "event_id < 300") -> DataFrame:
-    f = table(spark, sf_dir, "events").filter(which).select(Col("event_id").alias("feedback_id"), F.when(Col("event_id") % 2 == 0, Col("event_id") % 90).alias("turn_id"), (Col("event_id") % 70).alias("episode_id"))
+@query("WITH f AS (SELECT event_id AS fid, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS t, event_id % 70 AS e FROM events), p AS (SELECT o_orderkey AS trial, o_orderkey % 90 AS t, o_custkey % 70 AS e, o_orderdate AS d FROM orders WHERE o_orderstatus = 'O'), j AS (SELECT fid, trial, d FROM f JOIN p ON f.t = p.t UNION ALL SELECT fid, trial, d FROM f JOIN p ON f.t IS NULL AND f.e = p.e) SELECT fid AS feedback_id, trial AS trial_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d DESC, trial) AS n FROM j) WHERE n <= 20")
+def pending_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "events").select(Col("event_id").alias("feedback_id"), F.when(Col("event_id") % 2 == 0, Col("event_id") % 90).alias("turn_id"), (Col("event_id") % 70).alias("episode_id"))
     t = table(spark, sf_dir, "orders").select(Col("o_orderkey").alias("trial_id"), (Col("o_orderkey") % 90).alias("turn_id"), (Col("o_custkey") % 70).alias("episode_id"), Col("o_orderdate").alias("at"), F.when(Col("o_orderstatus") == "O", "pending").otherwise("pass").alias("outcome"))
     return D.pending_trials(f, t)
 
@@ -159,9 +159,9 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.context_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("context").alias("digest"))
 
 
-@query("""SELECT event_id, '{"api_key": "[redacted]", "k": ' || (props->>'$.k') || '}' AS config FROM events WHERE event_id < 500""")
-def config_redaction(spark: SparkSession, sf_dir: str, which: str = "event_id < 500") -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(which)
+@query("""SELECT event_id, '{"api_key": "[redacted]", "k": ' || (props->>'$.k') || '}' AS config FROM events""")
+def config_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", D.redacted_config(F.concat(F.lit('{"api_key": "abc", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).alias("config"))
 
 
@@ -181,11 +181,11 @@ def bucket_policy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label").agg(F.avg(F.when(Col("c") >= 0.05, Col("c"))).alias("m")).filter("m is not null").select("label", F.round("m", 5).alias("score"))
 
 
-@query(words("{mem} SELECT id FROM memories m WHERE layer = 'L2' AND ('mem_' || (ord - 1) IN (SELECT id FROM memories WHERE ord < 60) OR episode_id IN (SELECT episode_id FROM memories WHERE ord < 60))"))
+@query(words("{mem} SELECT id FROM memories m WHERE layer = 'L2' AND ('mem_' || (ord - 1) IN (SELECT id FROM memories WHERE score > 0.655) OR episode_id IN (SELECT episode_id FROM memories WHERE score > 0.655))"))
 def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies linked to injected memories by trace or by episode."""
     m = memories(spark, sf_dir)
-    used = m.filter("ord < 60")
+    used = m.filter("score > 0.655")
     p = m.filter("layer = 'L2'").withColumn("trace", F.concat(F.lit("mem_"), Col("ord") - 1))
     by_trace, by_episode = P.having(p, used, "trace", "id"), P.having(p, used, "episode_id", "episode_id")
     return by_trace.select("id").unionByName(by_episode.select("id")).distinct()
@@ -197,17 +197,26 @@ def policy_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).groupBy("source").agg(F.count_distinct(F.coalesce(e, "id")).alias("support"))
 
 
-@query("SELECT c_nationkey::BIGINT AS graph, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3)) DESC, c_acctbal DESC, c_custkey * 13 % 97 DESC, c_custkey) AS n FROM customer WHERE c_custkey <= 1500) WHERE c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3) OR n <= 40 GROUP BY 1")
-def graph_context(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
-    return G.builder_context(_nodes(spark, sf_dir, which), 40).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT c_nationkey::BIGINT AS graph, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3)) DESC, c_acctbal DESC, c_custkey * 13 % 97 DESC, c_custkey) AS n FROM customer) WHERE c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 3) OR n <= 40 GROUP BY 1")
+def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.builder_context(_nodes(spark, sf_dir), 40).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_nationkey::BIGINT AS graph, 'several open tasks' AS fault FROM customer WHERE c_custkey <= 1500 AND c_custkey % 7 = 0 AND c_custkey % 4 IN (0, 3) GROUP BY 1 HAVING count(*) > 1")
-def graph_transitions(spark: SparkSession, sf_dir: str, which: str = "c_custkey <= 1500") -> DataFrame:
-    none = spark.createDataFrame([], "graph long, node long")
-    return G.transition_faults(_nodes(spark, sf_dir, which), _edges(spark, sf_dir, which).withColumn("type", F.lit("continues")), none)
+_ADDED = "c_custkey % 21 = 0"
 
 
-@query("SELECT doc_id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents WHERE doc_id < 50) WHERE term <> '' GROUP BY 1, 2)")
-def fts_postings(spark: SparkSession, sf_dir: str, which: str = "doc_id < 50") -> DataFrame:
-    return X.postings(table(spark, sf_dir, "documents").filter(which), "doc_id", "text")
+@query(f"""WITH {EDGES}, t AS (SELECT c_nationkey AS graph, c_custkey AS id, ['active', 'done', 'frozen', 'blocked'][c_custkey % 4 + 1] AS status, {_ADDED} AS added FROM customer WHERE c_custkey % 7 = 0),
+i AS (SELECT a.graph, a.id, CASE WHEN e.source % 3 = 0 THEN 'supersedes' ELSE 'continues' END AS type, CASE WHEN o.status = 'done' THEN 'continues' WHEN o.status = 'frozen' THEN 'supersedes' END AS want FROM t a JOIN edges e ON e.graph = a.graph AND e.target = a.id LEFT JOIN t o ON o.graph = e.graph AND o.id = e.source WHERE a.added)
+SELECT graph::BIGINT AS graph, 'several open tasks' AS fault FROM t WHERE status IN ('active', 'blocked') GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT graph::BIGINT, 'added task is not open' FROM t WHERE added AND status NOT IN ('active', 'blocked')
+UNION ALL SELECT graph::BIGINT, 'transition does not fit' FROM i GROUP BY graph, id HAVING count(*) <> 1 OR NOT coalesce(bool_or(type = want), false)""")
+def graph_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three faults: every third task is one that was added."""
+    added = table(spark, sf_dir, "customer").filter(_ADDED).select(Col("c_nationkey").cast("long").alias("graph"), Col("c_custkey").alias("node"))
+    kinds = F.when(Col("source") % 3 == 0, "supersedes").otherwise("continues")
+    return G.transition_faults(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("type", kinds), added)
+
+
+@query("SELECT doc_id, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2)")
+def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
