@@ -216,6 +216,8 @@ def mixed_tokens(text: Column) -> Column:
 ERROR_SHAPES = (
     r"\b([A-Z][A-Za-z0-9]*(?:Error|Exception)):\s*([^\n]{4,160})",
     r"\b(?:error|Error|fatal|FATAL|ERROR)\s*:\s*([^\n]{4,160})",
+    r"\b([A-Za-z0-9_\-./]+):\s*[^\n]{0,40}\b(not found|no such (?:file|directory)|permission denied|undefined reference|command not found)\b[^\n]*",
+    r"\b([A-Za-z0-9_\-./]{3,80})\s+[^\n]{0,40}\b(not found|no such (?:file|directory)|permission denied|undefined reference|command not found)\b[^\n]*",
     r"\b([A-Za-z0-9_]{3,40})\s+(is required|must be|cannot|could not|failed to)\s+[^\n]{3,120}",
     r"\bexit (?:code|status)\s*[:=]?\s*(\d{1,4})\b[^\n]{0,80}",
     r"\b(4\d\d|5\d\d)\s+([A-Za-z][A-Za-z ]{2,30})\b",
@@ -224,14 +226,26 @@ ERROR_SHAPES = (
 _SPECIFIC = ((r"\b[A-Z][a-zA-Z]*Error\b", 3), (r"\b[A-Z][a-zA-Z]*Exception\b", 3), (r"(\b|_)E[A-Z]{3,}\b", 2), (r"/[a-zA-Z0-9._\-/]+", 2), (r"\bcode\s*=\s*\d+", 1), (r"\b\d{3}\b", 1), (r"_", 1))
 
 
+#: Words that alone make no fragment.
+ERROR_STOP_WORDS = {"the", "for", "this", "that", "your", "from", "with", "have", "has", "not", "a", "an", "of", "to", "is", "in", "on", "by"}
+MOST_FRAGMENTS = 32
+
+
 def error_signatures_of(text: str, most: int = 4) -> list[str]:
     """The most specific error fragments; earlier ones win ties."""
-    seen: dict[str, list] = {}
+    found: list[str] = []
     for shape in ERROR_SHAPES:
-        for m in itertools.islice(re.finditer(shape, text, re.ASCII), 32):
-            f = " ".join(m.group().split())[:160]
-            if len(f) >= 6 and sum(c.isascii() and c.isalpha() for c in f) >= 4:
-                seen.setdefault(f.lower(), [f, 0])[1] += 1
+        for m in re.finditer(shape, text, re.ASCII):
+            found.append(m.group())
+            if len(found) >= MOST_FRAGMENTS:
+                break
+    seen: dict[str, list] = {}
+    for f in found:
+        f = re.sub("[\u200b\u00a0]", "", re.sub(r"\s+", " ", f)).strip()
+        short = f[:160]
+        words = [w for w in re.split("[^a-z0-9_]+", short.lower()) if w]
+        if len(f) >= 6 and len(re.sub("[^A-Za-z]", "", short)) >= 4 and not (words and all(w in ERROR_STOP_WORDS for w in words)):
+            seen.setdefault(" ".join(short.lower().split()), [short, 0])[1] += 1
     scored = [(f, sum(w for p, w in _SPECIFIC if re.search(p, f, re.ASCII)) + min(2, n - 1) - (len(f) > 120)) for f, n in seen.values()]
     return [f for f, _ in sorted(scored, key=lambda x: -x[1])[:most]]
 

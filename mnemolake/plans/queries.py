@@ -296,21 +296,6 @@ def feedback_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.turn_feedback(Col("text"))["polarity"].alias("polarity"))
 
 
-@query()
-def turn_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", R.turn_relation(Col("text"), before, F.lit(0)).alias("relation"))
-
-
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(lower(text), '\\btest\\b|\\bunit test\\b|\\bjest\\b|\\bvitest\\b|\\bpytest\\b') THEN 'test' END, CASE WHEN regexp_matches(lower(text), '\\berror\\b|\\bexception\\b|\\btraceback\\b') THEN 'error' END, CASE WHEN regexp_matches(lower(text), '\\bsql\\b|\\bselect\\s|\\binsert\\s') THEN 'sql' END, CASE WHEN regexp_matches(lower(text), '\\bauth(entication|orization)?\\b|\\btoken\\b|\\boauth\\b') THEN 'auth' END], lambda t: t IS NOT NULL)), ',') AS tags FROM conversations")
-def text_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.filter(R.keyword_tags(Col("text")), lambda t: t.isin("test", "error", "sql", "auth"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tags, ",").alias("tags"))
-
-
 @query("SELECT event_id, 'tag' || event_id % 3 || '|_|' || lower(event_type) || '|' || CASE WHEN event_id % 5 = 0 THEN 'NET_TIMEOUT' WHEN event_id % 5 = 1 THEN 'EXIT_' || (event_id % 7 + 1) ELSE '_' END AS sig FROM events")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Col("event_id")
@@ -324,11 +309,6 @@ def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.candidate_id(F.concat_ws("|", "event_type", F.lit("_")), F.concat(F.lit("tr.ace-"), Col("event_id").cast("string"))).alias("candidate"))
 
 
-@query()
-def error_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.error_signatures(Col("text")).alias("fragments"))
-
-
 # --- conversations ---------------------------------------------------------------------
 @query(words("{turns} SELECT conv_id, turn, turn_no FROM turns"))
 def turn_split(spark: SparkSession, sf_dir: str) -> DataFrame:

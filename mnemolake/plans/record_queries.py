@@ -27,16 +27,6 @@ def retrieval_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(m.join(v, Col("ord") == Col("_v"), "left").drop("_v"), "Apache License version, public domain", _first_vector(spark, sf_dir), 1707955200000).select("id", "tier", F.round("score", 5).alias("score"), "place")
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN t = '' THEN 'chitchat' WHEN length(t) <= 48 AND regexp_matches(lower(t), '^(hi|hello|hey|yo|sup|thanks|thank you|ok|okay|cool|nice)[\s!.?]*$') THEN 'chitchat' WHEN regexp_matches(t, '(?i)\b(what did (i|we) (say|discuss|talk|mention)|do you remember|last time|earlier we|previously we|we talked about)\b') THEN 'memory_probe' WHEN regexp_matches(t, '(?i)^(please|pls)\s+') OR regexp_matches(t, '(?i)^(write|build|create|fix|debug|run|install|refactor|add|remove|delete|generate|set up|analyze|review|test|deploy|implement|translate|explain)\b') THEN 'task' WHEN len(string_split_regex(t, '\s+')) >= 40 THEN 'task' ELSE 'unknown' END AS intent FROM (SELECT conv_id, turn, trim(text) AS t FROM conversations)")
-def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.intent(Col("text")).alias("intent"))
-
-
-@query(r"SELECT conv_id, turn, CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, 'prefer|instead|should use') THEN 'preference' WHEN regexp_matches(t, '\bwrong\b|\bnot\s+(right|correct|what|that)\b|\bdon''t\s+do\b|\bdo\s+not\s+do\b|\bstop\s+that\b|\bno[,.!? ]|^(no|nope|nah)$') THEN 'negative' WHEN regexp_matches(t, '\b(great|perfect|awesome|nice work|well done|works|fixed)\b|\bthanks?\b|^(yes|ok|okay|sure)[.!?]?$') THEN 'positive' WHEN regexp_matches(t, '\bwhat\s+(do\s+you\s+mean|are\s+you\s+(doing|saying))\b|\bwhy\s+(did|are)\s+you\b|\bi\s+don''?t\s+(understand|get|follow)\b|\bnot\s+sure\s+what\b|\bconfus(ed|ing)\b|\?{2,}\s*$') THEN 'confusion' WHEN regexp_matches(t, '^(run|delete|create|install|try|use|call|build|deploy|test|add|remove|restart)\b') THEN 'instruction' ELSE 'unknown' END AS shape FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)")
-def feedback_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.feedback_shape(Col("text")).alias("shape"))
-
-
 @query(words("{mem} SELECT id, CASE WHEN ord % 4 = 0 THEN ord * 10 END AS ts, CASE WHEN ord % 4 = 0 THEN episode_id END AS episode FROM memories"))
 def trace_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = F.when(Col("ord") % 4 == 0, F.to_json(F.struct(F.struct(F.struct((Col("ord") * 10).alias("ts"), "episode_id").alias("trace")).alias("internal_info")))).otherwise('{"internal_info":{}}')

@@ -109,7 +109,7 @@ def test_error_signatures(spark):
 def test_rules(spark):
     f = lambda t: one(spark, R.turn_feedback(F.lit(t))["polarity"])
     assert [f("Perfect!"), f("that is wrong"), f("not correct"), f("next time use x"), f("hm"), f("")] == ["positive", "negative", "positive", "negative", "neutral", "neutral"]
-    r = lambda t, p, g: one(spark, R.turn_relation(F.lit(t), F.lit(p), F.lit(g)))
+    r = lambda t, p, g: one(spark, R.turn_relation(F.lit(t), F.lit(p), F.lit(g))["relation"])
     assert [r("wrong, redo", "x", 0), r("and also this", "x", 0), r("new topic please", "x", 0), r("hi", "", 0), r("hi", "x", 3 * 3_600_000), r("", "x", 0)] == ["revision", "follow_up", "new_task", "new_task", "new_task", "unknown"]
 
 
