@@ -1,9 +1,9 @@
 """Sharding by a k-d tree over metadata, cut at distributed weighted medians.
 
 Points are the groups of equal texts, weighed by their bytes; their coordinates are
-the metadata of their first row, each scaled to 0..1. A node that is to become k
-shards is cut along its widest dimension where k//2 of its k shares of the bytes lie
-below. The cut is found digit by digit: an aggregate per node and digit of the
+the metadata of their first row, each scaled to 0..1. A node that holds k times the
+target bytes is cut along its widest dimension where k//2 of its k shares of the bytes
+lie below, until leaves hold the target bytes. The cut is found digit by digit: an aggregate per node and digit of the
 coordinate (with a hash of the text below it, so that ties can be cut too), of which
 the driver sees at most nodes x 2**DIGIT sums, until the digit at the cut weighs next
 to nothing or no digit is left.
@@ -11,6 +11,7 @@ to nothing or no digit is left.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,16 +91,22 @@ def grow(points: DataFrame, dims: int, shards: int) -> Node:
     return root
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 8, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), target_bytes: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `bytes`: shards hold nearly equal sums of sizes (UTF-8 bytes of the
     text, null none, plus 1); grown_shard is null. Equal texts share a shard, so a
-    group of copies that outweighs a share makes its shard heavier. Dimensions are the
+    group of copies that outweighs a share makes its shard heavier. The target is
+    target_bytes, or an equal share of all for each of so many shards. Dimensions are the
     columns named by dims, as far as docs has them, and the size; numbers keep their
-    order, other values go by a hash, nulls come first. slot numbers a shard's rows
-    from 0 without gaps, in an order of hashes. An empty table gives an empty result.
+    order, other values go by a hash, nulls come first; where coordinates tie, a hash of
+    the text decides. slot numbers a shard's rows from 0 without gaps, in an order of
+    hashes; rows that repeat whole follow each other in any order. Texts count whole,
+    however long. An empty table gives an empty result; other columns of docs, whatever
+    their names, are ignored.
     """
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give either shards or target_bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     numeric = ("byte", "short", "integer", "long", "float", "double")
     kinds = {f.name: f.dataType.typeName() for f in docs.schema.fields}
@@ -109,7 +116,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     slim = stage(rows, "sizes")
     groups = slim.groupBy("same").agg(F.sum("size").alias("w"), F.min_by("x", F.struct("doc_id", "x")).alias("x"))
     n = len(coords)
-    ends = slim.agg(*[f(F.col(f"x.x{i}")).alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = slim.agg(F.sum("size").alias("bytes"), *[f(F.col(f"x.x{i}")).alias(f"{name}{i}") for i in range(n) for name, f in (("lo", F.min), ("hi", F.max))]).first()
     below = F.conv(F.substring("same", 1, 7), 16, 10).cast("long") * 4
     keys = []
     for i in range(n):
@@ -117,7 +124,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         cell = F.when(F.col(f"x.x{i}").isNull(), 0).otherwise(F.floor((F.col(f"x.x{i}") - lo) / ((hi - lo) or 1.0) * ((1 << CELL) - 1)))
         keys.append((cell.cast("long") * (1 << BELOW) + below).alias(f"k{i}"))
     points = stage(groups.select("same", "w", *keys), "points")
-    tree = grow(points, n, shards)
+    tree = grow(points, n, shards or max(1, math.ceil((ends["bytes"] or 0) / target_bytes)))
     placed = points.select(F.col("same").alias("other"), place(tree, [F.col(f"k{i}") for i in range(n)]).alias("shard"))
     joined = stage(slim.join(placed, F.col("same") == F.col("other")).select("doc_id", "size", "text_crc32", "same", "shard"), "placed")
     out = numbered(joined, "shard", F.xxhash64("doc_id", "same"), "slot")
