@@ -47,6 +47,12 @@ def recovered(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"attempts": F.when(held, F.greatest(F.col("attempts") - 1, F.lit(0))).otherwise(F.col("attempts")), "status": F.when(held, "queued").otherwise(F.col("status"))})
 
 
+def retries_recovered(retries: DataFrame, held: str = "in_progress", waiting: str = "pending") -> DataFrame:
+    """After a restart: retries in progress and failed ones wait again, the latter anew."""
+    status = F.col("status")
+    return retries.withColumns({"attempts": F.when(status == "failed", 0).otherwise(F.col("attempts")), "status": F.when(status.isin(held, "failed"), waiting).otherwise(status)})
+
+
 def retained(log: DataFrame, order: list[Column], newest: int) -> DataFrame:
     """The newest rows of one log table: a global top-k, not a window over everything."""
     return log.orderBy(*order).limit(newest)

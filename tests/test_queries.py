@@ -9,6 +9,7 @@ import os
 import pytest
 
 import mnemolake.plans.more_queries  # noqa: F401
+import mnemolake.plans.panel_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
 import mnemolake.plans.rule_queries  # noqa: F401
 from mnemolake.plans.queries import ORACLES, QUERIES
