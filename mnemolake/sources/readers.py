@@ -88,11 +88,18 @@ def item_messages(items: DataFrame, key: Column, path: str = "$.messages") -> Da
 
 
 def sqlite_rows(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """One read-only SELECT over a SQLite file that Spark can reach. The file is shipped as
-    binary and opened by the task that reads it, in memory."""
+    """One read-only SELECT over SQLite files that Spark can reach, which it ships as binaries
+    of under 2 GiB each."""
     if ";" in query or not query.strip().lower().startswith("select"):
         raise ValueError("a single SELECT without a semicolon is asked for")
 
+    return sqlite_of(spark.read.format("binaryFile").load(path).select("content"), query, schema)
+
+
+def sqlite_of(files: DataFrame, query: str, schema: str, rows: int = 10_000) -> DataFrame:
+    """The rows that one read-only SELECT gives of each file (content), some at a time. A file is
+    opened by the task that reads it, in memory, so it must fit one."""
+
     def run(batches):  # noqa: ANN001, ANN202
         import sqlite3
 
@@ -101,9 +108,10 @@ def sqlite_rows(spark: SparkSession, path: str, query: str, schema: str) -> Data
                 db = sqlite3.connect(":memory:")
                 db.deserialize(bytes(raw))
                 db.execute("PRAGMA query_only = ON")
-                yield pd.read_sql_query(query, db)
+                yield from pd.read_sql_query(query, db, chunksize=rows)
+                db.close()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return files.select("content").mapInPandas(run, schema)
 
 
 def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +133,11 @@ def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grep(spark: SparkSession, path: str, pattern: str, glob: str = "*", most_bytes: int = 2 << 20, fixed: bool = False, context: int = 0) -> DataFrame:
-    """(file, line_no, line, at) of matching lines; binary and oversized files are skipped."""
+    """(file, line_no, line, context, at) of matching lines. As the tool that this stands for
+    does, it skips binary files (a NUL byte in their first 1024) and, where that is a feature
+    of a search through a workspace, files of over most_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).filter(F.col("length") <= most_bytes)
-    text = files.filter(F.instr(F.hex(F.substring("content", 1, 1024)), "00") % 2 == 0).select("path", "modificationTime", F.decode("content", "UTF-8").alias("t"))
+    text = files.filter(~F.contains(F.substring("content", 1, 1024), F.lit(bytearray(b"\x00")))).select("path", "modificationTime", F.decode("content", "UTF-8").alias("t"))
     lines = text.select(F.col("path").alias("file"), F.col("modificationTime").alias("at"), F.split("t", "\n").alias("ls")).select("file", "at", "ls", F.posexplode("ls").alias("no", "line"))
     hit = F.contains(F.col("line"), F.lit(pattern)) if fixed else F.col("line").rlike(pattern)
     around = F.slice("ls", F.greatest(F.col("no") + 1 - context, F.lit(1)), F.least(F.lit(2 * context + 1), F.col("no") + 1 + context)) if context else F.array("line")

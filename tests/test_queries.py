@@ -12,6 +12,7 @@ import mnemolake.plans.more_queries  # noqa: F401
 import mnemolake.plans.panel_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
 import mnemolake.plans.rule_queries  # noqa: F401
+import mnemolake.plans.source_queries  # noqa: F401
 from mnemolake.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
