@@ -52,7 +52,7 @@ def bm25(docs: DataFrame, ident: str, text: str, asked: Sequence[str], at_least:
     sized = docs.select(ident, F.size(words).alias("len"), F.filter(words, lambda t: t.isin(terms)).alias("found"))
     whole = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     tf = sized.filter(F.size("found") > 0).select(ident, "len", F.explode("found").alias("term")).groupBy(ident, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = tf.groupBy("term").agg(F.count("tf").alias("df"))  # over all of tf's columns, so that its shuffle is reused
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))
@@ -136,9 +136,9 @@ def span_cap(hits: DataFrame, trace: str, is_span: str, score: str, most: int =
 def fuse_queries(hits: DataFrame, limit: int, constant: int = 8) -> DataFrame:
     """Hits (query_id, id, rank from 0) of rewritten queries: reserved slots of each
     query first, then by reciprocal rank."""
-    n = F.size(F.collect_set("query_id").over(W.partitionBy()))
-    reserve = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.lit(limit) / n)))
-    g = hits.withColumn("_r", reserve).groupBy("id").agg(F.sum(1 / (constant + 1 + F.col("rank"))).alias("rrf"), F.max(F.col("rank") < F.col("_r")).alias("reserved"), F.min("rank").alias("best_rank"))
+    n = hits.agg(F.count_distinct("query_id").alias("_q"))
+    reserve = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_q"))))
+    g = hits.crossJoin(F.broadcast(n)).withColumn("_r", reserve).groupBy("id").agg(F.sum(1 / (constant + 1 + F.col("rank"))).alias("rrf"), F.max(F.col("rank") < F.col("_r")).alias("reserved"), F.min("rank").alias("best_rank"))
     return g.orderBy(F.desc("reserved"), F.desc("rrf"), "id").limit(limit)
 
 

@@ -304,7 +304,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.signature(tags, Col("event_type"), T.error_code(out)).alias("sig"))
 
 
-@query()
+@query("WITH s AS (SELECT event_id, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(event_type || '|_', ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM events) SELECT event_id, 'cand_' || ltrim(array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', (h // (36 ** i)::BIGINT % 36)::INT + 1, 1)), ''), '0') || '_' || left('trace-' || event_id, 24) AS candidate FROM s")
 def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.candidate_id(F.concat_ws("|", "event_type", F.lit("_")), F.concat(F.lit("tr.ace-"), Col("event_id").cast("string"))).alias("candidate"))
 
@@ -663,7 +663,7 @@ def stream_failure_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = s.select(Col("event_type").alias("tool"), Col("event_id").alias("step"), (Col("event_id") % 4 != 0).alias("failed"))
     where = shared_dir(spark)
-    return Z.run_to_end(Z.failure_bursts(rows, 15, 3), f"bursts_{uuid.uuid4().hex[:8]}", f"{where}/stream-{uuid.uuid4().hex}")
+    return Z.run_to_end(Z.failure_bursts(rows, 15, 3), "bursts", f"{where}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT user_id, min(ts) AS opened, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, s")

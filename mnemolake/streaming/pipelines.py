@@ -60,8 +60,9 @@ def advance_watermark(target: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drives a finite stream to its end into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, folder: str) -> DataFrame:
+    """Drives a finite stream to its end. Rows are appended as Parquet under the folder, which
+    driver and executors share, beside the query's checkpoint; what is read back is theirs."""
+    out = f"{folder}/{name}"
+    stream.writeStream.format("parquet").queryName(name).option("path", out).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

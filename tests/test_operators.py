@@ -200,3 +200,38 @@ def test_streams(spark, tmp_path):
     assert Z.run_to_end(Z.deduped(s, "key", "at"), "dedup_out", str(tmp_path / "c1")).count() == 3
     got = sorted((r["step"], r["failures"]) for r in Z.run_to_end(Z.failure_bursts(s.select("tool", "step", "failed"), 3, 3), "burst_out", str(tmp_path / "c2")).collect())
     assert got == [(r["step"], r["failures"]) for r in C.failure_bursts(df, "tool", "step", "failed", 3, 3).orderBy("step").collect()]
+
+
+def test_diversity_against_the_definition(spark):
+    """Greedy choice by relevance less redundancy, spelled out."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(1, f"m{i:02d}", f"tier{i % 3 + 1}", rng.random(), round(rng.random(), 3), None if i % 9 == 8 else [rng.random() for _ in range(4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "query_id long, id string, tier string, rrf double, relevance double, vector array<double>")
+    got = {r["id"]: r["score"] for r in X.mmr(df, 8).collect()}
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    chosen: dict[str, float] = {}
+    by = {r[1]: r for r in rows}
+
+    def score(r):
+        near = [cos(r[5], by[c][5]) for c in chosen if by[c][5] is not None] if r[5] is not None else []
+        if not any(by[c][5] is not None for c in chosen):
+            return r[4]
+        return X.LAMBDA * r[4] - (1 - X.LAMBDA) * (max(near) if near else 0.0)
+
+    def best(pool):
+        r = max(sorted(pool, key=lambda r: (-r[4], r[1])), key=score)
+        chosen[r[1]] = score(r)
+
+    top = max(r[4] for r in rows)
+    for tier in ("tier1", "tier2", "tier3"):
+        own = [r for r in rows if r[2] == tier and r[4] >= top * X.SEED_RATIO and r[1] not in chosen]
+        if own:
+            best(own)
+    while len(chosen) < 8:
+        best([r for r in rows if r[1] not in chosen])
+    assert set(got) == set(chosen) and all(abs(got[c] - chosen[c]) < 1e-9 for c in chosen)

@@ -7,11 +7,14 @@ import re
 import pytest
 
 import mnemolake.plans.more_queries  # noqa: F401
+import mnemolake.plans.panel_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
+import mnemolake.plans.rule_queries  # noqa: F401
+import mnemolake.plans.source_queries  # noqa: F401
 from mnemolake.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-PYTHON = {"error_signatures", "mmr_selection", "vector_round_trip", "graph_active_path", "retrieval_search", "config_redaction", "stream_failure_bursts"}
+PYTHON = {"error_signatures", "mmr_selection", "vector_round_trip", "graph_active_path", "retrieval_search", "config_redaction", "stream_failure_bursts", "sqlite_store"}
 
 
 def plan(df) -> str:
