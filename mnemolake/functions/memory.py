@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,8 +93,59 @@ def iso_to_utc(text: Column, offset_minutes: int = 0) -> Column:
     return F.when(has, F.try_to_timestamp(text)).otherwise(F.try_to_timestamp(text) - F.make_dt_interval(mins=F.lit(offset_minutes)))
 
 
-def next_run(kind_: str, base_ms: int, at_ms: int | None = None, every_ms: int | None = None) -> int | None:
-    """The next time of an `at` or `every` schedule; None when there is none."""
+def zone_offset(zone: str | None, now: datetime) -> int:
+    """Minutes from UTC of a fixed offset (UTC+5:30, -08), or of a named zone as it is now: it
+    holds for all instants, whatever the season. None is UTC."""
+    name = (zone or "").strip()
+    if not name:
+        return 0
+    fixed = re.fullmatch(r"(?i)(?:(?:UTC|GMT)\s*)?([+-])(\d{1,2})(?::?(\d{2}))?", name)
+    if fixed:
+        return (1 if fixed[1] == "+" else -1) * (int(fixed[2]) * 60 + int(fixed[3] or 0))
+    try:
+        return int(now.astimezone(ZoneInfo(name)).utcoffset().total_seconds() // 60)  # type: ignore[union-attr]
+    except (ZoneInfoNotFoundError, ValueError) as e:
+        raise ValueError(f"no such time zone: {name}") from e
+
+
+def _cron_field(text: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        first, _, last = span.partition("-")
+        a = low if span == "*" else int(first)
+        b = int(last) if last else high if span == "*" or step else a
+        if not low <= a <= b <= high:
+            raise ValueError(f"not within {low}-{high}: {part}")
+        out.update(range(a, b + 1, int(step or 1)))
+    return out
+
+
+def next_cron(expression: str, base_ms: int, zone: str = "UTC") -> int | None:
+    """The first minute after base that a five-field expression names, in the zone; where both
+    are restricted, the day of the month or of the week must fit. None within five years."""
+    minute, hour, day, month, weekday = expression.split()
+    minutes, hours, days, months = _cron_field(minute, 0, 59), _cron_field(hour, 0, 23), _cron_field(day, 1, 31), _cron_field(month, 1, 12)
+    weekdays = {d % 7 for d in _cron_field(weekday, 0, 7)}
+    tz = ZoneInfo(zone)
+    at = datetime.fromtimestamp(base_ms // 60_000 * 60, tz)
+    for k in range(366 * 5):
+        date = (at + timedelta(days=k)).date()
+        fits = [date.day in days, (date.weekday() + 1) % 7 in weekdays]
+        if date.month not in months or not (any(fits) if day != "*" and weekday != "*" else all(fits)):
+            continue
+        for h in sorted(hours):
+            for m in sorted(minutes):
+                t = datetime(date.year, date.month, date.day, h, m, tzinfo=tz)
+                if t.timestamp() * 1000 > base_ms:
+                    return int(t.timestamp() * 1000)
+    return None
+
+
+def next_run(kind_: str, base_ms: int, at_ms: int | None = None, every_ms: int | None = None, cron: str = "", zone: str = "UTC") -> int | None:
+    """The next time of an `at`, `every` or `cron` schedule; None when there is none."""
     if kind_ == "at":
         return at_ms if at_ms is not None and at_ms > base_ms else None
+    if kind_ == "cron":
+        return next_cron(cron, base_ms, zone) if cron else None
     return base_ms + every_ms if kind_ == "every" and every_ms and every_ms > 0 else None

@@ -84,10 +84,12 @@ WHEN length(m) <= 48 AND (regexp_matches(lower(m), '^(hi|hello|hey|yo|sup|thanks
 WHEN regexp_matches(m, '(?i)\b(what did (i|we) (say|discuss|talk|mention)|do you remember|last time|earlier we|previously we|we talked about)\b') OR regexp_matches(m, '我们(刚刚|之前|刚才)?(聊|说|讨论)过|你还记得|上次(?:我们)?|之前(?:我|我们|咱们)?(提|说|聊|讨论)') OR regexp_matches(m, '回忆|回顾|总结(一下)?我们|帮我(想|回忆)') THEN 4
 WHEN regexp_matches(m, '(?i)^(please|pls)\s+|^(write|build|create|fix|debug|run|install|refactor|add|remove|delete|generate|set up|analyze|review|test|deploy|implement|translate|explain)\b') OR regexp_matches(m, '^(帮(我)?|请|麻烦|给我|替我)\s*(写|做|生成|实现|修复|调试|运行|安装|部署|优化|重构|添加|删除|查看|检查|分析|翻译)') THEN 5
 WHEN CASE WHEN regexp_matches(m, '[一-鿿㐀-䶿]') THEN len(regexp_extract_all(m, '[一-鿿㐀-䶿]|[0-9A-Za-z_]')) ELSE len(regexp_extract_all(m, '[^\s]+')) END >= 40 THEN 6 ELSE 7 END AS n FROM m)
-SELECT conv_id, turn, ['chitchat', 'meta', 'chitchat', 'memory_probe', 'task', 'task', 'unknown'][n] AS intent, [0.9, 0.98, 0.9, 0.88, 0.75, 0.6, 0.4][n]::DOUBLE AS confidence, ['empty', 'meta.command_prefix', 'chitchat.greeting', 'memory.past_reference', 'task.imperative_verb', 'task.long_freeform', 'default_unknown'][n] AS signal FROM k""")
+SELECT conv_id, turn, ['chitchat', 'meta', 'chitchat', 'memory_probe', 'task', 'task', 'unknown'][n] AS intent, [0.9, 0.98, 0.9, 0.88, 0.75, 0.6, 0.4][n]::DOUBLE AS confidence, ['empty', 'meta.command_prefix', 'chitchat.greeting', 'memory.past_reference', 'task.imperative_verb', 'task.long_freeform', 'default_unknown'][n] AS signal, ['', '', '', '12', '123', '123', '123'][n] AS tiers FROM k""")
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", R.intent(_said()).alias("i"))
-    return told.select("conv_id", "turn", Col("i.kind").alias("intent"), "i.confidence", "i.signal")
+    plan = told.withColumn("p", R.intent_tiers(Col("i.kind")))
+    tiers = F.concat_ws("", *[F.when(Col(f"p.tier{k}"), str(k)) for k in (1, 2, 3)])
+    return plan.select("conv_id", "turn", Col("i.kind").alias("intent"), "i.confidence", "i.signal", tiers.alias("tiers"))
 
 
 _CLEAN = lambda p, g: rf"""trim(regexp_replace(trim(regexp_extract(m, '{p}', {g})), '^["''`]|["''`]$', '', 'g'))"""

@@ -8,6 +8,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake.functions import memory as M
 from mnemolake.functions import rules as R
 from mnemolake.functions import scoring as S
 from mnemolake.functions import text as T
@@ -235,3 +236,20 @@ def test_diversity_against_the_definition(spark):
     while len(chosen) < 8:
         best([r for r in rows if r[1] not in chosen])
     assert set(got) == set(chosen) and all(abs(got[c] - chosen[c]) < 1e-9 for c in chosen)
+
+
+def test_zones_and_schedules():
+    from datetime import datetime, timezone
+
+    ms = lambda *a: int(datetime(*a, tzinfo=timezone.utc).timestamp() * 1000)
+    summer, winter = datetime(2024, 7, 1, tzinfo=timezone.utc), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert [M.zone_offset(z, summer) for z in (None, "UTC+5:30", "-08", "GMT+2", "Europe/Berlin")] == [0, 330, -480, 120, 120]
+    assert M.zone_offset("Europe/Berlin", winter) == 60
+    base = ms(2024, 1, 31, 10, 7)
+    assert M.next_run("cron", base, cron="*/15 * * * *") == ms(2024, 1, 31, 10, 15)
+    assert M.next_run("cron", base, cron="0 9 1 * *") == ms(2024, 2, 1, 9, 0)
+    assert M.next_run("cron", base, cron="30 8 29 2 *") == ms(2024, 2, 29, 8, 30)
+    assert M.next_run("cron", base, cron="0 0 13 * 5") == ms(2024, 2, 2, 0, 0)  # a Friday comes first
+    assert M.next_run("cron", base, cron="0 9 * * 1-5", zone="America/New_York") == ms(2024, 1, 31, 14, 0)
+    assert M.next_run("cron", base, cron="0 0 30 2 *") is None
+    assert [M.next_run("at", 5, at_ms=9), M.next_run("at", 9, at_ms=9), M.next_run("every", 5, every_ms=10), M.next_run("every", 5)] == [9, None, 15, None]
