@@ -82,6 +82,11 @@ def stable_hash(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def stable_hash_of(**fields: Column) -> Column:
+    """stable_hash of an object with these fields, none of them null."""
+    return F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)])), 256)
+
+
 def round_exact(x: Column, decimals: int) -> Column:
     """Rounds the exact binary value, so that 1.005 becomes 1.00."""
     return F.round(F.format_string("%.30f", x).cast("decimal(38,30)"), decimals).cast("double")

@@ -65,6 +65,13 @@ def rank_score(df: DataFrame, order: list[Column], limit: int, offset: int = 0)
     return top.withColumn("score", 1 / (offset + F.row_number().over(W.partitionBy().orderBy(*order))))
 
 
+def text_routes(memories: DataFrame, **scores: Column) -> DataFrame:
+    """(query_id, id, channel, raw) of the channels whose score is positive: one pass over the
+    texts, whatever the number of channels."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), x.cast("double").alias("raw")) for c, x in scores.items()]))
+    return memories.select(F.lit(1).cast("long").alias("query_id"), "id", each.alias("r")).select("query_id", "id", "r.channel", "r.raw").filter("raw > 0")
+
+
 def union_routes(*routes: DataFrame) -> DataFrame:
     """Best score per (query, id, channel)."""
     out = routes[0]

@@ -37,7 +37,8 @@ def conversation_window(df: DataFrame, conv: str, order: str, at: str, since: ob
     per = df.groupBy(conv).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"), F.max(at).alias("_last")).filter(F.col("_last") >= F.lit(since))
     if most is not None:
         w = W.partitionBy().orderBy("_first", conv)
-        per = per.withColumn("_sum", F.sum("_n").over(w)).withColumn("_k", F.row_number().over(w)).filter((F.col("_sum") <= most) | (F.col("_k") == 1))
+        # each has a message at least, so no more than the first `most` can fit: a top-k before the sum
+        per = per.orderBy("_first", conv).limit(max(most, 1)).withColumn("_sum", F.sum("_n").over(w)).withColumn("_k", F.row_number().over(w)).filter((F.col("_sum") <= most) | (F.col("_k") == 1))
     return df.join(per.select(conv), conv, "left_semi")
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import memory as M
 from mnemolake.functions import metadata as D
+from mnemolake.functions import rules as R
 from mnemolake.functions import scoring as S
 from mnemolake.functions import text as T
 from mnemolake.operators import graph as G
 from mnemolake.operators import panels as P
 from mnemolake.operators import queues as Q
+from mnemolake.operators import sessions as C
 from mnemolake.plans.queries import EDGES, Col, _edges, _nodes, query, words
 from mnemolake.plans.views import jobs, memories, table
 
@@ -288,3 +290,18 @@ def mode_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = table(spark, sf_dir, "events").select(Col("event_type").alias("mode")).distinct().unionByName(spark.createDataFrame([(m,) for m in _MODES[:-1]], "mode string"))
     known = F.create_map(*[x for m in _MODES for x in (F.lit(m), F.lit(",".join(M.layers_for(m))))])
     return modes.select("mode", F.coalesce(known[Col("mode")], F.lit(",".join(M.layers_for()))).alias("layers"))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn, md5(string_agg(text, chr(10) ORDER BY turn)) AS content_hash FROM conversations GROUP BY 1")
+def checkpoint_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.checkpoints_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "last_turn", "content_hash")
+
+
+@query("""SELECT event_id, sha256('{"kind":"' || event_type || '","user":' || user_id || '}') AS hash FROM events""")
+def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", M.stable_hash_of(user=Col("user_id"), kind=Col("event_type")).alias("hash"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_:-]{12,}'), lambda t: length(t) >= 16 AND regexp_matches(t, '[_:0-9-]') AND regexp_matches(t, '[A-Za-z]'))) > 0 AS found FROM documents")
+def identifier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", R.holds_identifier(Col("text")).alias("found"))

@@ -415,9 +415,8 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(Col("vec_id").alias("ord"), F.round(V.cosine(Col("embedding"), v), 6).alias("raw"))
     route = lambda d, c: d.select(F.lit(1).cast("long").alias("query_id"), "id", F.lit(c).alias("channel"), Col("raw").cast("double").alias("raw"))
     vec = route(m.select("id", "ord").join(e, "ord").filter("raw >= 0.1"), "vec")
-    fts = route(m.select("id", F.round(T.fts_score(TERMS, Col("value")), 6).alias("raw")).filter("raw > 0"), "fts")
-    pat = route(m.select("id", F.round(T.pattern_score(["license", "moron"], Col("value")), 6).alias("raw")).filter("raw > 0"), "pattern")
-    return X.union_routes(vec, fts, pat, vec).join(m.select("id", "ord", "layer", "episode_id", "score"), "id").withColumnRenamed("score", "value").withColumn("tier", F.when(Col("layer") == "Skill", "tier1").when(Col("layer") == "L3", "tier3").otherwise("tier2"))
+    told = X.text_routes(m, fts=F.round(T.fts_score(TERMS, Col("value")), 6), pattern=F.round(T.pattern_score(["license", "moron"], Col("value")), 6))
+    return X.union_routes(vec, told, vec).join(m.select("id", "ord", "layer", "episode_id", "score"), "id").withColumnRenamed("score", "value").withColumn("tier", F.when(Col("layer") == "Skill", "tier1").when(Col("layer") == "L3", "tier3").otherwise("tier2"))
 
 
 HITS = MEMORIES + """, m AS (SELECT * FROM memories WHERE NOT deleted AND status = 'activated'), q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),

@@ -253,3 +253,9 @@ def test_zones_and_schedules():
     assert M.next_run("cron", base, cron="0 9 * * 1-5", zone="America/New_York") == ms(2024, 1, 31, 14, 0)
     assert M.next_run("cron", base, cron="0 0 30 2 *") is None
     assert [M.next_run("at", 5, at_ms=9), M.next_run("at", 9, at_ms=9), M.next_run("every", 5, every_ms=10), M.next_run("every", 5)] == [9, None, 15, None]
+
+
+def test_stable_hashes_agree(spark):
+    assert one(spark, M.stable_hash_of(b=F.lit("ü\"x"), a=F.lit(3))) == M.stable_hash({"a": 3, "b": "ü\"x"})
+    for t in ("see job_2024:retry-17 now", "short_id1", "abcdefghijklmnopqrst"):
+        assert one(spark, R.holds_identifier(F.lit(t))) == R.needs_keyword(t)
