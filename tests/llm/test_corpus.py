@@ -70,7 +70,7 @@ def test_equal_fingerprints_are_compared():
     """Unlike texts under one fingerprint part ways."""
     import pyarrow as pa
 
-    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "th": [1, 2, 3], "ncp": [1, 1, 1], "m": [1, 1, 1], "fp": [7, 7, 7], "nb": [1, 1, 1], "salt": [0, 0, 0], "salts": [1, 1, 1], "text": ["a", "b", "a"]})
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "th": [1, 2, 3], "ncp": [1, 1, 1], "m": [1, 1, 1], "row1": [0, 1, 2], "fp": [7, 7, 7], "nb": [1, 1, 1], "salt": [0, 0, 0], "salts": [1, 1, 1], "text": ["a", "b", "a"]})
     assert pa.Table.from_batches(list(exact_dedup._classes([rows]))).column("cls").to_pylist() == [0, 1, 0]
 
 
