@@ -11,9 +11,10 @@ min-hashes, and what the BK-trees link is verified by whole shingle sets.
 2. In each bucket every text is verified against one, its hub. Groups of copies are
    thus linked without pairing them out.
 3. Texts that are not linked to their hub make the BK-trees of the hub's family, TREE of
-   them at most; all texts of the family's buckets query the trees within RADIUS, and
-   what is found is verified there and then, unless it is linked already. So all pairs
-   of a bucket are linked, or tried, and no set travels once a pair.
+   them at most; all texts of the family's buckets query the trees within RADIUS, some
+   ASKS of them to a copy of a tree, and what is found is verified there and then, unless
+   it is linked already. So all pairs of a bucket are linked, or tried, and no set travels
+   once a pair.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LONGS, RADIUS = 4, 72
 FEW = 32
 #: Texts of a tree at most, and shingles in it at most (but for one text alone).
 TREE, HELD = 4096, 1 << 20
+#: Texts that query one copy of a tree, or as many as it holds if those are more.
+ASKS = 512
 #: Shingles that meet all hash functions at once.
 PIECE = 1 << 12
 _K = np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)[:, None]
@@ -130,6 +133,7 @@ class Tree:
         self.root: list[int] = []
         self.sets: list[np.ndarray] = []
         self.fp: list[np.ndarray] = []
+        self.asks = 0
         self.up: dict[int, int] = {}
         self.ready = False
 
@@ -184,26 +188,28 @@ class Tree:
 
 
 def _searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (family, tree), those of the tree first. Memory: a tree and a batch."""
+    """Rows sorted by (family, tree), those of the tree first, and of them those that ask it
+    here. Memory: a tree and a batch."""
     key, tree = None, Tree()
     for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("family", "tree", "own", "node", "root", "found", "fp")), strict=True))
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("family", "tree", "own", "asks", "node", "root", "found", "fp")), strict=True))
         found: list[tuple[int, int]] = []
         a = 0
         while a < len(rows):
             b = a
-            while b < len(rows) and rows[b][:3] == rows[a][:3]:
+            while b < len(rows) and rows[b][:4] == rows[a][:4]:
                 b += 1
             if rows[a][:2] != key:
                 found += _own_links(tree)
                 key, tree = rows[a][:2], Tree()
-            nodes, roots = [r[3] for r in rows[a:b]], [r[4] for r in rows[a:b]]
-            sets, fps = [np.frombuffer(r[5], np.uint64) for r in rows[a:b]], [np.frombuffer(r[6], np.uint64) for r in rows[a:b]]
+            nodes, roots = [r[4] for r in rows[a:b]], [r[5] for r in rows[a:b]]
+            sets, fps = [np.frombuffer(r[6], np.uint64) for r in rows[a:b]], [np.frombuffer(r[7], np.uint64) for r in rows[a:b]]
             if rows[a][2]:
                 tree.node += nodes
                 tree.root += roots
                 tree.sets += sets
                 tree.fp += fps
+                tree.asks += len(nodes) if rows[a][3] else 0  # those that ask here come first
             else:
                 found += _own_links(tree)
                 if tree.node:
@@ -218,7 +224,8 @@ def _own_links(tree: Tree) -> list[tuple[int, int]]:
     if tree.ready or not tree.node:
         return []
     tree.build()
-    return list(tree.links(tree.node, tree.root, tree.sets, tree.fp)) if len(tree.node) > 1 else []
+    k = tree.asks if len(tree.node) > 1 else 0
+    return list(tree.links(tree.node[:k], tree.root[:k], tree.sets[:k], tree.fp[:k])) if k else []
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -270,13 +277,17 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = own.filter("apart").select("bucket").distinct()
     members = own.join(open_, "bucket", "left_semi").groupBy("family", "node").agg(F.max("apart").alias("apart"), F.first("root").alias("root"), F.first("n").alias("n"))
     members = stage(members, "members")
-    trees = members.filter("apart").groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TREE), F.ceil(F.sum("n") / HELD)).cast("int").alias("trees"))
-    dealt = members.join(trees, "family").withColumn("part", F.when(F.col("apart"), F.expr("cast(pmod(xxhash64(node, 1), trees) as int)")))
-    # a text of a tree asks the others too
-    dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).select("family", "tree", (F.col("part").isNotNull() & (F.col("tree") == F.col("part"))).alias("own"), "node", "root")
-    dealt = stage(dealt, "trees").join(sets, "node").select("family", "tree", "own", "node", "root", "found", "fp")
+    apart = F.count(F.when(F.col("apart"), 1))
+    count = F.greatest(F.ceil(apart / TREE), F.ceil(F.sum(F.when(F.col("apart"), F.col("n"))) / HELD)).cast("int")
+    trees = members.groupBy("family").agg(count.alias("trees"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(ASKS), apart / count)).cast("int").alias("salts"))
+    dealt = members.join(trees, "family").withColumns({"part": F.when(F.col("apart"), F.expr("cast(pmod(xxhash64(node, 1), trees) as int)")), "place": F.expr("cast(pmod(xxhash64(node, 2), salts) as int)")})
+    # all texts ask all trees, each in its own place; a tree's texts are shipped to every place
+    dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("own", F.col("part").isNotNull() & (F.col("tree") == F.col("part")))
+    dealt = dealt.withColumn("salt", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("place"))))
+    dealt = dealt.select("family", F.xxhash64("tree", "salt").alias("tree"), "own", (F.col("salt") == F.col("place")).alias("asks"), "node", "root")
+    dealt = stage(dealt, "trees").join(sets, "node").select("family", "tree", "own", "asks", "node", "root", "found", "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    late = dealt.repartition(n, "family", "tree").sortWithinPartitions("family", "tree", F.desc("own"))
+    late = dealt.repartition(n, "family", "tree").sortWithinPartitions("family", "tree", F.desc("own"), F.desc("asks"))
     links = links.unionByName(stage(late.mapInArrow(_searched, "u long, v long"), "late"))
     roots = stage(components(links), "roots")
     return slim.join(roots, F.col("node") == F.col("u"), "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))

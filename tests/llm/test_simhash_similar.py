@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from mnemolake.llm import simhash_similar
 
 
 def shingles(text: str) -> set:
@@ -34,7 +37,11 @@ def texts() -> list[str]:
     return out + chain + ["one two three", "One  two three", "one two", "", "  "]
 
 
-def test_near_dedup_finds_every_pair(spark):
+@pytest.mark.parametrize(("tree", "asks"), [(4096, 512), (3, 5)])
+def test_near_dedup_finds_every_pair(spark, monkeypatch, tree, asks):
+    """With small trees too, and few texts to a copy of one."""
+    monkeypatch.setattr(simhash_similar, "TREE", tree)
+    monkeypatch.setattr(simhash_similar, "ASKS", asks)
     rows = list(enumerate(texts()))
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
