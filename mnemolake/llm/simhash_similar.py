@@ -280,7 +280,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart = F.count(F.when(F.col("apart"), 1))
     count = F.greatest(F.ceil(apart / TREE), F.ceil(F.sum(F.when(F.col("apart"), F.col("n"))) / HELD)).cast("int")
     trees = members.groupBy("family").agg(count.alias("trees"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(ASKS), apart / count)).cast("int").alias("salts"))
-    dealt = members.join(trees, "family").withColumns({"part": F.when(F.col("apart"), F.expr("cast(pmod(xxhash64(node, 1), trees) as int)")), "place": F.expr("cast(pmod(xxhash64(node, 2), salts) as int)")})
+    # stored, so that the join's sides are dealt by it alone and a large family is split
+    dealt = members.join(stage(trees, "counts"), "family").withColumns({"part": F.when(F.col("apart"), F.expr("cast(pmod(xxhash64(node, 1), trees) as int)")), "place": F.expr("cast(pmod(xxhash64(node, 2), salts) as int)")})
     # all texts ask all trees, each in its own place; a tree's texts are shipped to every place
     dealt = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("own", F.col("part").isNotNull() & (F.col("tree") == F.col("part")))
     dealt = dealt.withColumn("salt", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("place"))))
