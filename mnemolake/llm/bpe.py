@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: of short words, by each one's lowest rank, are few and large.
 LONG_WORD = 512
 #: What the cache may hold, with some bytes an entry for the tables themselves.
-CACHED_BYTES, ENTRY = 80 << 20, 240
+CACHED_BYTES, ENTRY = 128 << 20, 240
 #: Characters of a chunk between blanks that is cached whole; longer ones go word by word.
 CHUNK = 64
 #: Characters of short texts whose new chunks are learned together.
@@ -198,13 +198,13 @@ class Tokenizer:
         if self.held > CACHED_BYTES // 2:
             self.old, self.cache, self.held, miss = self.cache, {}, 0, chunks
         again = miss & self.old.keys()
-        fresh = dict(zip(again, map(self.old.__getitem__, again), strict=True))
+        fresh = {c: self.old[c] for c in again}
         new = list(miss - again)
         parts = [self.words(c) for c in new]
         ids = self.word_ids(list({w for p in parts for w in p}))
         fresh.update((c, ids[p[0]] if len(p) == 1 else ",".join([ids[w] for w in p])) for c, p in zip(new, parts, strict=True))
         self.cache.update(fresh)
-        self.held += sum(ENTRY + 4 * len(c) + len(v) for c, v in fresh.items())
+        self.held += ENTRY * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
 
     def word_ids(self, words: list[str]) -> dict[str, str]:
         raw = [w.encode() for w in words]
