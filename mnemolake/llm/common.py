@@ -49,17 +49,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/mnemolake/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _staged.append((spark, path, _scope.get()))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes one staged table, which nothing reads any more."""
+    path = df._staged_at  # type: ignore[attr-defined]
+    _staged[:] = [x for x in _staged if x[1] != path]
+    _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession, name: str) -> None:
     """Deletes the tables staged in a scope. Call only when their results are stored."""
     gone = [p for s, p, own in _staged if s is spark and own == name]
     _staged[:] = [x for x in _staged if x[1] not in gone]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, p)
 
 
 @atexit.register

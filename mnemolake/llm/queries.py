@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, exact_dedup, language_id, mixing, pii, quality_rules, sharding, simhash, substring_dedup, url_filter
+from mnemolake.llm import bpe, centroid_clustering, exact_dedup, language_id, mixing, pii, quality_rules, sharding, simhash, substring_dedup, url_filter
 
 #: A parameter of the encoding query: the public vocabulary's name.
 VOCABULARY = "byte_bpe_50k.json"
@@ -71,9 +71,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.exponion_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op6_kd_shards, op7_substring_dedup, op8_url_filter, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op6_kd_shards, op7_substring_dedup, op8_url_filter, op9_pii, op10_quality_rules, op13_exponion)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op13_exponion": centroid_clustering.oracle()}
