@@ -12,13 +12,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 
 
-def words(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last + 1, text) of each word of texts laid end to end."""
+def words(at: np.ndarray, raw: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last + 1, text) of each word of texts laid end to end. between: of each byte,
+    whether it stands between words."""
     n = len(raw)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~_SPACE[raw]
+    solid = ~between[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True  # a word ends where its text ends
     before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1]

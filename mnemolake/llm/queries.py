@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm import bpe, centroid_clustering, exact_dedup, language_id, mixing, pii, quality_rules, sharding, simhash, spelling, substring_dedup, url_filter
+from mnemolake.llm import bpe, centroid_clustering, exact_dedup, language_id, license_scan, mixing, pii, quality_rules, sharding, simhash, spelling, substring_dedup, url_filter
 
 #: A parameter of the encoding query: the public vocabulary's name.
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,12 +75,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), slip_every=31)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.exponion_clusters(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op6_kd_shards, op7_substring_dedup, op8_url_filter, op9_pii, op10_quality_rules, op11_spelling, op13_exponion)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_bpe, op4_simhash, op5_mixing, op6_kd_shards, op7_substring_dedup, op8_url_filter, op9_pii, op10_quality_rules, op11_spelling, op12_license_scan, op13_exponion)}
 
 
 def oracle_sql() -> dict[str, str]:
