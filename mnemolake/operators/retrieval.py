@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemolake.functions.vector import cosine
+from mnemolake.functions.vector import cosine, dot, normalized
 
 TEXT_CHANNELS = ("fts", "pattern", "structural")
 #: Pool caps by tier, the fusion constant, floors, the diversity weight.
 CAPS = {"tier1": 12, "tier2": 20, "tier3": 8}
 RRF, FLOOR, MIN_SCORE, LAMBDA, SEED_RATIO = 60, 0.2, 0.2, 0.7, 0.7
+#: Hits that a route hands on of a layer (vec: by layer); no window holds more of a tier than ROUTE_LIMIT.
+ROUTE_CAPS = {"fts": 20, "pattern": 20, "structural": 10}
+VECTOR_CAPS = {"Skill": 12, "L1": 20, "L2": 20, "L3": 8}
+ROUTE_LIMIT = 500
 
 
 def vector_topk(vectors: DataFrame, query: Column, ident: str, vector: str, k: int, newest: str | None = None, window: int = 2000) -> DataFrame:
@@ -80,11 +82,24 @@ def union_routes(*routes: DataFrame) -> DataFrame:
     return out.groupBy("query_id", "id", "channel").agg(F.max("raw").alias("raw"))
 
 
-def channel_ranks(hits: DataFrame) -> DataFrame:
-    """rank from 0 within query, tier and channel by raw score; text channels are then
-    scored by rank."""
+def routed(hits: DataFrame, scale: int = 1) -> DataFrame:
+    """The best hits of each query, layer and channel, ``scale`` times as many as the caps say;
+    tasks cut theirs before the shuffle."""
+    cap = F.lit(max(VECTOR_CAPS.values()))
+    for layer, n in VECTOR_CAPS.items():
+        cap = F.when(F.col("layer") == layer, n).otherwise(cap)
+    for channel, n in ROUTE_CAPS.items():
+        cap = F.when(F.col("channel") == channel, n).otherwise(cap)
+    w = W.partitionBy("query_id", "layer", "channel").orderBy(F.desc("raw"), "id")
+    most = scale * max(*ROUTE_CAPS.values(), *VECTOR_CAPS.values())
+    return hits.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= most) & (F.col("_n") <= cap * scale)).drop("_n")
+
+
+def channel_ranks(hits: DataFrame, most: int = ROUTE_LIMIT) -> DataFrame:
+    """rank from 0 within query, tier and channel by raw score, of the best ``most``: a top-k
+    that tasks cut before the shuffle. Text channels are then scored by rank."""
     w = W.partitionBy("query_id", "tier", "channel").orderBy(F.desc("raw"), "id")
-    ranked = hits.withColumn("rank", F.row_number().over(w) - 1)
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).withColumn("rank", F.col("rank") - 1)
     return ranked.withColumn("score", F.when(F.col("channel").isin(*TEXT_CHANNELS), 1 / (F.col("rank") + 1)).otherwise(F.col("raw")))
 
 
@@ -149,49 +164,38 @@ def fuse_queries(hits: DataFrame, limit: int, constant: int = 8) -> DataFrame:
     return g.orderBy(F.desc("reserved"), F.desc("rrf"), "id").limit(limit)
 
 
-def _mmr(limit: int, lam: float, ratio: float):  # noqa: ANN202
-    def cos(a: np.ndarray, b: np.ndarray) -> float:
-        n = float(np.sqrt((a @ a) * (b @ b)))
-        return float(a @ b) / n if n else 0.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["relevance", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        vec = [None if v is None else np.asarray(v, float) for v in pdf["vector"]]
-        pool, chosen, scores = list(range(len(pdf))), [], {}
-        far = [0.0] * len(pdf)
-        rel = pdf["relevance"].to_numpy()
-
-        def score(i: int) -> float:
-            return rel[i] if not any(vec[j] is not None for j in chosen) else lam * rel[i] - (1 - lam) * far[i]
-
-        def take(i: int, s: float) -> None:
-            pool.remove(i)
-            chosen.append(i)
-            scores[i] = s
-            if vec[i] is not None:
-                first = sum(vec[j] is not None for j in chosen) == 1
-                for j in pool:
-                    if vec[j] is not None:
-                        c = cos(vec[j], vec[i])
-                        far[j] = c if first else max(far[j], c)
-
-        cut = rel.max(initial=0) * ratio
-        for tier in ("tier1", "tier2", "tier3"):
-            own = [i for i in pool if pdf["tier"][i] == tier and rel[i] >= cut]
-            if len(chosen) < limit and own:
-                best = max(own, key=lambda i: (score(i), -i))
-                take(best, score(best))
-        while len(chosen) < limit and pool:
-            best = max(pool, key=lambda i: (score(i), -i))
-            take(best, score(best))
-        out = pdf.loc[chosen, ["query_id", "id", "tier", "rrf"]].assign(score=[scores[i] for i in chosen])
-        return out.sort_values(["score", "rrf"], ascending=False, kind="stable").assign(place=range(len(out)))
-
-    return run
-
-
 def mmr(candidates: DataFrame, limit: int = 8, lam: float = LAMBDA, seed_ratio: float = SEED_RATIO) -> DataFrame:
-    """Greedy choice by relevance less redundancy, one seed per good tier first. The pool
-    of a query is capped before (capped()), so a group fits any worker."""
-    fields = "query_id long, id string, tier string, rrf double, score double, place long"
-    return candidates.select("query_id", "id", "tier", "rrf", "relevance", "vector").groupBy("query_id").applyInPandas(_mmr(limit, lam, seed_ratio), fields)
+    """(query_id, id, tier, rrf, score, place): greedy choice by relevance less redundancy, one
+    seed per good tier first. A query's pool is capped before (capped()); the choice is a fold
+    over it: each step takes the best row left, and then knows for every other row its largest
+    similarity to what is chosen."""
+    unit = F.when(F.col("vector").isNotNull(), normalized(F.col("vector")))
+    row = F.struct((-F.col("relevance")).alias("less"), "id", "tier", "rrf", "relevance", unit.alias("vector"))
+    pool = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows, zero = F.col("rows"), F.lit(0.0)
+    at = lambda i: F.get(rows, i)
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  (value is made once)
+    cut = at(F.lit(0))["relevance"] * seed_ratio
+    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.array().cast("array<double>").alias("scores"), F.lit(False).alias("seen"), F.transform(rows, lambda r: zero).alias("far"))
+
+    def step(state: Column, k: Column) -> Column:
+        def score(i: Column) -> Column:
+            rel = at(i)["relevance"]
+            return F.when(state["seen"], lam * rel - (1 - lam) * F.get(state["far"], i)).otherwise(rel)
+
+        def after(best: Column, vector: Column) -> Column:
+            same = lambda r: F.when(F.size(r["vector"]) == F.size(vector), dot(r["vector"], vector)).otherwise(0.0)
+            near = lambda r, f: F.when(r["vector"].isNull(), f).when(state["seen"], F.greatest(f, same(r))).otherwise(same(r))
+            far = F.when(vector.isNull(), state["far"]).otherwise(F.zip_with(rows, state["far"], near))
+            return F.struct(F.concat(state["chosen"], F.array((-best["i"]).cast("int"))).alias("chosen"), F.concat(state["scores"], F.array(best["score"])).alias("scores"), (state["seen"] | vector.isNotNull()).alias("seen"), far.alias("far"))
+
+        seed = F.when(k == 0, "tier1").when(k == 1, "tier2").otherwise("tier3")
+        free = lambda i: ~F.array_contains(state["chosen"], i) & ((k >= 3) | ((at(i)["tier"] == seed) & (at(i)["relevance"] >= cut)))
+        left = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), free)
+        found = F.array_max(F.transform(left, lambda i: F.struct(score(i).alias("score"), (-i).alias("i"))))
+        taken = bound(found, lambda best: F.when(best.isNull(), state).otherwise(bound(at(-best["i"])["vector"], lambda v: after(best, v))))
+        return F.when(F.size(state["chosen"]) >= limit, state).otherwise(taken)
+
+    told = pool.withColumn("end", F.aggregate(F.sequence(F.lit(0), F.lit(limit + 2)), start, step))
+    line = F.transform(F.arrays_zip("end.chosen", "end.scores"), lambda c, n: F.struct((-c["scores"]).alias("less"), (-at(c["chosen"])["rrf"]).alias("less_rrf"), n.alias("n"), at(c["chosen"])["id"].alias("id"), at(c["chosen"])["tier"].alias("tier"), at(c["chosen"])["rrf"].alias("rrf"), c["scores"].alias("score")))
+    return told.select("query_id", F.posexplode(F.array_sort(line)).alias("place", "c")).select("query_id", "c.id", "c.tier", "c.rrf", "c.score", F.col("place").cast("long").alias("place"))
