@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.operators import ranges as R
+
 
 def split_turns(df: DataFrame, conv: str, order: str, role: str) -> DataFrame:
     """turn_no: a new turn at every user message; messages before the first user's form
@@ -58,25 +60,31 @@ def idle_groups(df: DataFrame, group: str, at: str, before: object) -> DataFrame
     return df.groupBy(group).agg(F.max(at).alias("last_at")).filter(F.col("last_at") < F.lit(before))
 
 
-def credit(df: DataFrame, group: str, order: list[str], alpha: str, reward: Column, gamma: float = 0.9, lam: float = 0.5, delta: float = 0.1) -> DataFrame:
+def credit(df: DataFrame, group: str, order: list[str], alpha: str, reward: Column, gamma: float = 0.9, lam: float = 0.5, delta: float = 0.1, range_col: str | None = None) -> DataFrame:
     """value: the reward's share of each trace of a group: alpha, more for later ones and
-    for a recovery after an alpha of 0, normalised over the group."""
-    w = W.partitionBy(group).orderBy(*order)
-    n, i = F.count(F.lit(1)).over(W.partitionBy(group)), F.row_number().over(w)
-    before = F.lag(alpha).over(w)
-    boost = F.when((F.col(alpha) > 0) & (before == 0), 1 + delta).otherwise(1.0)
-    weight = F.col(alpha) * ((1 - lam) + lam * F.pow(F.lit(gamma), n - i)) * boost
-    out = df.withColumn("_w", weight)
-    total = F.sum("_w").over(W.partitionBy(group))
-    return out.withColumn("value", F.when(total > 0, F.col("_w") / total * reward).otherwise(0.0)).drop("_w")
-
-
-def failure_bursts(df: DataFrame, key: str, step: str, failed: str, window: int = 5, most: int = 3) -> DataFrame:
+    for a recovery after an alpha of 0, normalised over the group. Where df says in
+    range_col which stretch of the group's order a row is in, no task orders a whole group."""
+    boost = F.when((F.col(alpha) > 0) & (F.col("_was") == 0), 1 + delta).otherwise(1.0)
+    weight = F.col(alpha) * ((1 - lam) + lam * F.pow(F.lit(gamma), F.col("_n") - 1 - F.col("_i"))) * boost
+    if range_col is None:
+        w, whole = W.partitionBy(group).orderBy(*order), W.partitionBy(group)
+        out = df.withColumns({"_i": F.row_number().over(w) - 1, "_was": F.lag(alpha).over(w), "_n": F.count(F.lit(1)).over(whole)}).withColumn("_w", weight).withColumn("_total", F.sum("_w").over(whole))
+    else:
+        out = R.previous(R.numbered(df, [group], order, "_i", range_col), [group], order, {"_was": F.col(alpha)}, range_col)
+        out = R.beside(out, df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), [group]).withColumn("_w", weight)
+        out = R.beside(out, out.groupBy(group).agg(F.sum("_w").alias("_total")), [group])
+    return out.withColumn("value", F.when(F.col("_total") > 0, F.col("_w") / F.col("_total") * reward).otherwise(0.0)).drop("_w", "_n", "_i", "_was", "_total")
+
+
+def failure_bursts(df: DataFrame, key: str, step: str, failed: str, window: int = 5, most: int = 3, rows: int = R.ROWS) -> DataFrame:
     """Failures at which the last `window` steps of the key hold at least `most` failures
-    and no success."""
-    w = W.partitionBy(key).orderBy(step).rangeBetween(-(window - 1), 0)
+    and no success. A key of more than `rows` steps is dealt to several tasks by ranges of
+    steps, each with the last steps before it."""
+    own = R.dealt(df, key, step, rows, reach=window - 1, range_col="_range")
+    w = W.partitionBy(key, "_range").orderBy(step).rangeBetween(-(window - 1), 0)
     bad, good = F.sum(F.col(failed).cast("int")).over(w), F.sum((~F.col(failed)).cast("int")).over(w)
-    return df.withColumn("failures", bad).withColumn("_good", good).filter(F.col(failed) & (F.col("failures") >= most) & (F.col("_good") == 0)).drop("_good")
+    told = own.withColumn("failures", bad).withColumn("_good", good)
+    return told.filter(~F.col("_halo") & F.col(failed) & (F.col("failures") >= most) & (F.col("_good") == 0)).drop("_good", "_range", "_halo")
 
 
 def reflection_windows(df: DataFrame, group: str, n: str, size: int = 6, overlap: int = 1) -> DataFrame:

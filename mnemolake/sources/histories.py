@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.operators.ranges import numbered
 from mnemolake.sources.readers import with_carried_session
 
 COLUMNS = ("file", "message_id", "conversation_id", "role", "content", "created_at", "workspace_path")
@@ -53,9 +54,7 @@ def _messages(lines: DataFrame, message_id: Column, conversation: Column, role:
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
     """Lines numbered from 1 among those of their file that hold an object."""
-    from pyspark.sql import Window as W
-
-    return lines.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("line_no")))
+    return numbered(lines, ["file"], ["line_no"], "_no").withColumn("line_no", F.col("_no") + 1).drop("_no")
 
 
 def transcripts(lines: DataFrame) -> DataFrame:

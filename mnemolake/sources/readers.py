@@ -14,14 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.operators import ranges as R
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, range, line_no, line): every line of text files with its number from 0 in its file.
+
+    Files are read in byte ranges, as Spark splits them, so one file goes to many tasks; range
+    is where a line's byte range begins. A first pass counts the lines of each range, and
+    running sums of the counts number them: no task orders a file. Lines end with a line
+    feed, or with a carriage return before it; compressed files are one range.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range")]
+    # rows of a range stand together, in order: their ids count up by one
+    rows = text.select(*at, F.monotonically_increasing_id().alias("_row"), "value")
+    sizes = rows.groupBy("file", "range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("range")) - F.col("_n")
+    known = sizes.select("file", "range", (before - F.col("_first")).alias("_shift"))
+    lines = rows.join(known, ["file", "range"])
+    return lines.select("file", "range", (F.col("_row") + F.col("_shift")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, json) of the lines that hold an object; others are skipped. One row
-    per file is numbered in order, so files must each fit a task."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "json"))
-    parsed = F.try_parse_json("json")
-    return lines.filter(parsed.isNotNull() & F.trim("json").startswith("{"))
+    """(file, range, line_no, json) of the lines that hold an object; others are skipped."""
+    lines = text_lines(spark, path).withColumnRenamed("line", "json")
+    return lines.filter(F.try_parse_json("json").isNotNull() & F.trim("json").startswith("{"))
 
 
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,11 +65,11 @@ def recipe(lines: DataFrame, source: str, fields: dict[str, str], roles: dict[st
 
 
 def with_carried_session(lines: DataFrame) -> DataFrame:
-    """A row of type session sets id and cwd for the rows after it."""
-    w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    is_session = F.get_json_object("json", "$.type") == "session"
-    last = lambda path: F.last(F.when(is_session, F.get_json_object("json", path)), ignorenulls=True).over(w)
-    return lines.withColumns({"session_id": last("$.id"), "cwd": last("$.cwd"), "_s": is_session}).filter(~F.coalesce("_s", F.lit(False))).drop("_s")
+    """A row of type session sets id and cwd for the rows after it; a range of a file takes over
+    what the ranges before it have set last."""
+    is_session = F.coalesce(F.get_json_object("json", "$.type") == "session", F.lit(False))
+    of = lambda path: F.when(is_session, F.get_json_object("json", path))
+    return R.carried(lines, ["file"], ["line_no"], {"session_id": of("$.id"), "cwd": of("$.cwd")}).filter(~is_session)
 
 
 def with_tool_names(lines: DataFrame) -> DataFrame:

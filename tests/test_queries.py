@@ -10,6 +10,7 @@ import pytest
 
 import mnemolake.plans.more_queries  # noqa: F401
 import mnemolake.plans.panel_queries  # noqa: F401
+import mnemolake.plans.range_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
 import mnemolake.plans.rule_queries  # noqa: F401
 import mnemolake.plans.search_queries  # noqa: F401
