@@ -15,6 +15,7 @@ from mnemolake.plans.views import table
 from mnemolake.session import shared_dir
 from mnemolake.sources import histories as H
 from mnemolake.sources import readers as I
+from mnemolake.sources import sqlite as Q
 
 _TIME = "2024-01-02T03:04:05Z"
 
@@ -34,6 +35,49 @@ def _written(spark: SparkSession, sf_dir: str, name: str, *line: Column) -> Data
     return I.json_lines(spark, path)
 
 
+def _stores(spark: SparkSession, rows: DataFrame, name: str, columns: str, path: str | None = None) -> str:
+    """The folder of one SQLite file for each g, to which a table of the other columns is added. A
+    task writes its files beside their places, a batch at a time, and moves them there."""
+    path = path or _folder(spark, "stores")
+    folder, ddl = Q.local_path(path), f"create table {name}({columns})"
+
+    def written(batches):  # noqa: ANN001, ANN202
+        import os
+        import shutil
+        import sqlite3
+
+        import pandas as pd
+
+        os.makedirs(folder, exist_ok=True)
+        db = now = None
+        made = lambda g: f"{folder}/{g}.db"
+        part = f"{folder}/.{uuid.uuid4().hex}"
+
+        def close() -> None:
+            if db is not None:
+                db.commit()
+                db.close()
+                os.replace(part, made(now))
+
+        for pdf in batches:
+            for g, own in pdf.groupby("g", sort=False):
+                if g != now:
+                    close()
+                    if os.path.exists(made(g)):
+                        shutil.copyfile(made(g), part)
+                    db, now = sqlite3.connect(part), g
+                    db.execute(f"drop table if exists {name}")
+                    db.execute(ddl)
+                own = own.drop(columns="g").astype(object)
+                own = own.where(own.notna(), None)
+                db.executemany(f"insert into {name}({', '.join(own.columns)}) values ({', '.join('?' * own.shape[1])})", own.values.tolist())
+        close()
+        yield pd.DataFrame({"g": [now]})
+
+    rows.repartition(8, "g").sortWithinPartitions("g").mapInPandas(written, "g string").count()
+    return path
+
+
 def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
@@ -127,20 +171,39 @@ def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS key, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0")
 def sqlite_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One SQLite file for each nation, made by tasks and read by tasks."""
-
-    def made(pdf):  # noqa: ANN001, ANN202
-        import sqlite3
-
-        import pandas as pd
-
-        db = sqlite3.connect(":memory:")
-        pdf.to_sql("customers", db, index=False)
-        return pd.DataFrame({"content": [db.serialize()]})
-
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), Col("c_nationkey") == Col("n_nationkey")).select("c_custkey", "n_name")
-    files = c.groupBy("n_name").applyInPandas(made, "content binary")
-    return I.sqlite_of(files, "SELECT c_custkey AS key, n_name AS nation FROM customers WHERE c_custkey % 2 = 0", "key long, nation string")
+    """A SQLite file for each nation, written by tasks and read in ranges of rowids."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), Col("c_nationkey") == Col("n_nationkey"))
+    path = _stores(spark, c.select(Col("c_nationkey").cast("string").alias("g"), "c_custkey", "n_name"), "customers", "c_custkey integer, n_name text")
+    rows = Q.sqlite_table(spark, path, "customers", "c_custkey long, n_name string", rows=200)
+    return rows.filter("c_custkey % 2 = 0").select(Col("c_custkey").alias("key"), Col("n_name").alias("nation"))
+
+
+@query(
+    "SELECT 'm' || conv_id || '-' || turn AS message_id, 's' || conv_id AS conversation_id, CASE WHEN turn % 4 = 1 THEN 'tool' ELSE role END AS role,"
+    " CASE WHEN turn % 4 = 1 THEN 'Tool: find' || chr(10) || chr(10) || 'Input:' || chr(10) || '[' || turn || ']' ELSE text END AS content,"
+    " CASE WHEN turn % 2 = 0 THEN epoch_ms(1704164645000 + turn * 1000) ELSE epoch_ms(1704164645000 + turn) END AS created_at, CASE WHEN conv_id % 3 = 0 THEN '/w' || conv_id END AS workspace_path"
+    " FROM conversations WHERE turn % 5 <> 4 AND (turn % 4 <> 1 OR role = 'assistant') AND (turn % 4 = 1 OR text <> '')"
+)
+def state_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as state databases: inactive messages, calls of tools, times in seconds and
+    milliseconds, sessions without a workspace."""
+    c = table(spark, sf_dir, "conversations").filter("turn % 4 <> 1 or role = 'assistant'")
+    call = Col("turn") % 4 == 1
+    m = c.select(
+        (Col("conv_id") % 8).cast("string").alias("g"),
+        F.concat(F.lit("s"), "conv_id").alias("session_id"),
+        "role",
+        F.when(call, "").otherwise(Col("text")).alias("content"),
+        F.when(call, F.concat(F.lit("["), Col("turn").cast("string"), F.lit("]"))).alias("tool_calls"),
+        F.when(call, "find").alias("tool_name"),
+        F.when(Col("turn") % 2 == 0, F.lit(1704164645) + Col("turn")).otherwise(F.lit(1704164645000) + Col("turn")).cast("double").alias("timestamp"),
+        F.concat(F.lit("m"), "conv_id", F.lit("-"), "turn").alias("platform_message_id"),
+        F.when(Col("turn") % 5 == 4, 0).when(Col("turn") % 5 == 3, 1).alias("active"),
+    )
+    path = _stores(spark, m, "messages", "session_id text, role text, content text, tool_calls text, tool_name text, timestamp real, platform_message_id text, active integer, id integer primary key")
+    at = c.select((Col("conv_id") % 8).cast("string").alias("g"), F.concat(F.lit("s"), "conv_id").alias("id"), F.when(Col("conv_id") % 3 == 0, F.concat(F.lit("/w"), "conv_id")).otherwise("").alias("cwd")).distinct()
+    _stores(spark, at, "sessions", "id text, cwd text", path)
+    return Q.state_messages(spark, path, rows=100).select("message_id", "conversation_id", "role", "content", Col("created_at").cast("timestamp_ntz").alias("created_at"), "workspace_path")
 
 
 @query("SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
