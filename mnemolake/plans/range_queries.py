@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.operators import ranges as R
-from mnemolake.operators import sessions as C
+from mnemolake.operators.text_index import TextIndex
 from mnemolake.plans.queries import Col, query
 from mnemolake.plans.source_queries import _folder, _json
 from mnemolake.plans.views import table
@@ -18,8 +19,6 @@ def bursts_of_one_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as steps of one tool, dealt to tasks by ranges of steps; a success in four."""
     e = table(spark, sf_dir, "events").select("event_id", F.lit("all").alias("tool"), (Col("event_id") % 4 != 0).alias("failed"))
     own = R.dealt(e, "tool", "event_id", 4000, reach=8)
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("tool", "range").orderBy("event_id").rangeBetween(-8, 0)
     told = own.withColumns({"failures": F.sum(Col("failed").cast("int")).over(w), "good": F.sum((~Col("failed")).cast("int")).over(w)})
     return told.filter("not _halo and failed and (failures >= 3 and good = 0 or failures >= 6)").select("event_id", "failures")
@@ -47,3 +46,37 @@ def large_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.repartition(4, "g").sortWithinPartitions("g", "event_id").select("g", "line").write.partitionBy("g").text(path)
     rows = I.with_carried_session(I.json_lines(spark, path))
     return rows.select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), F.regexp_extract("file", "g=([0-9]+)", 1).cast("long").alias("file"), "line_no", Col("session_id").cast("long").alias("session"))
+
+
+#: What the changes leave: every fifth text has a word more, every seventh is gone, but for every fourteenth.
+_LIVE = "live AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN coalesce(text, '') || ' updated twice' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)"
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """An index that follows four batches of changes, with a compaction between them."""
+    d = table(spark, sf_dir, "documents").select(Col("doc_id").alias("id"), "text")
+    index = TextIndex(spark, _folder(spark, "index"), d.schema["id"].dataType)
+    change = lambda rows, seq, text, deleted=False: rows.select((Col("id") + seq).alias("seq"), "id", text.alias("text"), F.lit(deleted).alias("deleted"))
+    index.apply(change(d, 0, Col("text")))
+    index.apply(change(d.filter("id % 5 = 0"), 10**9, F.concat(F.coalesce("text", F.lit("")), F.lit(" updated twice"))))
+    index.compact()
+    index.apply(change(d.filter("id % 7 = 0"), 2 * 10**9, Col("text"), True))
+    index.apply(change(d.filter("id % 14 = 0"), 3 * 10**9, Col("text")))
+    return index
+
+
+@query(r"WITH " + _LIVE + r", t AS (SELECT id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM live) SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM t WHERE term <> '' GROUP BY term")
+def followed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies kept by sums of changes, beside the words of the live postings."""
+    index = _followed(spark, sf_dir)
+    tf = index.postings().groupBy("term").agg(F.sum("tf").alias("tf"))
+    return index.frequencies().join(tf, "term", "full").select("term", "df", "tf")
+
+
+@query(
+    r"WITH " + _LIVE + r", t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM live) WHERE term <> '' GROUP BY ALL),"
+    " l AS (SELECT id, sum(tf) AS len FROM t GROUP BY id), w AS (SELECT count(*) AS docs, (SELECT sum(len) FROM l) / count(*) AS avg_len FROM live), f AS (SELECT term, count(*) AS df FROM t GROUP BY term)"
+    " SELECT id, count(*) AS hits, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 5) AS bm25 FROM t JOIN f USING (term) JOIN l USING (id), w WHERE term IN ('license', 'version', 'updated', 'public') GROUP BY id"
+)
+def followed_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, sf_dir).bm25(["License", "version", "updated", "public"]).select("id", "hits", F.round("bm25", 5).alias("bm25"))
