@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import ragged, tune
+from mnemolake.llm.common import ragged, tune, with_fields
 
 #: Fixed value: the public byte-level pattern; \s is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -354,6 +354,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
     more = ", ids array<int>, decoded string" if full else ""
-    return rows.mapInArrow(_coder(shared, full), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    fields = with_fields(rows, ("__text",), f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return rows.mapInArrow(_coder(shared, full), fields)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemolake.session import shared_dir, ship
 
@@ -101,6 +102,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *more)
 
 
+def with_fields(rows: DataFrame, drop: tuple[str, ...], more: str) -> T.StructType:
+    """The schema of rows without the columns of drop, and with the fields of more (DDL), none of
+    which may be there already."""
+    kept = [f for f in rows.schema.fields if f.name not in drop]
+    added = T.StructType.fromDDL(more).fields
+    if clash := sorted({f.name.lower() for f in kept} & {f.name.lower() for f in added}):
+        raise ValueError(f"carried columns may not be named as those that are added: {', '.join(clash)}")
+    return T.StructType([*kept, *added])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemolake.llm.common import tune, utf8
+from mnemolake.llm.common import tune, utf8, with_fields
 
 ORDER = 3
 #: Stands before every text, so that first bytes have a context as well.
@@ -209,15 +210,20 @@ def _predictor(shared: object) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
-def fit(labelled: DataFrame, texts_per_language: int = 400, usual_bytes: int = 1 << 14, cells: int = 1 << 27) -> Model:
+def fit(labelled: DataFrame, texts_per_language: int = 400, usual_bytes: int = 1 << 14, cells: int = 1 << 27, most_languages: int = 256) -> Model:
     """From (doc_id, text, lang). The sample is bounded, and no language is left out: of each,
     whole texts are taken, up to texts_per_language and cells / languages**2 bytes (so
-    that all trees together stay within cells numbers), one text at least. Texts of up to
-    usual_bytes come first, by the hash of doc_id; longer ones follow, the shortest first.
-    Rows without text or lang teach nothing; rows that repeat teach once each; an empty
-    table gives an empty model. Other columns are ignored."""
+    that all trees together stay within cells numbers), one text at least; of one that is
+    longer than that, as many characters. Texts of up to usual_bytes come first, by the
+    hash of doc_id; longer ones follow, the shortest first. Where lang has more values than
+    most_languages, the most frequent of them are learned (ties: the first by name), so
+    what the driver gathers has a bound. Rows without text or lang teach nothing; rows that
+    repeat teach once each; an empty table gives an empty model. Other columns are ignored."""
     size = F.octet_length("text")
     ok = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0))
+    names = [r["lang"] for r in labelled.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()]
+    if len(names) > most_languages:
+        ok = ok.filter(F.col("lang").isin(names[:most_languages]))
     key = F.xxhash64(F.lit("train"), "doc_id")
     slim = ok.select("doc_id", "lang", F.greatest(size, F.lit(usual_bytes)).alias("long"), size.alias("bytes"), key.alias("key"), F.xxhash64("text").alias("th"))
     order = ("long", "key", "th")
@@ -230,9 +236,9 @@ def fit(labelled: DataFrame, texts_per_language: int = 400, usual_bytes: int = 1
     told = [tuple(r) for r in ranked.collect()]
     most = cells // max(1, len({r[1] for r in told})) ** 2
     chosen = [(r[0], r[1], r[2]) for r in told if r[3] == 1 or r[4] <= most]
-    kind = ok.schema["doc_id"].dataType.simpleString()
-    picked = labelled.sparkSession.createDataFrame(chosen, f"mid {kind}, mlang string, mth long").distinct()
-    rows = ok.join(F.broadcast(picked), F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mlang") == F.col("lang")) & (F.col("mth") == F.xxhash64("text"))).select("lang", "text")
+    kind = T.StructType([T.StructField("mid", ok.schema["doc_id"].dataType), T.StructField("mlang", T.StringType()), T.StructField("mth", T.LongType())])
+    picked = labelled.sparkSession.createDataFrame(chosen, kind).distinct()
+    rows = ok.join(F.broadcast(picked), F.col("mid").eqNullSafe(F.col("doc_id")) & (F.col("mlang") == F.col("lang")) & (F.col("mth") == F.xxhash64("text"))).select("lang", F.when(size > most, F.left("text", F.lit(max(most, 1)))).otherwise(F.col("text")).alias("text"))
     samples: dict[str, list[bytes]] = {}
     for r in rows.collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
@@ -253,6 +259,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     tune(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, text.alias("__text"), text.rlike(r"\p{L}").alias("__lettered"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("__text", "__lettered"))
+    fields = with_fields(rows, ("__text", "__lettered"), "lang_pred string, score double, bits_per_byte double")
     shared = spark.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictor(shared), f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(_predictor(shared), fields)

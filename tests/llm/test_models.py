@@ -34,6 +34,28 @@ def test_a_language_of_long_texts_only(spark):
         assert [r["lang_pred"] for r in language_id.identify(df, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
 
 
+def test_a_column_that_is_no_language(spark):
+    """Of many labels the most frequent are learned; of one huge text, as much as its share."""
+    rows = [(i, "some words here", f"l{i:03}") for i in range(60)] + [(100 + i, "vox populi", "la") for i in range(3)] + [(200, "drei Worte noch " * 9000, "de"), (201, "drei Worte", "de")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=5, cells=25 * 64)
+    assert model.languages == ["de", "l000", "l001", "l002", "la"]
+    one = language_id.fit(spark.createDataFrame([r for r in rows if r[0] == 200], "doc_id long, text string, lang string"), cells=500)
+    assert one.languages == ["de"]
+
+
+def test_extra_columns_of_any_type(spark):
+    """Nested fields with odd names come through; names that are added are refused."""
+    df = spark.createDataFrame([(1, "some words", "en", ({"x y": 1},), (2,))], "doc_id long, text string, lang string, `a b` struct<`c d`: map<string, int>>, score struct<`e-f`: int>")
+    model = language_id.fit(df)
+    got = language_id.identify(df, model, "doc_id", "text", "`a b`").first()
+    assert got["a b"]["c d"] == {"x y": 1} and got["lang_pred"] == "en"
+    assert bpe.encode_decode(df, PATH, "doc_id", "text", False, "`a b`").first()["a b"]["c d"] == {"x y": 1}
+    with pytest.raises(ValueError, match="score"):
+        language_id.identify(df, model, "doc_id", "text", "score")
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode_decode(df.withColumn("N_tokens", df["lang"]), PATH, "doc_id", "text", False, "N_tokens")
+
+
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(2)
     samples = {"a": [bytes(rng.integers(97, 105, 3000, np.uint8))], "b": [bytes(rng.integers(101, 112, 3000, np.uint8))]}
