@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import functools
 import itertools
+import time
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,20 +27,32 @@ ORACLE_SQL = None
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 _runs = itertools.count()
-_run: list[str] = []
+#: The run that this thread is in; runs of other threads have their own.
+_run: ContextVar[str] = ContextVar("run", default="")
+#: Stages called apart, by folder: (place, time of the call, scope), earliest first.
+_apart: dict[str, list[tuple[int, float, str]]] = {}
 
 
 def _stage(place: int, keeps: bool = True) -> Callable[[Step], Step]:
     """A stage sees the columns it knows under their names, and others under names that
     clash with none; those get their own back. What a stage sets aside is deleted when a
-    later stage of the same run begins, as its result is stored by then."""
+    later stage of the same run begins, as its result is stored by then. Of stages called
+    apart from a run, that holds only if the later one reads files written since."""
 
     def wrap(step: Step) -> Step:
         @functools.wraps(step)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            own = _run[-1] if _run else f"pipeline:{sf_dir}"
-            for earlier in range(place):
-                release(spark, f"{own}:{earlier}")
+            own = _run.get()
+            if own:
+                for earlier in range(place):
+                    release(spark, f"{own}:{earlier}")
+            else:
+                own = f"apart-{next(_runs)}"
+                known, written = _apart.setdefault(sf_dir, []), _written(spark, docs)
+                for earlier in [x for x in known if x[0] < place and x[1] < written]:
+                    release(spark, earlier[2])
+                    known.remove(earlier)
+                known.append((place, time.time(), f"{own}:{place}"))
             plain = docs.toDF(*[c if c in KNOWN else f"extra_{i}" for i, c in enumerate(docs.columns)])
             with scope(f"{own}:{place}"):
                 out = step(spark, plain, sf_dir)
@@ -49,6 +63,14 @@ def _stage(place: int, keeps: bool = True) -> Callable[[Step], Step]:
     return wrap
 
 
+def _written(spark: SparkSession, docs: DataFrame) -> float:
+    """When the first of the files that docs is read from was written; 0 if there is none."""
+    for name in docs.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1000
+    return 0.0
+
+
 def _rowed(docs: DataFrame) -> DataFrame:
     """docs with __th: (doc_id, __th) tells rows apart that share a doc_id."""
     return docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -128,7 +150,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     result is read from stays; other results of the session keep theirs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = f"run-{next(_runs)}"
-    _run.append(own)
+    token = _run.set(own)
     try:
         for place, (name, step) in enumerate(STAGES[:-1]):
             with scope(f"{own}:stored:{place}"):
@@ -137,4 +159,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             release(spark, f"{own}:stored:{place - 1}")
         return STAGES[-1][1](spark, docs, sf_dir)
     finally:
-        _run.remove(own)
+        _run.reset(token)
