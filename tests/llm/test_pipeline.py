@@ -6,10 +6,12 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 import corpus_pipeline
+from mnemolake.llm import common
 
 
 def tokens(t: str) -> list[str]:
@@ -146,3 +148,35 @@ def test_runs_leave_other_results_alone(spark, tmp_path):
     first, second = exact_dedup.exact_dedup(docs), corpus_pipeline.run(spark, str(tmp_path))
     third = corpus_pipeline.run(spark, str(tmp_path))
     assert first.count() == docs.count() and sorted(second.collect()) == sorted(third.collect())
+
+
+def _table(spark, folder):
+    df = spark.createDataFrame(make(), "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "named_struct('a b', doc_id, 'c', array(named_struct('d-e', lang))) as `odd one`")
+    df.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_called_apart_keep_theirs(spark, tmp_path):
+    """A stage's result outlives the call of a later stage on the same table, not one on its own result."""
+    docs = _table(spark, tmp_path)
+    steps = dict(corpus_pipeline.STAGES)
+    told = steps["language_id"](spark, docs, str(tmp_path))
+    a = steps["exact_dedup"](spark, docs, str(tmp_path))
+    b = steps["near_dedup"](spark, docs, str(tmp_path))
+    assert told.count() and a.count() and b.count() and "odd one" in told.columns
+    a.write.parquet(f"{tmp_path}/stored")
+    staged = len([x for x in common._staged if x[2].startswith("apart-")])
+    steps["near_dedup"](spark, spark.read.parquet(f"{tmp_path}/stored"), str(tmp_path)).count()
+    assert not any(x[2].endswith(":1") and x[2].startswith("apart-") for x in common._staged) and staged
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """Each thread's run deletes only what it has set aside itself."""
+    folders = [tmp_path / "a", tmp_path / "b"]
+    for f in folders:
+        _table(spark, f)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(lambda f=f: sorted(map(tuple, corpus_pipeline.run(spark, str(f)).select("doc_id", "n_tokens").collect()))) for f in folders]
+        first, second = (r.result() for r in runs)
+    assert first == second and first
