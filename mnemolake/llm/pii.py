@@ -42,13 +42,18 @@ _AT, _DOT = r"(?:@|\((?i:at)\)|\[(?i:at)\])", r"(?:\.|\((?i:dot)\)|\[(?i:dot)\])
 _SPOT = r"(?:[.,]|\[\.\]|\(\.\))"
 #: Cheap looks back come first: most places have no = or : before them.
 _ASSIGNED = r"(?<=[=:\x20\x22\x27])(?<=[=:]\x20?[\x22\x27]?)(?<=(?i:password|passwd|pwd|secret|token|key)[\x22\x27]?\x20?[=:]\x20?[\x22\x27]?)"
+_TOKEN = "A-Za-z0-9_/+-"
 #: Looser: what a text must hold for a generator to run at all, and the generator.
 LOOSE = {
-    "email": (_AT, rf"(?:[A-Za-z0-9._%+-]{{1,64}}\x20?)?{_AT}\x20?[A-Za-z0-9-]{{1,63}}\x20?{_DOT}\x20?[A-Za-z0-9.-]{{1,64}}"),
+    "email": (_AT, rf"(?:(?<![{_LOCAL}])[{_LOCAL}]++\x20?)?{_AT}\x20?[A-Za-z0-9-]++\x20?{_DOT}\x20?[A-Za-z0-9.-]++"),
     "ip": (rf"[0-9]{_SPOT}[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}:", rf"(?<![0-9.])[0-9]{{1,3}}{_SPOT}[0-9]{{1,3}}{_SPOT}[0-9]{{1,3}}{_SPOT}[0-9]{{1,3}}(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Za-z:])"),
     "card": (r"[0-9](?:[\x20.-]?[0-9]){12}", r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
     "phone": (r"[0-9]{2}", r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}(?:[\x20./-]?[0-9]{3,4})?(?![0-9A-Za-z])"),
-    "secret": (r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})[A-Za-z_/+-]{0,127}[0-9]|[=:](?<=(?i:password|passwd|pwd|secret|token|key)[\x22\x27]?\x20?[=:])", rf"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{{16}})(?=[A-Za-z_/+-]{{0,127}}[0-9])[A-Za-z0-9_/+-]{{16,256}}={{0,2}}(?![A-Za-z0-9_/+-])|{_ASSIGNED}(?![\x22\x27=:\x20])[^\x20\x09-\x0D\x22\x27,;|)]{{6,256}}"),
+    # of any length: a token of three dotted parts, a run of a token's letters with a digit, a value that is assigned
+    "secret": (
+        rf"(?<![{_TOKEN}])(?=[{_TOKEN}]{{16}})[A-Za-z_/+-]*+[0-9]|(?<![{_TOKEN}])eyJ|[=:](?<=(?i:password|passwd|pwd|secret|token|key)[\x22\x27]?\x20?[=:])",
+        rf"(?<![{_TOKEN}])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+|(?<![{_TOKEN}])(?=[{_TOKEN}]{{16}})(?=[A-Za-z_/+-]*+[0-9])[{_TOKEN}]++(?:={{1,2}}+(?![={_TOKEN}]))?|{_ASSIGNED}(?![\x22\x27=:\x20])[^\x20\x09-\x0D\x22\x27,;|)]{{6,}}+",
+    ),
 }
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"

@@ -46,6 +46,7 @@ _local = lambda r: r.choice(NAMES) + r.choice(["", "." + r.choice(NAMES), str(r.
 _quad = lambda r, by=".": by.join(_octet(r) for _ in range(4))
 _card = lambda r: r.choice([checked(r, 16, r.choice("3456")), checked(r, 15, "37"), checked(r, 16)])
 _key = lambda r: r.choice([letters(r, r.choice([32, 40, 64]), _HEX), letters(r, r.randint(20, 44), _MIXED)])
+_signed = lambda r: "eyJ" + letters(r, r.randint(17, 60), _MIXED) + "." + letters(r, r.randint(30, 600), _MIXED) + "." + letters(r, 43, _MIXED)
 
 #: kind, lead-ins, formats of what is to be found.
 FOUND: tuple[tuple[str, tuple[str, ...], tuple[Fill, ...]], ...] = (
@@ -80,12 +81,13 @@ FOUND: tuple[tuple[str, tuple[str, ...], tuple[Fill, ...]], ...] = (
         lambda r: f"0{r.randint(20, 99)}/{digits(r, 3, '7')} {digits(r, 4)}",
         lambda r: f"{r.randint(200, 999)}-{digits(r, 4)}",
     )),
-    ("secret", ("token = \"", "api_key: ", "secret=", "TOKEN = \"", "access_key=\"", "Bearer ", "password: ", "auth_token='"), (_key, _key)),
+    ("secret", ("token = \"", "api_key: ", "secret=", "TOKEN = \"", "access_key=\"", "Bearer ", "password: ", "auth_token='"), (_key, _key, _signed)),
     ("secret", ("password=", "pwd: ", "passwd = \""), (lambda r: letters(r, r.randint(8, 12), _MIXED) + str(r.randint(10, 99)), lambda r: r.choice(NAMES) + digits(r, r.randint(2, 4)) + r.choice(["", "x", "!"]))),
     ("secret", ("", "use ", "key "), (
         lambda r: "ghp_" + letters(r, 36, _MIXED),
         lambda r: "AKIA" + letters(r, 12, "ABCDEFGHIJKLMNOP") + digits(r, 4),
         lambda r: "sk_live_" + letters(r, 24, _MIXED),
+        _signed,
     )),
 )
 #: Lead-ins and formats of what is not.

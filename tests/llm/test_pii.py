@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections import Counter
 
+import regex
+
 from mnemolake.llm import pii
 from mnemolake.llm.pii_examples import examples
 
@@ -54,3 +58,45 @@ def test_repeats_clashing_columns_and_long_texts(spark):
     rows = sorted(((r["doc_id"], r["spans"], r["n_spans"]) for r in pii.find_pii(df).collect()), key=str)
     at = text.index("(555")
     assert rows == sorted([(None, f"phone:{at}:{len(text)}", 1)] * 2 + [(3, "", 0)], key=str)
+
+
+LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+
+
+def test_secrets_of_any_length(spark):
+    """Spans reach the end of what they hide, however long."""
+    rng = random.Random(5)
+    of = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    values = [("password: ", of(300)), ("api_key = \"", of(300)), ("token=", of(5000) + "=="), ("Bearer ", f"eyJ{of(17)}.{of(360)}.{of(43)}"), ("auth_token='", f"eyJ{of(40)}.{of(2000)}.{of(86)}"), ("passwd = \"", of(10) + "!" + of(400)), ("contact: ", f"{'x' * 90}@{'y' * 80}.{'z' * 70}.org")]
+    rows = [f"so {lead}{value} and more" if '"' not in lead and "'" not in lead else f"so {lead}{value}{lead[-1]} and more" for lead, value in values]
+    got = found(spark, rows)
+    for i, (_, value) in enumerate(values):
+        at = rows[i].index(value)
+        assert any(a == at and z == at + len(value) for _, a, z in spans(got[i])), rows[i][:60]
+
+
+def test_generators_against_the_definition(spark):
+    """Each generator's places, found by a walk over the text from match to match."""
+    rng = random.Random(6)
+    rows = ["".join(rng.choice(["pwd=", "token: ", "eyJ", "@", ".", " ", "a1", "Zz", "9" * 9, "=", "-", "(at)", " dot ", ",", '"', "é", "k" * 20, "1.2.3.4", "+49 "]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: {(c["k"], c["s"], c["e"]) for c in r["candidates"]} for r in pii.candidates(df).collect()}
+    token = r"[A-Za-z0-9_/+-]"
+    runs = rf"(?<!{token})eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|(?<!{token})(?={token}{{16}})(?=[A-Za-z_/+-]*[0-9]){token}+(?:={{1,2}}(?![=A-Za-z0-9_/+-]))?"
+    for i, text in enumerate(rows):
+        want, at = set(), 0
+        while at <= len(text):
+            m = regex.compile(runs).match(text, at)
+            if not m:
+                m = regex.compile(r"(?<=(?i:password|passwd|pwd|secret|token|key)[\x22\x27]?\x20?[=:]\x20?[\x22\x27]?)(?![\x22\x27=:\x20])[^\x20\x09-\x0D\x22\x27,;|)]{6,}").match(text, at)
+            if m:
+                want.add((4, at, m.end()))
+            at = m.end() if m else at + 1
+        assert {c for c in got[i] if c[0] == 4} == want, text
+
+
+def test_no_text_is_slow(spark):
+    """Long runs that almost match take linear time."""
+    rows = ["a" * 400_000, "a-" * 200_000, "1" * 400_000, "@" * 100_000, "x@" * 100_000, "eyJ." * 100_000, "password=" * 40_000, "k=" * 200_000, "a@b" * 100_000, "." * 400_000]
+    began = time.time()
+    assert len(found(spark, rows)) == len(rows) and time.time() - began < 90
