@@ -150,18 +150,28 @@ def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), opened("content").alias("text"))
 
 
-def grep(spark: SparkSession, path: str, pattern: str, glob: str = "*", most_bytes: int = 2 << 20, fixed: bool = False, context: int = 0) -> DataFrame:
-    """(file, line_no, line, context, at) of matching lines. As the tool that this stands for
-    does, it skips binary files (a NUL byte in their first 1024) and, where that is a feature
-    of a search through a workspace, files of over most_bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).filter(F.col("length") <= most_bytes)
-    text = files.filter(~F.contains(F.substring("content", 1, 1024), F.lit(bytearray(b"\x00")))).select("path", "modificationTime", F.decode("content", "UTF-8").alias("t"))
-    lines = text.select(F.col("path").alias("file"), F.col("modificationTime").alias("at"), F.split("t", "\n").alias("ls")).select("file", "at", "ls", F.posexplode("ls").alias("no", "line"))
+def text_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*", most_bytes: int = 2 << 20) -> DataFrame:
+    """(file, at, text) of files that are no larger and, by their first 1024 bytes, not binary."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path)).filter(F.col("length") <= most_bytes)
+    text = files.filter(~F.contains(F.substring("content", 1, 1024), F.lit(bytearray(b"\x00"))))
+    return text.select(F.col("path").alias("file"), F.col("modificationTime").alias("at"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def found_lines(texts: DataFrame, pattern: str, fixed: bool = False, context: int = 0) -> DataFrame:
+    """(file, line_no, line, context, at) of the matching lines of text files."""
+    lines = texts.select("file", "at", F.split("text", "\n").alias("ls")).select("file", "at", "ls", F.posexplode("ls").alias("no", "line"))
     hit = F.contains(F.col("line"), F.lit(pattern)) if fixed else F.col("line").rlike(pattern)
     around = F.slice("ls", F.greatest(F.col("no") + 1 - context, F.lit(1)), F.least(F.lit(2 * context + 1), F.col("no") + 1 + context)) if context else F.array("line")
     return lines.filter(hit).select("file", (F.col("no") + 1).alias("line_no"), "line", around.alias("context"), "at")
 
 
+def grep(spark: SparkSession, path: str, pattern: str, glob: str = "*", most_bytes: int = 2 << 20, fixed: bool = False, context: int = 0) -> DataFrame:
+    """(file, line_no, line, context, at) of matching lines. As the tool that this stands for
+    does, it skips binary files (a NUL byte in their first 1024) and, where that is a feature
+    of a search through a workspace, files of over most_bytes. ``trigrams`` searches by an index."""
+    return found_lines(text_files(spark, path, glob, most_bytes), pattern, fixed, context)
+
+
 def find_files(spark: SparkSession, path: str, glob: str, limit: int = 100) -> DataFrame:
     """Newest first."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -14,6 +14,7 @@ import mnemolake.plans.range_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
 import mnemolake.plans.rule_queries  # noqa: F401
 import mnemolake.plans.search_queries  # noqa: F401
+import mnemolake.plans.similarity_queries  # noqa: F401
 import mnemolake.plans.source_queries  # noqa: F401
 from mnemolake.plans.queries import ORACLES, QUERIES
 
