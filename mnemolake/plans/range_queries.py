@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from mnemolake.operators import ranges as R
 from mnemolake.operators.text_index import TextIndex
-from mnemolake.plans.queries import Col, query
+from mnemolake.plans.queries import Col, query, words
 from mnemolake.plans.source_queries import _folder, _json
 from mnemolake.plans.views import table
 from mnemolake.sources import readers as I
+from mnemolake.streaming.pipelines import run_to_end
+from mnemolake.streaming.turns import assembled_turns
 
 
 @query("SELECT event_id, f::BIGINT AS failures FROM (SELECT *, sum((event_id % 4 <> 0)::INT) OVER w AS f, sum((event_id % 4 = 0)::INT) OVER w AS g FROM events WINDOW w AS (ORDER BY event_id RANGE BETWEEN 8 PRECEDING AND CURRENT ROW)) WHERE event_id % 4 <> 0 AND f >= 3 AND g = 0 OR event_id % 4 <> 0 AND f >= 6")
@@ -48,6 +50,22 @@ def large_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), F.regexp_extract("file", "g=([0-9]+)", 1).cast("long").alias("file"), "line_no", Col("session_id").cast("long").alias("session"))
 
 
+@query(words("{turns,} t AS (SELECT conv_id, turn_no, count(*) AS n, min(turn) AS first_no, max(turn) AS last_no, arg_min(role, turn) = 'user' AND arg_min(trim(coalesce(text, '')), turn) <> '' AND arg_max(role, turn) = 'assistant' AND arg_max(trim(coalesce(text, '')), turn) <> '' AS complete FROM turns GROUP BY ALL) SELECT conv_id AS conversation, turn_no, n, first_no, last_no, complete FROM t"))
+def streamed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of files, dealt by a hash and thus out of order; a last file, a
+    month later, lets the watermark pass all messages."""
+    path = _folder(spark, "turns")
+    at = F.timestamp_seconds(F.lit(1704067200) + Col("turn") * 60).alias("at")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", at)
+    c.repartition(5, F.xxhash64("conv_id", "turn")).write.parquet(path)
+    end = c.limit(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"), F.timestamp_seconds(F.lit(1704067200 + 30 * 86400)).alias("at"))
+    end.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    turns = assembled_turns(stream, "conv_id", "turn", "role", "text", "at", delay="7 days")
+    told = run_to_end(turns, "turns", _folder(spark, "turns-out"))
+    return told.filter("conversation >= 0").select("conversation", "turn_no", "n", "first_no", "last_no", "complete")
+
+
 #: What the changes leave: every fifth text has a word more, every seventh is gone, but for every fourteenth.
 _LIVE = "live AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN coalesce(text, '') || ' updated twice' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)"
 
