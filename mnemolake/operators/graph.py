@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.operators.reach_index import ReachIndex
 from mnemolake.session import shared_dir
 
 
@@ -44,9 +45,11 @@ def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def makes_cycle(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """candidates (graph, source, target) gain cycle: whether source is reachable from target."""
-    r = reachable(candidates.select("graph", F.col("target").alias("root")), edges).withColumnRenamed("root", "target").withColumnRenamed("node", "source").withColumn("cycle", F.lit(True))
-    return candidates.join(r, ["graph", "source", "target"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+    """candidates (graph, source, target) gain cycle: whether source is reachable from target, by
+    two look-ups of chain labels each."""
+    turned = candidates.withColumnRenamed("source", "_from").withColumnRenamed("target", "source").withColumnRenamed("_from", "target")
+    told = ReachIndex.build(edges).reaches(turned, "cycle")
+    return told.withColumnRenamed("source", "_to").withColumnRenamed("target", "source").withColumnRenamed("_to", "target").select(*candidates.columns, "cycle")
 
 
 def root_task(nodes: DataFrame) -> DataFrame:
