@@ -282,6 +282,10 @@ class Tokenizer:
         for t, p in zip(texts, plain, strict=True):
             yield self.encode(t) if p is None else [",".join(map(known.__getitem__, p))] if p else []
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.cache, self.old, self.held = {}, {}, 0
+
     def ids(self, text: str) -> list[int]:
         return [int(x) for part in self.encode(text) for x in part.split(",")]
 
@@ -310,33 +314,36 @@ def _coder(shared: object, full: bool) -> Callable[[Iterable[pa.RecordBatch]], I
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(shared.value)  # type: ignore[attr-defined]
         by_text = {str(i): b for i, b in enumerate(coder.token_bytes)}
-        for batch in batches:
-            count, ids_sha, text_sha, ids_all, decoded = [], [], [], [], []
-            for coded in _all(coder, batch.column("__text").to_pylist()):
-                n, sha, back, first, some, whole = 0, hashlib.sha256(), hashlib.sha256(), True, [], []
-                for part in coded:
-                    n += part.count(",") + 1
-                    sha.update(part.encode() if first else b"," + part.encode())
-                    first = False
-                    raw = b"".join([by_text[x] for x in part.split(",")])
-                    # decoded per piece: pieces end where characters do
-                    back.update(raw)
+        try:
+            for batch in batches:
+                count, ids_sha, text_sha, ids_all, decoded = [], [], [], [], []
+                for coded in _all(coder, batch.column("__text").to_pylist()):
+                    n, sha, back, first, some, whole = 0, hashlib.sha256(), hashlib.sha256(), True, [], []
+                    for part in coded:
+                        n += part.count(",") + 1
+                        sha.update(part.encode() if first else b"," + part.encode())
+                        first = False
+                        raw = b"".join([by_text[x] for x in part.split(",")])
+                        # decoded per piece: pieces end where characters do
+                        back.update(raw)
+                        if full:
+                            some.extend(map(int, part.split(",")))
+                            whole.append(raw)
+                    count.append(n)
+                    ids_sha.append(sha.hexdigest())
+                    text_sha.append(back.hexdigest())
                     if full:
-                        some.extend(map(int, part.split(",")))
-                        whole.append(raw)
-                count.append(n)
-                ids_sha.append(sha.hexdigest())
-                text_sha.append(back.hexdigest())
+                        ids_all.append(some)
+                        decoded.append(b"".join(whole).decode("utf-8", "replace"))
+                names = [x for x in batch.schema.names if x != "__text"]
+                cols = [batch.column(x) for x in names] + [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                more = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    ids_all.append(some)
-                    decoded.append(b"".join(whole).decode("utf-8", "replace"))
-            names = [x for x in batch.schema.names if x != "__text"]
-            cols = [batch.column(x) for x in names] + [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            more = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                cols += [pa.array(ids_all, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                more += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *more])
+                    cols += [pa.array(ids_all, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    more += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *more])
+        finally:
+            coder.forget()  # what a worker holds between tasks is the vocabulary alone
 
     return run
 
