@@ -32,7 +32,7 @@ LEAD = b"\n" * ORDER
 UNIT = 1 << 16
 #: Bytes walked at once, for up to four languages, and fewer for more: some 30 bytes of
 #: scratch for each, and 16 a language.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass
