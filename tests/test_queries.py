@@ -8,6 +8,7 @@ import os
 
 import pytest
 
+import mnemolake.plans.insight_queries  # noqa: F401
 import mnemolake.plans.more_queries  # noqa: F401
 import mnemolake.plans.panel_queries  # noqa: F401
 import mnemolake.plans.range_queries  # noqa: F401
