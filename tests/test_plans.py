@@ -6,15 +6,20 @@ import re
 
 import pytest
 
+import mnemolake.plans.insight_queries  # noqa: F401
 import mnemolake.plans.more_queries  # noqa: F401
 import mnemolake.plans.panel_queries  # noqa: F401
+import mnemolake.plans.range_queries  # noqa: F401
 import mnemolake.plans.record_queries  # noqa: F401
 import mnemolake.plans.rule_queries  # noqa: F401
+import mnemolake.plans.search_queries  # noqa: F401
+import mnemolake.plans.similarity_queries  # noqa: F401
 import mnemolake.plans.source_queries  # noqa: F401
 from mnemolake.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-PYTHON = {"error_signatures", "mmr_selection", "vector_round_trip", "graph_active_path", "retrieval_search", "config_redaction", "stream_failure_bursts", "sqlite_store"}
+#: Rules, graphs, streams and schedules in Python; SQLite through its data source; many searches at once.
+PYTHON = {"error_signatures", "vector_round_trip", "graph_active_path", "config_redaction", "stream_failure_bursts", "next_fires", "sqlite_store", "state_store", "batch_routes", "batch_pools", "batch_search"}
 
 
 def plan(df) -> str:
