@@ -166,9 +166,10 @@ def test_stages_called_apart_keep_theirs(spark, tmp_path):
     b = steps["near_dedup"](spark, docs, str(tmp_path))
     assert told.count() and a.count() and b.count() and "odd one" in told.columns
     a.write.parquet(f"{tmp_path}/stored")
-    staged = len([x for x in common._staged if x[2].startswith("apart-")])
+    gone = [scope for place, _, scope in corpus_pipeline._apart[str(tmp_path)] if place == 1]
+    assert gone and any(x[2] in gone for x in common._staged)
     steps["near_dedup"](spark, spark.read.parquet(f"{tmp_path}/stored"), str(tmp_path)).count()
-    assert not any(x[2].endswith(":1") and x[2].startswith("apart-") for x in common._staged) and staged
+    assert not any(x[2] in gone for x in common._staged)
 
 
 def test_two_runs_at_once(spark, tmp_path):
