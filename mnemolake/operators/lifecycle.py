@@ -155,14 +155,19 @@ def overlaps(items: DataFrame) -> DataFrame:
 
 def merge_target(drafts: DataFrame, models: DataFrame, min_overlap: float = 0.6) -> DataFrame:
     """(key, model): the model of the same key, else the one whose policies overlap most.
-    Models meet drafts by a shared policy, so no pair without one is made."""
+    Equal sets of policies are one class: of a class's models the best stands for all, and a
+    class of drafts looks once. Classes meet by a shared policy, so no pair without one is made."""
     exact = drafts.select("key").join(models.select(F.col("key"), F.col("id").alias("exact")), "key", "left")
-    d = drafts.select("key", F.col("policy_ids").alias("dp"), F.explode(F.array_distinct("policy_ids")).alias("p"))
-    m = models.select(F.col("id"), "confidence", F.size(F.array_distinct("policy_ids")).alias("mn"), F.explode(F.array_distinct("policy_ids")).alias("p"))
-    shared = d.join(m, "p").groupBy("key", "id", "confidence", "mn", F.size(F.array_distinct("dp")).alias("dn")).agg(F.count(F.lit(1)).alias("shared"))
+    own = F.array_sort(F.array_distinct("policy_ids")).alias("set")
+    wanted = drafts.select("key", own).withColumn("dn", F.size("set"))
+    held = models.select(own, "id", "confidence").groupBy("set").agg(F.max_by(F.struct("id", "confidence"), F.struct("confidence", -F.col("id"))).alias("m"))
+    d = wanted.select("set", "dn").distinct().select(F.col("set").alias("dp"), "dn", F.explode("set").alias("p"))
+    m = held.select("m.id", "m.confidence", F.size("set").alias("mn"), F.explode("set").alias("p"))
+    shared = d.join(m, "p").groupBy("dp", "dn", "id", "confidence", "mn").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.withColumn("score", F.col("shared") / F.least("mn", "dn")).filter(F.col("score") >= min_overlap)
-    best = scored.groupBy("key").agg(F.max_by("id", F.struct("score", "shared", "confidence", -F.col("id"))).alias("near"))
-    return exact.join(best, "key", "left").select("key", F.coalesce("exact", "near").alias("model"))
+    best = scored.groupBy("dp").agg(F.max(F.struct("score", "shared", "confidence", (-F.col("id")).alias("less"), "id")).alias("best"))
+    near = wanted.join(best, F.col("set") == F.col("dp")).groupBy("key").agg(F.max("best")["id"].alias("near"))
+    return exact.join(near, "key", "left").select("key", F.coalesce("exact", "near").alias("model"))
 
 
 def task_candidates(queries: DataFrame, group: str, score: str, at: str, least: float = 3, most: int = 4) -> DataFrame:
