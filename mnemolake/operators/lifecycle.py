@@ -146,8 +146,10 @@ def overlaps(items: DataFrame) -> DataFrame:
     by their items, so no pair without one is made. items: key, item; repeats count once."""
     t = items.distinct()
     n = t.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    x = t.select(F.col("key").alias("a"), "item")
-    y = t.select(F.col("key").alias("b"), "item")
+    # few rows, but many pairs an item: dealt to all tasks, which adaptive execution would merge
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = t.select(F.col("key").alias("a"), "item").repartition(parts, "item")
+    y = t.select(F.col("key").alias("b"), "item").repartition(parts, "item")
     shared = x.join(y, "item").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     sized = shared.join(n.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
     return sized.select("a", "b", (F.col("shared") / F.least("na", "nb")).alias("score"))
