@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.functions.rules import ascii_edges
 from mnemolake.functions.scoring import beta_posterior, success_rate
 from mnemolake.session import ship
 
@@ -179,6 +180,7 @@ def task_candidates(queries: DataFrame, group: str, score: str, at: str, least:
 
 
 def pattern_counts(texts: DataFrame, text: str, patterns: dict[str, str], most: int = 8) -> DataFrame:
-    """How many texts each pattern is found in, in one pass; the most frequent first."""
-    flags = F.array_compact(F.array(*[F.when(F.col(text).rlike("(?i)" + p), k) for k, p in patterns.items()]))
+    """How many texts each pattern is found in, letters of either case and edges of words as in
+    ASCII, in one pass; the most frequent first."""
+    flags = F.array_compact(F.array(*[F.when(F.col(text).rlike("(?i)" + ascii_edges(p)), k) for k, p in patterns.items()]))
     return texts.select(F.explode(flags).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)

@@ -193,7 +193,7 @@ def last_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.max("event_id").alias("last_seq"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT name, n FROM (VALUES ('license', (SELECT count(*) FROM documents WHERE regexp_matches(text, '(?i)\\blicen[sc]e'))), ('digits', (SELECT count(*) FROM documents WHERE regexp_matches(text, '[0-9]{4}'))), ('mail', (SELECT count(*) FROM documents WHERE regexp_matches(text, '@mail')))) AS v(name, n) WHERE n > 0")
+@query("SELECT name, n FROM (VALUES ('license', (SELECT count(*) FROM documents WHERE regexp_matches(text, '(?i)\\blicen[sc]e'))), ('digits', (SELECT count(*) FROM documents WHERE regexp_matches(text, '[0-9]{4}'))), ('mail', (SELECT count(*) FROM documents WHERE regexp_matches(text, '(?i)@mail')))) AS v(name, n) WHERE n > 0")
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pattern_counts(table(spark, sf_dir, "documents"), "text", {"license": r"\blicen[sc]e", "digits": "[0-9]{4}", "mail": "@mail", "never": "zzzqqq"})
 
