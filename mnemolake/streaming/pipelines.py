@@ -29,15 +29,16 @@ def _bursts(window: int, most: int) -> Callable[[tuple, Iterable[pd.DataFrame],
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps = list(state.get[0]) if state.exists else []
         good = state.get[1] if state.exists else -(1 << 60)
+        # a micro-batch's rows of a tool come in any order, over many blocks
+        rows = pd.concat([b[["step", "failed"]] for b in batches]).sort_values(["step", "failed"])
         out = []
-        for b in batches:
-            for step, bad in sorted(zip(b.step.tolist(), b.failed.tolist(), strict=True)):
-                if bad:
-                    steps = [s for s in steps if s > step - window] + [step]
-                    if len(steps) >= most and good <= step - window:
-                        out.append((key[0], step, len(steps)))
-                else:
-                    good, steps = step, [s for s in steps if s >= step]
+        for step, bad in zip(rows.step.tolist(), rows.failed.tolist(), strict=True):
+            if bad:
+                steps = [s for s in steps if s > step - window] + [step]
+                if len(steps) >= most and good <= step - window:
+                    out.append((key[0], step, len(steps)))
+            else:
+                good, steps = step, [s for s in steps if s >= step]
         state.update((steps, good))
         yield pd.DataFrame(out, columns=["tool", "step", "failures"])
 
@@ -46,7 +47,8 @@ def _bursts(window: int, most: int) -> Callable[[tuple, Iterable[pd.DataFrame],
 
 def failure_bursts(stream: DataFrame, window: int = 5, most: int = 3) -> DataFrame:
     """(tool, step, failures) for rows (tool, step, failed); the state of a tool is at most
-    `window` steps."""
+    `window` steps. Micro-batches follow each other in order of steps; within one, rows may come
+    in any order, and a task holds a tool's steps of it."""
     return stream.groupBy("tool").applyInPandasWithState(_bursts(window, most), "tool string, step long, failures long", "steps array<long>, good long", "append", GroupStateTimeout.NoTimeout)
 
 

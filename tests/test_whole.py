@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 from mnemolake.operators import graph as G
+from pyspark.sql import functions as F
 from tests.test_queries import DATA, duck  # noqa: F401
 
 
@@ -50,3 +51,53 @@ def test_long_chain(spark):
     edges = spark.range(300).selectExpr("1L as graph", "id as source", "id + 1 as target").unionByName(spark.createDataFrame([(1, 5, 250), (2, 1, 2), (2, 2, 1)], "graph long, source long, target long"))
     asked = spark.createDataFrame([(1, 300, 0), (1, 301, 0), (2, 1, 1), (2, 3, 1)], "graph long, source long, target long")
     assert {(r["graph"], r["source"]): r["cycle"] for r in G.makes_cycle(asked, edges).collect()} == {(1, 300): True, (1, 301): False, (2, 1): True, (2, 3): False}
+
+
+def test_merge_targets_of_equal_sets_are_sought_once(spark):
+    """20,000 drafts and 2,000 models of the same 40 policies: 1.6 billion rows if each met each."""
+    from mnemolake.operators import lifecycle as L
+
+    every = F.sequence(F.lit(0), F.lit(39))
+    drafts = spark.range(20_000).select(F.col("id").alias("key"), every.alias("policy_ids"))
+    models = spark.range(2_000).select(F.col("id"), (F.col("id") + 10**6).alias("key"), every.alias("policy_ids"), F.when(F.col("id") % 100 == 7, 0.9).otherwise(0.5).alias("confidence"))
+    told = L.merge_target(drafts, models).groupBy("model").count().collect()
+    assert [tuple(r) for r in told] == [(7, 20_000)]
+
+
+def test_overlaps_of_copies_are_pairs_with_the_first(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id % 30 as l_suppkey", "id div 30 % 20 + id % 30 % 3 as l_partkey")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["overlap_coefficient"](spark, str(tmp_path)).collect())
+    between = [(0, 1, 0.95), (0, 2, 0.9), (1, 2, 0.95)]
+    assert got == sorted(between + [(k % 3, k, 1.0) for k in range(3, 30)])
+
+
+def test_bursts_of_a_folder_of_files_in_any_order(spark, tmp_path):
+    """The table is a folder, and a tool's rows come late steps first, over many blocks."""
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), F.lit("t").alias("event_type"))
+    for part in (2, 0, 1):
+        rows.filter(F.col("event_id") % 3 == part).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    rows = [r["step"] for r in entry.queries()["stream_failure_bursts"](spark, str(tmp_path)).collect()]
+    # of any 15 consecutive steps some are good, so a burst needs a window before the first good one
+    assert rows == []
+    from mnemolake.streaming.pipelines import _bursts
+
+    class State:
+        exists = False
+
+        def update(self, new):
+            self.new = new
+
+    import pandas as pd
+
+    blocks = [pd.DataFrame({"step": s, "failed": [True] * len(s)}) for s in ([30, 31, 32], [1, 2, 3], [34, 33])]
+    out = pd.concat(_bursts(5, 3)(("t",), blocks, State()))
+    assert out[["step", "failures"]].values.tolist() == [[3, 3], [32, 3], [33, 4], [34, 5]]
+
+
+def test_patterns_have_ascii_edges_and_either_case(spark):
+    from mnemolake.operators import lifecycle as L
+
+    d = spark.createDataFrame([("élicence",), ("a LICENSE",), ("alicense",), (None,), ("x@MAIL",)], "text string")
+    got = {r["name"]: r["n"] for r in L.pattern_counts(d, "text", {"license": r"\blicen[sc]e", "mail": "@mail"}).collect()}
+    assert got == {"license": 2, "mail": 1}
