@@ -17,7 +17,7 @@ from mnemolake.operators import lifecycle as L
 from mnemolake.operators import queues as Q
 from mnemolake.operators import retrieval as X
 from mnemolake.operators import sessions as C
-from mnemolake.plans.queries import BM25, CENTROIDS, HITS, TERMS, Col, _candidates, _edges, _first_vector, _hits, _nodes, query, words
+from mnemolake.plans.queries import BM25, CENTROIDS, HITS, TERMS, Col, _candidates, _edges, _first_vector, _hits, _nodes, _ranked, query, words
 from mnemolake.plans.views import MEMORIES, TURNS, jobs, memories, table, turns
 
 
@@ -105,7 +105,7 @@ def route_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH" + HITS + " SELECT id, min(rank) AS best_rank, arg_min(channel, (rank, channel)) AS channel FROM s GROUP BY id")
 def channel_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = X.channel_ranks(_hits(spark, sf_dir))
+    r = _ranked(spark, sf_dir)
     return r.groupBy("id").agg(F.min("rank").cast("long").alias("best_rank"), F.min_by("channel", F.struct("rank", "channel")).alias("channel"))
 
 

@@ -101,3 +101,16 @@ def test_patterns_have_ascii_edges_and_either_case(spark):
     d = spark.createDataFrame([("élicence",), ("a LICENSE",), ("alicense",), (None,), ("x@MAIL",)], "text string")
     got = {r["name"]: r["n"] for r in L.pattern_counts(d, "text", {"license": r"\blicen[sc]e", "mail": "@mail"}).collect()}
     assert got == {"license": 2, "mail": 1}
+
+
+def test_ranks_of_more_hits_than_a_route_holds(spark, tmp_path):
+    """Every hit is ranked, ties by id, over ranges that several tasks hold."""
+    from mnemolake.operators import retrieval as X
+
+    hits = spark.range(3000).selectExpr("cast(1 as long) as query_id", "concat('m', id) as id", "if(id % 2 = 0, 'tier1', 'tier2') as tier", "if(id % 3 = 0, 'vec', 'fts') as channel", "cast(id div 100 % 7 as double) as raw")
+    got = {r["id"]: (r["rank"], r["score"]) for r in X.all_ranks(hits, str(tmp_path / "ranks")).collect()}
+    groups = {}
+    for r in hits.collect():
+        groups.setdefault((r["tier"], r["channel"]), []).append((-r["raw"], r["id"]))
+    want = {i: (n, -raw if channel == "vec" else 1 / (n + 1)) for (_, channel), own in groups.items() for n, (raw, i) in enumerate(sorted(own))}
+    assert len(want) == 3000 and got == want
