@@ -25,6 +25,13 @@ def beside(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def _reached(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the ascending bounds, at most ``most``, are at most value, by halving; 0 for a null
+    of either."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.when(bounds.isNull() | value.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(bounds, n + step - 1) <= value, n + step).otherwise(n)))
+
+
 def dealt(df: DataFrame, key: str, order: str, rows: int = ROWS, reach: float = 0, range_col: str = "range") -> DataFrame:
     """df with range_col, from 0 in order within each key, and _halo: true for copies of rows
     that lie within ``reach`` (in the unit of order, a number) before a range of which they
@@ -44,8 +51,7 @@ def dealt(df: DataFrame, key: str, order: str, rows: int = ROWS, reach: float =
     bounds = df.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("_k"))).groupBy(key).agg(F.array_distinct(cuts).alias("_bounds")).collect()  # a number for ``rows`` rows
     kind = T.StructType([T.StructField("_k", df.schema[key].dataType), T.StructField("_bounds", T.ArrayType(df.schema[order].dataType))])
     known = F.broadcast(df.sparkSession.createDataFrame([(r[key], r["_bounds"]) for r in bounds], kind))
-    at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0))
-    out = df.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_own", F.greatest(at, F.lit(0)))
+    out = df.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_own", _reached(F.col("_bounds"), F.col(order), parts))
     later = F.filter(F.sequence(F.col("_own") + 1, F.size("_bounds")), lambda r: F.get("_bounds", r - 1) - reach <= F.col(order))
     near = F.col("_bounds").isNotNull() & (F.col("_own") < F.size("_bounds")) & (F.get("_bounds", F.col("_own")) - reach <= F.col(order))
     copies = F.when(near & F.lit(reach > 0), F.concat(F.array("_own"), later)).otherwise(F.array("_own"))

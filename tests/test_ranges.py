@@ -105,3 +105,15 @@ def test_no_file_is_one_task(spark, tmp_path, small_splits):
     rows = D.json_lines(spark, str(tmp_path))
     assert rows.select(F.spark_partition_id()).distinct().count() > 10
     assert rows.filter(F.get_json_object("json", "$.n").cast("long") != F.col("line_no")).count() == 0 and rows.count() == 20_000
+
+
+def test_a_row_looks_up_its_range_by_halving(spark):
+    """As many bounds as there are, and no scan of all of them for each row."""
+    for n in (1, 2, 3, 7, 8, 100):
+        d = spark.range(-1, 2 * n + 2).selectExpr("id", f"transform(sequence(1, {n}), x -> 2L * x) as b")
+        got = {r["id"]: r["k"] for r in d.select("id", R._reached(F.col("b"), F.col("id"), n).alias("k")).collect()}
+        assert got == {i: sum(b <= i for b in range(2, 2 * n + 1, 2)) for i in got}
+    e = spark.range(50_000).selectExpr("cast(null as string) as key", "id")
+    dealt = R.dealt(e, "key", "id", 100)
+    assert dealt.select("range").distinct().count() > 400
+    assert "filter(_bounds" not in dealt._jdf.queryExecution().analyzed().toString()
