@@ -29,13 +29,13 @@ _MANIFEST = "no long, name string, docs long, words long"
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """(id, deleted, len, terms) of (id, deleted, text); ids are distinct."""
+    """(id, deleted, len, terms) of (id, deleted, text); ids are distinct. Rows that are dealt by id
+    are not dealt again."""
     words = F.filter(F.split(F.lower(F.col("text")), _WORD), lambda t: t != "")
-    counted = docs.filter("not deleted").select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    held = counted.groupBy(F.col("id").alias("_id")).agg(F.sum("tf").alias("len"), F.collect_list(F.struct("term", "tf")).alias("terms"))
-    none = F.array().cast("array<struct<term: string, tf: bigint>>")
-    rows = docs.select("id", "deleted").join(held, F.col("id").eqNullSafe(F.col("_id")), "left")
-    return rows.select("id", "deleted", F.coalesce("len", F.lit(0)).cast("long").alias("len"), F.coalesce("terms", none).alias("terms"))
+    each = docs.select("id", "deleted", F.explode_outer(F.when(~F.col("deleted"), words)).alias("term"))
+    counted = each.groupBy("id", "deleted", "term").agg(F.count("term").alias("tf"))
+    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    return counted.groupBy("id", "deleted").agg(F.sum("tf").alias("len"), held.alias("terms"))
 
 
 class TextIndex:

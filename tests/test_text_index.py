@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from mnemolake.operators import retrieval as X
 from mnemolake.operators.text_index import TextIndex
 
@@ -57,3 +59,15 @@ def test_failed_batches_and_old_files(spark, tmp_path, monkeypatch):
     assert [r["term"] for r in TextIndex(spark, f"file://{tmp_path}/index").postings().collect()] == ["three"]
     plan = index.postings(["three"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,three)]" in plan or "term" in plan.split("PushedFilters: [")[1][:60]
+
+
+def test_terms_of_documents_dealt_by_id_need_no_shuffle(spark):
+    from mnemolake.operators.queues import last_write
+    from mnemolake.operators.text_index import with_terms
+
+    rows = [(1, 1, "a b a", False), (2, None, "b", False), (3, 2, None, False), (4, 3, "c c", True), (5, 1, "b b", False)]
+    docs = last_write(spark.createDataFrame(rows, "seq long, id long, text string, deleted boolean"), ["id"], [F.desc("seq")])
+    told = with_terms(docs)
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r["id"]: (r["deleted"], r["len"], sorted(map(tuple, r["terms"]))) for r in told.collect()}
+    assert got == {1: (False, 2, [("b", 2)]), None: (False, 1, [("b", 1)]), 2: (False, 0, []), 3: (True, 0, [])}
