@@ -38,10 +38,28 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, range, line_no, json) of the lines that hold an object; others are skipped."""
-    lines = text_lines(spark, path).withColumnRenamed("line", "json")
+    return _objects(text_lines(spark, path).withColumnRenamed("line", "json"))
+
+
+def _objects(lines: DataFrame) -> DataFrame:
     return lines.filter(F.try_parse_json("json").isNotNull() & F.trim("json").startswith("{"))
 
 
+def pack(lines: DataFrame, file: Column, order: Sequence[str], path: str) -> None:
+    """Writes the lines (line) of many small files as packs: text files whose lines bear the name
+    of their file and a tab. A file's lines stand in one pack, in order; the number of packs
+    grows with the bytes, not with the files."""
+    named = lines.withColumn("_file", file)
+    named.repartition("_file").sortWithinPartitions("_file", *order).select(F.concat("_file", F.lit("\t"), F.coalesce("line", F.lit("")))).write.text(path)
+
+
+def packed_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As json_lines, of the files in packs: file is the name that a line bears, line_no rises
+    with a line's place in its file, as it is the place in the pack."""
+    lines, parts = text_lines(spark, path), F.split("line", "\t", 2)
+    return _objects(lines.select(F.get(parts, 0).alias("file"), "range", "line_no", F.get(parts, 1).alias("json")))
+
+
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As json_lines, but a malformed line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
