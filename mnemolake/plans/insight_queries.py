@@ -9,7 +9,7 @@ from mnemolake.functions import insights as N
 from mnemolake.operators import aggregates as A
 from mnemolake.operators import lifecycle as L
 from mnemolake.plans.queries import Col, query, words
-from mnemolake.plans.source_queries import _folder
+from mnemolake.plans.source_queries import _files, _folder
 from mnemolake.plans.views import memories, table
 from mnemolake.sources import readers as I
 
@@ -101,7 +101,7 @@ def days_of_a_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by a pattern of names."""
     path = _folder(spark, "found")
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.translate("text", "\n", " ").alias("line"))
-    c.repartition(4, "conv_id").sortWithinPartitions("conv_id").write.partitionBy("conv_id").text(path)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", "\n", " ").alias("line"))
+    _files(c, path)
     found = I.find_files(spark, path, "*.txt", limit=1 << 20)
     return found.groupBy(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")).agg(F.sum("length").alias("length"))

@@ -113,25 +113,29 @@ def plan(pattern: str, fixed: bool = False) -> list[frozenset[int]] | None:
 
 def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8).astype(np.int32)
             found = np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:])
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(found, pa.int32())], names=["file", "trigram"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ident, np.int64)), pa.array(found, pa.int32())], names=["id", "trigram"])
 
 
 def build(spark: SparkSession, path: str, root: str, glob: str = "*", most_bytes: int = 2 << 20) -> None:
     """Writes the index of the text files at path to root: postings sorted by trigram, and the
-    files with their times."""
+    files with their times. Postings bear a hash of the file's name; files of equal hashes
+    are candidates where one of them is."""
     ship(spark)
-    files = text_files(spark, path, glob, most_bytes)
-    postings = files.select("file", "text").mapInArrow(_posted, "file string, trigram int")
-    postings.repartitionByRange("trigram", "file").sortWithinPartitions("trigram", "file").write.mode("overwrite").parquet(f"{root}/postings")
-    files.select("file", "at").write.mode("overwrite").parquet(f"{root}/files")
+    files = text_files(spark, path, glob, most_bytes).withColumn("id", F.xxhash64("file"))
+    # a scan deals some 32 small files to a task; a shuffle's blocks are as many as tasks times ranges
+    tasks = max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // 32)
+    postings = files.select("id", "text").coalesce(tasks).mapInArrow(_posted, "id long, trigram int")
+    postings.repartitionByRange("trigram", "id").sortWithinPartitions("trigram", "id").write.mode("overwrite").parquet(f"{root}/postings")
+    files.select("file", "at", "id").write.mode("overwrite").parquet(f"{root}/files")
 
 
 def candidates(spark: SparkSession, root: str, pattern: str, fixed: bool = False) -> DataFrame:
     """(file, at): indexed files whose trigrams allow a match."""
-    files = spark.read.parquet(f"{root}/files")
+    known = spark.read.parquet(f"{root}/files")
+    files = known.select("file", "at")
     asked = plan(pattern, fixed)
     if asked is None:
         return files
@@ -139,8 +143,8 @@ def candidates(spark: SparkSession, root: str, pattern: str, fixed: bool = False
     rows = [(i, t, len(s)) for i, s in enumerate(asked) for t in sorted(s)]
     own = F.broadcast(spark.createDataFrame(rows, "alternative int, trigram int, n int"))  # the plan: a row a trigram of it
     held = spark.read.parquet(f"{root}/postings").filter(F.col("trigram").isin(every)).join(own, "trigram")
-    able = held.groupBy("file", "alternative", "n").agg(F.count(F.lit(1)).alias("found")).filter("found = n").select("file").distinct()
-    return files.join(able, "file", "left_semi")
+    able = held.groupBy("id", "alternative", "n").agg(F.count_distinct("trigram").alias("found")).filter("found = n").select("id").distinct()
+    return known.join(able, "id", "left_semi").select("file", "at")
 
 
 def indexed_grep(spark: SparkSession, root: str, path: str, pattern: str, glob: str = "*", most_bytes: int = 2 << 20, fixed: bool = False, context: int = 0) -> DataFrame:

@@ -36,3 +36,14 @@ def test_histories_write_few_files(spark, tmp_path, monkeypatch):
         assert got.count() == 1200
     for name in ("transcripts", "rollouts", "carried", "envelopes", "loose", "framed"):
         assert 0 < len(files_of(f"{tmp_path}/{name}")) < 40
+
+
+def test_a_file_a_conversation_without_folders_of_their_own(spark, tmp_path):
+    c = spark.range(300).selectExpr("id as conv_id", "explode(sequence(0L, id % 4)) as turn").selectExpr("*", "concat('line ', turn, ' ä') as line")
+    S._files(c, f"file://{tmp_path}/files")
+    found = files_of(f"{tmp_path}/files")
+    assert len(found) == 300 and len({os.path.dirname(f) for f in found}) <= 64
+    for f in found:
+        k = int(f.rsplit("=", 1)[1].removesuffix(".txt"))
+        with open(f, encoding="utf-8") as text:
+            assert text.read() == "".join(f"line {i} ä\n" for i in range(k % 4 + 1))
