@@ -47,3 +47,12 @@ def test_a_file_a_conversation_without_folders_of_their_own(spark, tmp_path):
         k = int(f.rsplit("=", 1)[1].removesuffix(".txt"))
         with open(f, encoding="utf-8") as text:
             assert text.read() == "".join(f"line {i} ä\n" for i in range(k % 4 + 1))
+
+
+def test_keywords_are_told_by_their_literals():
+    from mnemolake.functions import rules as R
+
+    assert R.needed(r"\bsql\b|\bselect\s|\binsert\s") == ("sql", "select", "insert")
+    assert R.needed(r"\bauth(entication|orization)?\b|\btoken\b|\boauth\b") == ("auth", "token", "oauth")
+    assert R.needed(r"\bx?\b") == ()
+    assert all(R.needed(p) for p, _ in R.KEYWORD_TAGS)
