@@ -61,7 +61,8 @@ def streamed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = c.limit(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"), F.timestamp_seconds(F.lit(1704067200 + 30 * 86400)).alias("at"))
     end.write.mode("append").parquet(path)
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    turns = assembled_turns(stream, "conv_id", "turn", "role", "text", "at", delay="7 days")
+    # 64 neighbouring ids share calls and a state
+    turns = assembled_turns(stream, "conv_id", "turn", "role", "text", "at", delay="7 days", together=F.shiftright("conv_id", 6))
     told = run_to_end(turns, "turns", _folder(spark, "turns-out"))
     return told.filter("conversation >= 0").select("conversation", "turn_no", "n", "first_no", "last_no", "complete")
 

@@ -74,3 +74,32 @@ def test_idle_turns_and_messages_that_are_too_late(spark, tmp_path):
     got = fed(spark, tmp_path, [first, second, third, third, fourth], "idle", gap="1 hour", delay="1 minute")
     assert [r for r in got if r[0] == "a"] == [("a", 0, 2, 0, 1, True, "idle"), ("a", 1, 1, 2, 2, False, "user"), ("a", 2, 2, 3, 4, True, "idle")]
     assert [r for r in got if r[0] == "b"] == [("b", 0, 1, 0, 0, False, "idle")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conversations_that_share_calls_are_told_as_if_alone(spark, tmp_path, seed):
+    """Late messages and repeats; all conversations together, two groups, and each by itself."""
+    rng = random.Random(seed)
+    rows = messages(seed)
+    late = sorted(rows + rng.sample(rows, len(rows) // 3), key=lambda r: r[4] + rng.uniform(0, 300))
+    size = len(late) // 3 + 1
+    batches = [late[i : i + size] for i in range(0, len(late), size)]
+    alone, two, one = (fed(spark, tmp_path / n, batches, f"{n}{seed}", together=g) for n, g in (("alone", None), ("two", F.crc32("conv") % 2), ("one", F.lit(0))))
+    assert len(alone) > 20 and alone == two == one
+
+
+def test_the_query_calls_and_keeps_state_by_groups_of_conversations(spark, tmp_path, monkeypatch):
+    """640 neighbours and three ids that no double tells apart, in some ten groups, not one each."""
+    from mnemolake.plans import range_queries as R
+
+    ids = spark.range(640).union(spark.range(2**53, 2**53 + 3))
+    c = ids.selectExpr("id as conv_id", "explode(sequence(0L, id % 3)) as turn").selectExpr("*", "if(turn % 2 = 0, 'user', 'assistant') as role", "if(conv_id % 5 = 0, ' ', 'hi') as text")
+    c.write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(R, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = R.streamed_turns(spark, str(tmp_path)).collect()
+    t = C.complete_turns(C.split_turns(c, "conv_id", "turn", "role"), "conv_id", "turn", "role", "text")
+    want = t.selectExpr("conv_id", "turn_no", "n", "first_at", "first_at + n - 1", "complete").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert {r[0] for r in got} == {r[0] for r in ids.collect()}
+    state = spark.read.format("statestore").load(f"{tmp_path}/turns-out/turns-checkpoint")
+    assert 11 <= state.count() <= 12
