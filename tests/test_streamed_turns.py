@@ -103,3 +103,20 @@ def test_the_query_calls_and_keeps_state_by_groups_of_conversations(spark, tmp_p
     assert {r[0] for r in got} == {r[0] for r in ids.collect()}
     state = spark.read.format("statestore").load(f"{tmp_path}/turns-out/turns-checkpoint")
     assert 11 <= state.count() <= 12
+
+
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """What deals the messages may make far more files than asked for; they take no more rounds."""
+    import os
+
+    from mnemolake.plans import range_queries as R
+
+    c = spark.range(30).selectExpr("id as conv_id", "explode(sequence(0L, 3L)) as turn").selectExpr("*", "if(turn % 2 = 0, 'user', 'assistant') as role", "'hi' as text")
+    c.write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(R, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    dealt = type(c).repartition
+    monkeypatch.setattr(type(c), "repartition", lambda df, n, *by: dealt(df, 24 if n == 5 else n, *by))
+    got = R.streamed_turns(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k, 2, 2 * k, 2 * k + 1, True) for i in range(30) for k in range(2))
+    assert len([f for f in os.listdir(f"{tmp_path}/turns") if f.endswith(".parquet")]) > 12
+    assert len([f for f in os.listdir(f"{tmp_path}/turns-out/turns-checkpoint/commits") if f.isdigit()]) <= 5
