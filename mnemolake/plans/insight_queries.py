@@ -103,5 +103,5 @@ def found_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "found")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", "\n", " ").alias("line"))
     _files(c, path)
-    found = I.find_files(spark, path, "*.txt", limit=1 << 20)
+    found = I.find_files(spark, path, "*.txt", limit=None)
     return found.groupBy(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")).agg(F.sum("length").alias("length"))

@@ -190,10 +190,11 @@ def grep(spark: SparkSession, path: str, pattern: str, glob: str = "*", most_byt
     return found_lines(text_files(spark, path, glob, most_bytes), pattern, fixed, context)
 
 
-def find_files(spark: SparkSession, path: str, glob: str, limit: int = 100) -> DataFrame:
-    """Newest first."""
+def find_files(spark: SparkSession, path: str, glob: str, limit: int | None = 100) -> DataFrame:
+    """The newest files, newest first; without a limit all of them, in no order."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return found.select("path", "length", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(limit)
+    found = found.select("path", "length", "modificationTime")
+    return found if limit is None else found.orderBy(F.desc("modificationTime"), "path").limit(limit)
 
 
 def federated(frames: Sequence[DataFrame]) -> DataFrame:

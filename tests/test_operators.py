@@ -259,3 +259,15 @@ def test_stable_hashes_agree(spark):
     assert one(spark, M.stable_hash_of(b=F.lit("ü\"x"), a=F.lit(3))) == M.stable_hash({"a": 3, "b": "ü\"x"})
     for t in ("see job_2024:retry-17 now", "short_id1", "abcdefghijklmnopqrst"):
         assert one(spark, R.holds_identifier(F.lit(t))) == R.needs_keyword(t)
+
+
+def test_all_files_are_found(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    for i in range(1, 131):
+        (tmp_path / f"{i}.txt").write_text("x" * i)
+    assert D.find_files(spark, str(tmp_path), "*.txt").count() == 100
+    found = D.find_files(spark, str(tmp_path), "*.txt", limit=None)
+    assert sorted(r["length"] for r in found.collect()) == list(range(1, 131))
+    plan = entry.queries()["found_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
