@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import struct
 
 import pandas as pd
@@ -142,9 +143,19 @@ def world_clusters(policies: DataFrame, key: str, min_policies: int = 1, min_sim
     return g.select(key, "n", "strict", "cohesion", admission.alias("admission"), world_confidence(clamp01(gain * 0.7 + F.col("cohesion") * 0.3), admission, F.col("cohesion")).alias("confidence"))
 
 
-def overlaps(items: DataFrame) -> DataFrame:
-    """(a, b, score) of keys that share an item: shared items over the smaller set. Keys meet
-    by their items, so no pair without one is made. items: key, item; repeats count once."""
+def overlaps(items: DataFrame, wide: int = 1024) -> DataFrame:
+    """(a, b, score) of keys that share an item: shared items over the smaller set. items: key,
+    item; repeats count once, a null item counts for its set's size alone.
+
+    Where there are ``wide`` items or fewer, a set is a row of bits, and blocks of sets meet each
+    other: a pair costs some operations on words, however many items it shares, and is made
+    where it is told, without a shuffle of pairs. Else keys meet by their items."""
+    held = items.filter("key is not null")
+    names = [r["item"] for r in held.select("item").filter("item is not null").distinct().limit(wide + 1).collect()]
+    return _met_by_items(held) if len(names) > wide else _met_by_bits(held, names)
+
+
+def _met_by_items(items: DataFrame) -> DataFrame:
     t = items.distinct()
     n = t.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     # few rows, but many pairs an item: dealt to all tasks, which adaptive execution would merge
@@ -156,6 +167,27 @@ def overlaps(items: DataFrame) -> DataFrame:
     return sized.select("a", "b", (F.col("shared") / F.least("na", "nb")).alias("score"))
 
 
+def _met_by_bits(items: DataFrame, names: list, block: int = 4096) -> DataFrame:
+    spark, words = items.sparkSession, max(1, -(-len(names) // 64))
+    at = spark.range(1).select(F.posexplode(F.lit(names) if names else F.array()).alias("at", "_i")).select("at", F.col("_i").cast(items.schema["item"].dataType).alias("item"))
+    placed = items.join(F.broadcast(at), "item", "left")
+    word = lambda w: F.bit_or(F.when(F.shiftright("at", 6) == w, F.expr("shiftleft(1L, at % 64)")))
+    sets = placed.groupBy("key").agg(*[F.coalesce(word(w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(words)], F.max(F.col("item").isNull().cast("int")).alias("more"))
+    sets = sets.withColumn("n", sum((F.bit_count(f"w{w}") for w in range(words)), F.col("more"))).drop("more")
+    # blocks of bounded size, and enough pairs of them for all tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-items.agg(F.approx_count_distinct("key")).first()[0] // block), math.ceil(math.sqrt(2 * parts)))
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    groups = blocks * (blocks + 1) // 2
+    side = lambda s, p, q: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in sets.columns], p.alias("p"), q.alias("q")).repartition(min(groups, 8192), "p", "q")
+    x = side("x", own, F.explode(F.sequence(own, F.lit(blocks - 1))))
+    y = side("y", F.explode(F.sequence(F.lit(0), own)), own)
+    shared = sum((F.bit_count(F.col(f"x_w{w}").bitwiseAND(F.col(f"y_w{w}"))) for w in range(1, words)), F.bit_count(F.col("x_w0").bitwiseAND(F.col("y_w0"))))
+    pairs = x.join(y, ["p", "q"]).filter("p < q or x_key < y_key")
+    told = pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), shared.alias("shared"), F.least("x_n", "y_n").alias("n"))
+    return told.filter("shared > 0").select("a", "b", (F.col("shared") / F.col("n")).alias("score"))
+
+
 def merge_target(drafts: DataFrame, models: DataFrame, min_overlap: float = 0.6) -> DataFrame:
     """(key, model): the model of the same key, else the one whose policies overlap most.
     Equal sets of policies are one class: of a class's models the best stands for all, and a

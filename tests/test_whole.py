@@ -64,12 +64,33 @@ def test_merge_targets_of_equal_sets_are_sought_once(spark):
     assert [tuple(r) for r in told] == [(7, 20_000)]
 
 
-def test_overlaps_of_copies_are_pairs_with_the_first(spark, tmp_path):
+def test_overlaps_are_all_pairs_copies_as_well(spark, tmp_path):
     rows = spark.range(600).selectExpr("id % 30 as l_suppkey", "id div 30 % 20 + id % 30 % 3 as l_partkey")
     rows.write.parquet(str(tmp_path / "lineitem.parquet"))
     got = sorted(tuple(r) for r in entry.queries()["overlap_coefficient"](spark, str(tmp_path)).collect())
-    between = [(0, 1, 0.95), (0, 2, 0.9), (1, 2, 0.95)]
-    assert got == sorted(between + [(k % 3, k, 1.0) for k in range(3, 30)])
+    assert got == [(a, b, 1 - 0.05 * abs(a % 3 - b % 3)) for a in range(30) for b in range(a + 1, 30)]
+
+
+def test_overlaps_by_bits_and_by_items(spark):
+    """Both ways tell what sets tell: few items and many, nulls, pairs that share none."""
+    import random
+
+    from mnemolake.operators import lifecycle as L
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, *range(150)])) for k in range(60) for _ in range(rng.randint(1, 20))] + [(None, 3), (99, None)]
+    sets = {}
+    for k, i in rows:
+        sets.setdefault(k, set()).add(i)
+    del sets[None]
+    want = {(a, b): len((sets[a] & sets[b]) - {None}) / min(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and (sets[a] & sets[b]) - {None}}
+    df = spark.createDataFrame(rows, "key long, item long")
+    plans = [L.overlaps(df, wide) for wide in (1024, 10)]
+    for told in plans:
+        assert {(r["a"], r["b"]): r["score"] for r in told.collect()} == want
+    assert L.overlaps(df.filter("false")).collect() == []
+    # by bits, no pair is shuffled: what is exchanged lies below the join
+    assert "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString().split("Join")[0]
 
 
 def test_bursts_of_a_folder_of_files_in_any_order(spark, tmp_path):
