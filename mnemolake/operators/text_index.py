@@ -38,6 +38,22 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return counted.groupBy("id", "deleted").agg(F.sum("tf").alias("len"), held.alias("terms"))
 
 
+#: Words of 64 bits that tell apart rows whose id cannot be among given ones.
+WORDS = 1 << 17
+
+
+def parted(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id (a column of both) is not among the ids for sure, and the others, of which it
+    may be. Bits of a hash stand for the ids: as many rows as WORDS are broadcast at most, so that
+    a join of few changed documents needs no shuffle of all that the index holds."""
+    h = F.xxhash64("id")
+    word, bit = F.pmod(h, F.lit(WORDS)), F.shiftrightunsigned(h, 58).cast("int")
+    bits = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    told = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return told.filter(~maybe).select(*rows.columns), told.filter(maybe).select(*rows.columns)
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str, id_type: T.DataType | None = None) -> None:
         """root: a folder that the driver and all executors share."""
@@ -88,11 +104,10 @@ class TextIndex:
         last = last_write(changes, ["id"], [F.desc("seq")]).select("id", "deleted", "text")
         with_terms(last).write.parquet(f"{self.root}/docs/{name}")
         new = self._docs([(no, name, 0, 0)])
-        posted = new.select(F.explode("terms").alias("t"), "id", "len").select("t.term", "id", "t.tf", "len")
-        posted.sortWithinPartitions("term", "id").write.parquet(f"{self.root}/postings/{name}")
+        self._post(new, name)
         # what the changed documents held until now
         ids = new.select(F.col("id").alias("_id"))
-        old = self._docs(before).join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        old = parted(self._docs(before), new.select("id"))[1].join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
         old = old.groupBy("id").agg(F.max_by(F.struct("deleted", "len", "terms"), "seg").alias("d")).select("id", "d.*")
         each = lambda d, n: d.filter("not deleted").select(F.explode("terms.term").alias("term"), F.lit(n).cast("long").alias("n"))
         deltas = each(new, 1).unionByName(each(old, -1)).groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0")
@@ -101,6 +116,11 @@ class TextIndex:
         (docs, words), (gone, gone_words) = live(new), live(old)
         self._publish([*before, (no, name, docs - gone, words - gone_words)])
 
+    def _post(self, docs: DataFrame, name: str) -> None:
+        """A segment's postings, of its documents as they are dealt."""
+        posted = docs.select(F.explode("terms").alias("t"), "id", "len").select("t.term", "id", "t.tf", "len")
+        posted.sortWithinPartitions("term", "id").write.parquet(f"{self.root}/postings/{name}")
+
     def compact(self) -> None:
         """One segment of all that is live. The old segments' files stay for readers that hold
         them; ``sweep`` deletes them."""
@@ -108,9 +128,10 @@ class TextIndex:
         if len(before) < 2:
             return
         no, name = before[-1][0] + 1, uuid.uuid4().hex[:12]
-        newest = self._docs(before).groupBy("id").agg(F.max_by(F.struct("deleted", "len", "terms"), "seg").alias("d")).select("id", "d.*").filter("not deleted")
-        newest.write.parquet(f"{self.root}/docs/{name}")
-        self.postings().select("term", "id", "tf", "len").repartition("term").sortWithinPartitions("term", "id").write.parquet(f"{self.root}/postings/{name}")
+        same, changed = parted(self._docs(before), self._docs(before[1:]).select("id"))
+        newest = changed.groupBy("id").agg(F.max_by(F.struct("deleted", "len", "terms"), "seg").alias("d")).select("id", "d.*")
+        same.select(*newest.columns).unionByName(newest).filter("not deleted").write.parquet(f"{self.root}/docs/{name}")
+        self._post(self._docs([(no, name, 0, 0)]), name)
         self.frequencies().withColumnRenamed("df", "n").sortWithinPartitions("term").write.parquet(f"{self.root}/deltas/{name}")
         docs, words = self.totals()
         self._publish([(no, name, docs, words)])
@@ -137,9 +158,12 @@ class TextIndex:
         found = self._table("postings", schema, segments)
         if terms is not None:
             found = found.filter(F.col("term").isin([t.lower() for t in terms]))
+        if len(segments) < 2:
+            return found.select("id", "term", "tf", "len")
+        same, found = parted(found, self._docs(segments[1:]).select("id"))
         changed = self._docs(segments[1:]).groupBy(F.col("id").alias("_id")).agg(F.max("seg").alias("_seg"))
         live = found.join(changed, F.col("id").eqNullSafe(F.col("_id")), "left").filter(F.col("_seg").isNull() | (F.col("_seg") <= F.col("seg")))
-        return live.select("id", "term", "tf", "len")
+        return same.unionByName(live.select(*same.columns)).select("id", "term", "tf", "len")
 
     def frequencies(self, terms: Sequence[str] | None = None) -> DataFrame:
         """(term, df): sums of the segments' changes."""

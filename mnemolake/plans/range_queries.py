@@ -80,6 +80,7 @@ def _followed(spark: SparkSession, sf_dir: str) -> TextIndex:
     index.apply(change(d, 0, Col("text")))
     index.apply(change(d.filter("id % 5 = 0"), 10**9, F.concat(F.coalesce("text", F.lit("")), F.lit(" updated twice"))))
     index.compact()
+    index.sweep()
     index.apply(change(d.filter("id % 7 = 0"), 2 * 10**9, Col("text"), True))
     index.apply(change(d.filter("id % 14 = 0"), 3 * 10**9, Col("text")))
     return index

@@ -71,3 +71,24 @@ def test_terms_of_documents_dealt_by_id_need_no_shuffle(spark):
     assert told._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = {r["id"]: (r["deleted"], r["len"], sorted(map(tuple, r["terms"]))) for r in told.collect()}
     assert got == {1: (False, 2, [("b", 2)]), None: (False, 1, [("b", 1)]), 2: (False, 0, []), 3: (True, 0, [])}
+
+
+def test_what_did_not_change_is_not_shuffled(spark, tmp_path):
+    """Of 2,000 documents 20 change: neither a batch nor a compaction shuffles the others' terms."""
+    from mnemolake.operators import text_index as I
+
+    docs = spark.range(2000).selectExpr("id", "id as seg")
+    same, maybe = I.parted(docs, spark.createDataFrame([(i * 100,) for i in range(20)], "id long"))
+    assert maybe.count() < 30 and {r["id"] for r in maybe.collect()} >= {i * 100 for i in range(20)}
+    assert same.count() + maybe.count() == 2000
+    none = docs.selectExpr("if(id < 5, null, id) as id", "seg")
+    assert I.parted(none, spark.createDataFrame([(None,)], "id long"))[1].count() >= 5
+
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    rows = spark.range(2000).selectExpr("id as seq", "id", "concat('w', id, ' all') as text", "false as deleted")
+    index.apply(rows)
+    index.apply(rows.filter("id % 100 = 0").selectExpr("seq + 5000 as seq", "id", "'new all' as text", "deleted"))
+    plan = index.postings()._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "_bits" in plan
+    index.compact()
+    assert index.postings().filter("term = 'new'").count() == 20 and index.postings().count() == 4000 == index.totals()[1]
